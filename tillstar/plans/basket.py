@@ -81,9 +81,7 @@ def _split(sets: DataFrame, count: int) -> DataFrame:
     masks = F.expr("sequence(1L, shiftleft(1L, size(items)) - 2L)")
 
     def chosen(bit: int):
-        return F.filter(
-            "items", lambda x, i: F.shiftright(F.col("mask"), i.cast("int")).bitwiseAND(F.lit(1)) == bit
-        )
+        return F.expr(f"filter(items, (x, i) -> getbit(mask, i) = {bit})")
 
     split = (
         sets.filter(size > 1)

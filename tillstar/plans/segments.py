@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -18,6 +19,7 @@ from tillstar.session import settle
 
 CLUSTERS = 4
 SEEDS = tuple(range(42, 52))
+PARALLEL_FITS = 5
 
 # Segment names from best to worst.
 CUSTOMER_LABELS = ("VIP", "Frecuentes", "Ocasionales", "Perdidos")
@@ -187,13 +189,15 @@ def cluster(scaled: Scaled, k: int = CLUSTERS, seeds: Sequence[int] = SEEDS) ->
     """K-means from several seeds, keeping the one of lowest cost."""
     inputs = VectorAssembler(inputCols=list(scaled.names), outputCol="features").transform(scaled.frame)
     cached = inputs.persist(StorageLevel.MEMORY_AND_DISK)
+    def fit(seed: int):
+        return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(cached)
+
     try:
-        best, costs = None, []
-        for seed in seeds:
-            model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(cached)
-            costs.append(model.summary.trainingCost)
-            if best is None or costs[-1] < min(costs[:-1]):
-                best = model
+        # the restarts are independent: their jobs share the executors
+        with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+            models = list(pool.map(fit, seeds))
+        costs = [model.summary.trainingCost for model in models]
+        best = models[costs.index(min(costs))]
     finally:
         cached.unpersist()
     members = best.transform(inputs).drop("features", *scaled.names)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillstar.functions import numbers as n
@@ -66,7 +66,7 @@ def with_features(series: DataFrame, measure: str, partition_by=()) -> DataFrame
     first value; lag_12 stays null for a series of 12 months or fewer.
     """
     line = m.timeline(partition_by)
-    whole = line.rowsBetween(line.unboundedPreceding, line.unboundedFollowing)
+    whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     first = F.first(measure).over(whole)
     length = F.count(F.lit(1)).over(whole)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -123,6 +124,7 @@ FLAT_COLUMNS = (
     "order_id", "order_date", "ship_date", "ship_mode", "customer_id", "product_id",
     "city", "state", "sales", "quantity", "discount", "profit",
 )
+DIMENSION_COLUMNS = (*CUSTOMER, *PRODUCT, *LOCATION)
 
 
 def f_sales(flat: DataFrame, dims: Mapping[str, DataFrame], unknown: int = 1) -> DataFrame:
@@ -149,19 +151,24 @@ def f_sales(flat: DataFrame, dims: Mapping[str, DataFrame], unknown: int = 1) ->
 def build_star(source, run_date: dt.date) -> dict[str, DataFrame]:
     """All dimensions and the fact from a source with ``view``.
 
-    The dimensions are written out, as a load would, so that their true size
-    decides between broadcast and shuffle joins.
+    The flat lines are written once, like the clean table of a load, and each
+    dimension reads its few columns of them. The dimensions are independent, so
+    they are built side by side; their true file size then decides between
+    broadcast and shuffle joins.
     """
-    dims = {
-        "d_date": d_date(source.view(*d_date.columns)),
-        "d_customer": d_customer(source.view(*d_customer.columns), run_date),
-        "d_product": d_product(source.view(*d_product.columns), run_date),
-        "d_location": d_location(source.view(*d_location.columns)),
-        "d_order": d_order(source.view(*d_order.columns)),
-        "d_segment": d_segment(source.view(*d_segment.columns)),
+    flat = settle(source.view(*FLAT_COLUMNS, *[c for c in DIMENSION_COLUMNS if c not in FLAT_COLUMNS]), "flat")
+    builders = {
+        "d_date": lambda: d_date(flat),
+        "d_customer": lambda: d_customer(flat, run_date),
+        "d_product": lambda: d_product(flat, run_date),
+        "d_location": lambda: d_location(flat),
+        "d_order": lambda: d_order(flat),
+        "d_segment": lambda: d_segment(flat),
     }
-    dims = {name: settle(dim, name) for name, dim in dims.items()}
-    return {**dims, "f_sales": f_sales(source.view(*FLAT_COLUMNS), dims)}
+    with ThreadPoolExecutor(len(builders)) as pool:
+        built = pool.map(lambda item: (item[0], settle(item[1](), item[0])), builders.items())
+        dims = dict(built)
+    return {**dims, "f_sales": f_sales(flat, dims)}
 
 
 # ---- keys and constraints -----------------------------------------------------
