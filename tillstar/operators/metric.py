@@ -9,11 +9,16 @@ from pyspark.sql import DataFrame
 from tillstar.operators.slices import Slice
 
 
-def metric(*columns: str) -> Callable:
-    """Record on a ``(view, …) -> DataFrame`` function which columns it reads."""
+def metric(*columns: str, summed: bool = False) -> Callable:
+    """Record on a ``(view, …) -> DataFrame`` function which columns it reads.
+
+    ``summed`` says that it reads sales, profit and quantity through sums only,
+    so the source may hand it rows that are added up already.
+    """
 
     def mark(function: Callable) -> Callable:
         function.columns = columns
+        function.summed = summed
         return function
 
     return mark
@@ -23,4 +28,5 @@ def compute(function: Callable, source, within: Slice | None = None, **options)
     """Run a metric over ``source.view`` cut down to its columns and slice."""
     within = within or Slice()
     extra = [c for c in within.columns if c not in function.columns]
-    return function(within.apply(source.view(*function.columns, *extra)), **options)
+    view = source.view(*function.columns, *extra, summed=function.summed)
+    return function(within.apply(view), **options)

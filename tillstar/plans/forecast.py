@@ -110,7 +110,7 @@ def points(series: DataFrame, ahead: int, clamp_at_zero: bool = False) -> DataFr
     return long.groupBy("series").applyInPandas(fit, POINT_SCHEMA)
 
 
-@metric("order_date", "sales", "profit")
+@metric("order_date", "sales", "profit", summed=True)
 def forecast(df: DataFrame, ahead: int = 6, clamp_at_zero: bool = False) -> DataFrame:
     """History and forecast of both targets in one frame, flagged by ``is_forecast``."""
     series = monthly(df)
@@ -133,7 +133,7 @@ def forecast(df: DataFrame, ahead: int = 6, clamp_at_zero: bool = False) -> Data
     )
 
 
-@metric("order_date", "sales", "profit")
+@metric("order_date", "sales", "profit", summed=True)
 def forecast_metrics(df: DataFrame, ahead: int = 6) -> DataFrame:
     """Fit quality and coefficients per target."""
     fitted = points(monthly(df), ahead).drop(m.MONTH, "value").distinct()

@@ -122,7 +122,7 @@ def run_load(spark: SparkSession, settings: LoadSettings) -> bool:
     fact = step(
         "f_sales",
         "Sales fact",
-        lambda: store.replace_table(
+        lambda: store.overwrite_table(
             # cluster by partition value, sorted, so each year gets few, well-pruned files
             store.as_declared(w.f_sales(clean, dims, settings.unknown_sk), "f_sales")
             .repartitionByRange("order_year", "order_date_sk", "order_id")
@@ -136,7 +136,7 @@ def run_load(spark: SparkSession, settings: LoadSettings) -> bool:
     step(
         "agg_sales_monthly",
         "Monthly aggregate",
-        lambda: store.replace_table(
+        lambda: store.overwrite_table(
             store.as_declared(w.agg_sales_monthly(star.view(*w.agg_sales_monthly.columns)), "agg_sales_monthly"),
             f"{db}.agg_sales_monthly",
             ["year"],

@@ -157,12 +157,12 @@ def quantity_stats(df: DataFrame) -> DataFrame:
     )
 
 
-@metric("category", "quantity")
+@metric("category", "quantity", summed=True)
 def units_by_category(df: DataFrame) -> DataFrame:
     return df.groupBy("category").agg(n.total(F.col("quantity")).alias("units"))
 
 
-@metric("product_name", "category", "sales", "profit")
+@metric("product_name", "category", "sales", "profit", summed=True)
 def top_products(df: DataFrame, k: int = 5) -> DataFrame:
     sums = df.groupBy("product_name", "category").agg(
         n.total(F.col("sales")).alias("revenue"), n.total(F.col("profit")).alias("profit")

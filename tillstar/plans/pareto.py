@@ -37,7 +37,7 @@ def _position_pct():
     return n.ratio(F.col("position"), F.col("members")) * 100
 
 
-@metric("product_name", "sales")
+@metric("product_name", "sales", summed=True)
 def products(df: DataFrame) -> DataFrame:
     """The whole curve: revenue, cumulative share and position per product."""
     return _curve(df, "product_name").select(
@@ -54,7 +54,7 @@ def _top_fifth(curve: DataFrame):
     return curve.withColumn("_fifth", size)
 
 
-@metric("product_name", "sales")
+@metric("product_name", "sales", summed=True)
 def product_summary(df: DataFrame) -> DataFrame:
     """Revenue share of the top fifth, the point on the curve at 15-25 % of the
     products (``*_at_cut``; the sixth product when there are fewer than 20), and
@@ -83,7 +83,7 @@ def product_summary(df: DataFrame) -> DataFrame:
     )
 
 
-@metric("customer_name", "sales")
+@metric("customer_name", "sales", summed=True)
 def customer_summary(df: DataFrame) -> DataFrame:
     curve = _top_fifth(_curve(df, "customer_name"))
     summary = curve.agg(

@@ -63,7 +63,7 @@ def discount_loss(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     )
 
 
-@metric("region", "category", "profit")
+@metric("region", "category", "profit", summed=True)
 def by_region_category(df: DataFrame) -> DataFrame:
     sums = df.groupBy("region", "category").agg(n.total(F.col("profit")).alias("p"))
     return sums.orderBy(F.desc("p"), "region", "category").select(
@@ -71,13 +71,13 @@ def by_region_category(df: DataFrame) -> DataFrame:
     )
 
 
-@metric("region", "category", "profit")
+@metric("region", "category", "profit", summed=True)
 def winner(df: DataFrame) -> DataFrame:
     """The most profitable region and category pair."""
     return by_region_category(df).limit(1).withColumn("profit_fmt", n.money_short(F.col("profit")))
 
 
-@metric("region", "category", "segment", "profit")
+@metric("region", "category", "segment", "profit", summed=True)
 def heatmap(df: DataFrame, first_segment_only: bool = False) -> DataFrame:
     """Profit per region (rows) and category (columns, as a long frame), 0 where empty.
 

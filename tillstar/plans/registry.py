@@ -177,13 +177,12 @@ def _rules(item: str, top: int | None) -> Query:
 
 def _scores(src: ParquetTables) -> DataFrame:
     model = compute(profit_model.fit, src)
-    kinds = [r[0] for r in src.table("part").select("p_type").distinct().orderBy("p_type").collect()]
     scenarios = profit_model.scenario_grid(
         src.spark,
         sales=[100.0, 500.0, 5000.0],
         discount=[0.0, 0.1],
         quantity=[1, 10],
-        category=[*kinds, "UNSEEN"],
+        category=[*sorted(model.levels["category"]), "UNSEEN"],
         region=["EUROPE"],
         segment=["BUILDING"],
         ship_mode=["1-URGENT"],

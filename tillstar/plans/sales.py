@@ -41,32 +41,32 @@ def _ranked_sales(df: DataFrame, *keys: str, k: int | None = None) -> DataFrame:
     )
 
 
-@metric("category", "sales")
+@metric("category", "sales", summed=True)
 def by_category(df: DataFrame) -> DataFrame:
     return _ranked_sales(df, "category")
 
 
-@metric("region", "sales")
+@metric("region", "sales", summed=True)
 def by_region(df: DataFrame) -> DataFrame:
     return _ranked_sales(df, "region")
 
 
-@metric("segment", "sales")
+@metric("segment", "sales", summed=True)
 def by_segment(df: DataFrame) -> DataFrame:
     return _ranked_sales(df, "segment")
 
 
-@metric("sub_category", "sales")
+@metric("sub_category", "sales", summed=True)
 def by_subcategory(df: DataFrame, k: int = 15) -> DataFrame:
     return _ranked_sales(df, "sub_category", k=k)
 
 
-@metric("state", "city", "sales")
+@metric("state", "city", "sales", summed=True)
 def by_city(df: DataFrame, k: int = 15) -> DataFrame:
     return _ranked_sales(df, "state", "city", k=k).withColumn("location", F.concat_ws(", ", "city", "state"))
 
 
-@metric("state", "sales", "profit")
+@metric("state", "sales", "profit", summed=True)
 def by_state(df: DataFrame, lookup: DataFrame) -> DataFrame:
     """Sales and profit of the states the lookup knows; the rest is dropped."""
     sums = df.groupBy("state").agg(
@@ -80,7 +80,7 @@ def by_state(df: DataFrame, lookup: DataFrame) -> DataFrame:
     )
 
 
-@metric("product_name", "category", "sub_category", "sales", "profit")
+@metric("product_name", "category", "sub_category", "sales", "profit", summed=True)
 def top_products(df: DataFrame, k: int = 10) -> DataFrame:
     sums = df.groupBy("product_name", "category", "sub_category").agg(
         n.total(F.col("sales")).alias("sales"), n.total(F.col("profit")).alias("profit")
@@ -118,7 +118,7 @@ def region_category(df: DataFrame) -> DataFrame:
     )
 
 
-@metric("product_name", "sub_category", "sales", "profit")
+@metric("product_name", "sub_category", "sales", "profit", summed=True)
 def most_profitable_products(df: DataFrame, k: int = 10) -> DataFrame:
     sums = df.groupBy("product_name", "sub_category").agg(F.sum("sales").alias("s"), F.sum("profit").alias("p"))
     best = sums.orderBy(F.desc("p"), "product_name", "sub_category").limit(k)

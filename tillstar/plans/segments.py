@@ -36,9 +36,16 @@ def rfm_base(df: DataFrame) -> DataFrame:
 
     Recency counts from the day after the last order of anyone.
     """
-    sums = df.groupBy("customer_id").agg(
-        F.min(F.struct("order_date", "order_id", "customer_name", "segment")).alias("_first"),
-        F.max("order_date").alias("_last"),
+    # lines to orders first: a hash aggregate with a map-side combine
+    orders = df.groupBy("customer_id", "customer_name", "segment", "order_id").agg(
+        F.min("order_date").alias("_from"),
+        F.max("order_date").alias("_to"),
+        F.sum("sales").alias("sales"),
+        F.sum("profit").alias("profit"),
+    )
+    sums = orders.groupBy("customer_id").agg(
+        F.min(F.struct("_from", "order_id", "customer_name", "segment")).alias("_first"),
+        F.max("_to").alias("_last"),
         F.count_distinct("order_id").alias("frequency"),
         n.total(F.col("sales")).alias("monetary"),
         n.total(F.col("profit")).alias("profit"),
@@ -189,6 +196,7 @@ def cluster(scaled: Scaled, k: int = CLUSTERS, seeds: Sequence[int] = SEEDS) ->
     """K-means from several seeds, keeping the one of lowest cost."""
     inputs = VectorAssembler(inputCols=list(scaled.names), outputCol="features").transform(scaled.frame)
     cached = inputs.persist(StorageLevel.MEMORY_AND_DISK)
+
     def fit(seed: int):
         return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(cached)
 
@@ -249,7 +257,7 @@ class Segments:
 
 
 def _segments(
-    base: DataFrame,
+    base: DataFrame,  # read several times: pass a frame that is written out
     features: Sequence[Feature],
     labels: Sequence[str],
     profile_columns: Sequence,
@@ -259,7 +267,7 @@ def _segments(
 ) -> Segments:
     scaled = scale(base, features)
     result = cluster(scaled, len(labels), seeds)
-    members = settle(result.members, "members")
+    members = result.members
     profile = members.groupBy("cluster").agg(*profile_columns)
     if score is None:
         profile = profile.withColumn("score", F.col("avg_profit"))
@@ -279,7 +287,7 @@ def _mean(column: str, digits: int, name: str):
 def segment_customers(base: DataFrame, ranking: str = "default", seeds: Sequence[int] = SEEDS) -> Segments:
     """Customers by recency, frequency and money; best is frequent, large and recent."""
     return _segments(
-        settle(base, "rfm_base"),
+        base,
         CUSTOMER_FEATURES,
         CUSTOMER_LABELS,
         [

@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from tillstar.functions import numbers as n
 from tillstar.operators import months as m
 from tillstar.operators.metric import metric
+from tillstar.operators.slices import Slice, unless_few
 
 
-@metric("order_date", "sales")
+@metric("order_date", "sales", summed=True)
 def monthly_sales(df: DataFrame) -> DataFrame:
     return m.monthly_totals(df, ["sales"]).select(m.MONTH, n.real(F.col("sales")).alias("sales"))
 
 
-@metric("order_date", "sales")
+@metric("order_date", "sales", summed=True)
 def monthly_trend(df: DataFrame) -> DataFrame:
     """Month sums with their three-month trailing mean."""
     return m.monthly_totals(df, ["sales"]).select(
@@ -23,6 +24,13 @@ def monthly_trend(df: DataFrame) -> DataFrame:
     )
 
 
+def trend_for_slice(source, within: Slice, least: int = 10) -> DataFrame:
+    """The trend of a slice, or of everything when the slice has few lines."""
+    columns = dict.fromkeys((*monthly_trend.columns, *within.columns))
+    everything = source.view(*columns)
+    return monthly_trend(unless_few(within.apply(everything), everything, least))
+
+
 def _with_change(df: DataFrame) -> DataFrame:
     series = m.monthly_totals(df, ["sales"])
     previous = F.lag("sales").over(m.timeline())
@@ -30,7 +38,7 @@ def _with_change(df: DataFrame) -> DataFrame:
     return series.withColumns({"prev_sales": previous, "mom_pct": change})
 
 
-@metric("order_date", "sales")
+@metric("order_date", "sales", summed=True)
 def mom_change(df: DataFrame) -> DataFrame:
     """Each month against the one before; null for the first and after an empty month."""
     return _with_change(df).select(
@@ -41,7 +49,7 @@ def mom_change(df: DataFrame) -> DataFrame:
     )
 
 
-@metric("order_date", "sales")
+@metric("order_date", "sales", summed=True)
 def mom_last(df: DataFrame) -> DataFrame:
     """The last month beside the one before; no row with fewer than two months."""
     before = F.lag(m.MONTH).over(m.timeline())
@@ -85,7 +93,7 @@ def with_features(series: DataFrame, measure: str, partition_by=()) -> DataFrame
     )
 
 
-@metric("order_date", "sales")
+@metric("order_date", "sales", summed=True)
 def forecast_features(df: DataFrame) -> DataFrame:
     return with_features(m.monthly_totals(df, ["sales"]), "sales")
 

@@ -131,20 +131,23 @@ def f_sales(flat: DataFrame, dims: Mapping[str, DataFrame], unknown: int = 1) ->
     """Replace business keys by surrogates; an unknown key becomes ``unknown``.
 
     Several locations may share a city and state: the largest surrogate wins.
+    ``order_year`` is the year of the date member found, the partition column.
     """
     days = F.broadcast(dims["d_date"].select("date", "date_sk"))  # one row per calendar day
+    years = F.broadcast(dims["d_date"].select(F.col("date_sk").alias("order_date_sk"), F.col("year").alias("order_year")))
     people = current(dims["d_customer"])
     goods = current(dims["d_product"])
     places = last_key(dims["d_location"], ["city", "state"], "location_sk")
     keyed = lookup_key(flat, days, {"order_date": "date"}, "date_sk", "order_date_sk", unknown)
     keyed = lookup_key(keyed, days, {"ship_date": "date"}, "date_sk", "ship_date_sk", unknown)
+    keyed = keyed.join(years, "order_date_sk", "left")
     keyed = lookup_key(keyed, people, {"customer_id": "customer_id"}, "customer_sk", unknown=unknown)
     keyed = lookup_key(keyed, goods, {"product_id": "product_id"}, "product_sk", unknown=unknown)
     keyed = lookup_key(keyed, places, {"city": "city", "state": "state"}, "location_sk", unknown=unknown)
     return keyed.select(
         "order_date_sk", "ship_date_sk", "customer_sk", "product_sk", "location_sk",
         "order_id", "ship_mode", "sales", "quantity", "discount", "profit",
-        F.year("order_date").alias("order_year"),
+        "order_year",
     )
 
 

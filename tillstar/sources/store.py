@@ -25,7 +25,7 @@ def ensure_tables(spark: SparkSession, database: str) -> None:
             spark.createDataFrame([], schema).write.format("parquet").saveAsTable(f"{database}.{name}")
 
 
-def replace_table(df: DataFrame, table: str, partition_by: Sequence[str] = ()) -> DataFrame:
+def replace_table(df: DataFrame, table: str) -> DataFrame:
     """Overwrite ``table`` with ``df``, which may itself read ``table``.
 
     The new rows are complete under another name before the old table goes.
@@ -33,12 +33,18 @@ def replace_table(df: DataFrame, table: str, partition_by: Sequence[str] = ()) -
     spark = df.sparkSession
     staged = f"{table}__next"
     spark.sql(f"DROP TABLE IF EXISTS {staged}")
-    df.write.format("parquet").partitionBy(*partition_by).saveAsTable(staged)
+    df.write.format("parquet").saveAsTable(staged)
     spark.sql(f"DROP TABLE IF EXISTS {table}")
     spark.sql(f"ALTER TABLE {staged} RENAME TO {table}")
     return spark.table(table)
 
 
+def overwrite_table(df: DataFrame, table: str, partition_by: Sequence[str]) -> DataFrame:
+    """Overwrite a partitioned ``table`` with ``df``, which must not read it."""
+    df.write.format("parquet").mode("overwrite").partitionBy(*partition_by).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def append_table(df: DataFrame, table: str) -> DataFrame:
     df.write.format("parquet").mode("append").saveAsTable(table)
     return df.sparkSession.table(table)

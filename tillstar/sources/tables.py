@@ -79,7 +79,13 @@ class ParquetTables:
             "region": F.col("r_name"),
         }
 
-    def view(self, *columns: str) -> DataFrame:
+    def view(self, *columns: str, summed: bool = False) -> DataFrame:
+        """The named columns, joining only the tables that supply them.
+
+        ``summed`` is for callers that only ever add up sales, profit and
+        quantity: lines are then added up per join key before the join, see
+        ``_per_product`` and ``_per_customer``.
+        """
         columns = columns or VIEW_COLUMNS
         line, order, customer = self._line(), self._order(), self._customer()
         part = {
@@ -92,6 +98,13 @@ class ParquetTables:
         }
         every = {**line, **order, **customer, **part}
         wanted = set(columns)
+        for_order = wanted & ({*order, *customer, "order_id"})
+        for_part = wanted & ({*part, "product_id"})
+        if summed and "ship_date" not in wanted and "discount" not in wanted:
+            if for_part and not for_order:
+                return self._per_product(columns, part)
+            if for_order and not for_part:
+                return self._per_customer(columns, wanted, order, customer)
 
         joined = self.table("lineitem")
         if wanted & {*order, *customer}:
@@ -100,17 +113,65 @@ class ParquetTables:
             joined = joined.join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
         return joined.select(*[every[c].alias(c) for c in columns])
 
+    def _line_sums(self, key: str) -> DataFrame:
+        line = self._line()
+        return (
+            self.table("lineitem")
+            .groupBy(key)
+            .agg(F.sum(line["sales"]).alias("_sales"), F.sum(line["quantity"]).alias("_quantity"))
+        )
+
+    def _per_product(self, columns, part: Mapping[str, Column]) -> DataFrame:
+        """One row per product: a hot product is combined on the map side and
+        meets its part row once."""
+        sums = self._line_sums("l_partkey").join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
+        price = F.col("p_retailprice").cast("decimal(12,2)")
+        every = {
+            **part,
+            "product_id": F.col("l_partkey"),
+            "sales": F.col("_sales"),
+            "quantity": F.col("_quantity"),
+            "profit": (F.col("_sales") - price * F.col("_quantity")).cast("decimal(24,4)"),
+        }
+        return sums.select(*[every[c].alias(c) for c in columns])
+
+    def _per_customer(self, columns, wanted, order, customer) -> DataFrame:
+        """One row per order, or per customer where no order attribute is read.
+
+        Lines shrink to orders before they meet the orders, and orders to
+        customers before they meet the customers: the join exchanges move sums
+        instead of lines, and neither a hot order nor a hot customer skews them.
+        """
+        sums = self._line_sums("l_orderkey").join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        if wanted & set(customer):
+            if not wanted & {"order_date", "ship_mode", "order_id"}:
+                sums = sums.groupBy("o_custkey").agg(
+                    F.sum("_sales").alias("_sales"), F.sum("_quantity").alias("_quantity")
+                )
+            sums = sums.join(self._people(wanted), F.col("o_custkey") == F.col("c_custkey"))
+        every = {
+            **order,
+            **customer,
+            "order_id": F.col("l_orderkey"),
+            "sales": F.col("_sales"),
+            "quantity": F.col("_quantity"),
+        }
+        return sums.select(*[every[c].alias(c) for c in columns])
+
     def _orders(self, wanted: set[str], customer: Mapping[str, Column]) -> DataFrame:
         """Orders with what is needed of their customer, so order lines join once."""
         orders = self.table("orders")
         if not wanted & set(customer):
             return orders
+        return orders.join(self._people(wanted), F.col("o_custkey") == F.col("c_custkey"))
+
+    def _people(self, wanted: set[str]) -> DataFrame:
         people = self.table("customer")
         if wanted & {"state", "city", "country", "region"}:
             people = people.join(self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         if wanted & {"country", "region"}:
             people = people.join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        return orders.join(people, F.col("o_custkey") == F.col("c_custkey"))
+        return people
 
 
 class StarTables:
@@ -129,33 +190,50 @@ class StarTables:
         names = ("d_date", "d_customer", "d_product", "d_location", "d_order", "d_segment", "f_sales")
         return cls({name: spark.table(f"{database}.{name}") for name in names})
 
-    def view(self, *columns: str) -> DataFrame:
+    def view(self, *columns: str, summed: bool = False) -> DataFrame:
+        """The named columns, joining only the dimensions that supply them.
+
+        ``summed``: callers only add up sales, profit and quantity, so the fact
+        is added up per surrogate key before it meets a dimension.
+        """
         columns = columns or VIEW_COLUMNS
         wanted = set(columns)
-        rows = self.tables["f_sales"]
-        if "order_year" not in rows.columns:
-            rows = rows.withColumn("order_year", F.lit(None).cast("int"))
-        rows = rows.select("*", F.col("ship_mode").alias("_fact_ship_mode")).drop("ship_mode")
+        dimensions = [
+            (table, key, [a for a in attributes if a in wanted])
+            for table, key, attributes in (
+                ("d_customer", "customer_sk", self.CUSTOMER),
+                ("d_product", "product_sk", self.PRODUCT),
+                ("d_location", "location_sk", self.LOCATION),
+            )
+            if wanted & set(attributes)
+        ]
+        dates = [name for name in ("order_date", "ship_date") if name in wanted]
+        rows = self.tables["f_sales"].drop("ship_mode")
+        keys = [key for _, key, _ in dimensions] + [f"{name}_sk" for name in dates]
         if "order_date" in wanted:
-            rows = self._join_date(rows, "order_date_sk", "order_date")
-        if "ship_date" in wanted:
-            rows = self._join_date(rows, "ship_date_sk", "ship_date")
-        for table, key, attributes in (
-            ("d_customer", "customer_sk", self.CUSTOMER),
-            ("d_product", "product_sk", self.PRODUCT),
-            ("d_location", "location_sk", self.LOCATION),
-        ):
-            read = [a for a in attributes if a in wanted]
-            if read:
-                rows = rows.join(self.tables[table].select(key, *read), key)
+            keys.append("order_year")
+        if wanted & {"order_id", "ship_mode"}:
+            keys.append("order_id")
+        if summed and keys and "discount" not in wanted:
+            sums = [F.sum(c).alias(c) for c in ("sales", "profit", "quantity") if c in wanted]
+            rows = rows.groupBy(*keys).agg(*sums)
+        for name in dates:
+            rows = self._join_date(rows, f"{name}_sk", name)
+        for table, key, read in dimensions:
+            rows = rows.join(self.tables[table].select(key, *read), key)
         if "ship_mode" in wanted:
             rows = rows.join(self.tables["d_order"], "order_id")
         return rows.select(*columns)
 
     def _join_date(self, rows: DataFrame, key: str, name: str) -> DataFrame:
-        dates = self.tables["d_date"].select(F.col("date_sk").alias(key), F.col("date").alias(name))
+        on = [key]
+        dates = self.tables["d_date"].select(F.col("date_sk").alias(key), F.col("date").alias(name), "year")
+        if name == "order_date":
+            # also on the partition column: a date filter then prunes fact partitions
+            dates = dates.withColumnRenamed("year", "order_year")
+            on.append("order_year")
         # one row per calendar day: a few MB even for centuries
-        return rows.join(F.broadcast(dates), key)
+        return rows.join(F.broadcast(dates.drop("year")), on)
 
 
 def as_reported(view: DataFrame) -> DataFrame:
