@@ -25,7 +25,7 @@ DEFAULTS = {
 def lines(spark, *changes: dict):
     floats = {k for k, v in DEFAULTS.items() if isinstance(v, float)}
     rows = [tuple(float(v) if k in floats else v for k, v in {**DEFAULTS, **c}.items()) for c in changes]
-    return typed(spark.createDataFrame(rows, SCHEMA))
+    return counted_lines(typed(spark.createDataFrame(rows, SCHEMA)))
 
 
 def typed(df):
@@ -38,6 +38,11 @@ def typed(df):
     )
 
 
+def counted_lines(df):
+    rated = F.when(F.col("discount").isNull(), 0).otherwise(1)
+    return df.withColumns({"lines": F.lit(1), "rated_lines": rated})
+
+
 def random_lines(spark, count: int = 600, seed: int = 3):
     rng = random.Random(seed)
     changes = []
@@ -70,4 +75,5 @@ class Flat:
         self.df = df
 
     def view(self, *columns, summed=False):
-        return self.df.select(*columns) if columns else self.df
+        counted = counted_lines(self.df)
+        return counted.select(*columns) if columns else self.df

@@ -13,7 +13,7 @@ FREQUENCY_BINS = ((1, 1, "1"), (2, 3, "2-3"), (4, 5, "4-5"), (6, 10, "6-10"), (1
 CLOSED_TOP = 50  # upper end of the last bin in reference mode
 
 
-@metric("segment", "sales", "order_id", "customer_name", "profit", "discount")
+@metric("segment", "sales", "order_id", "customer_name", "profit", "discount", "rated_lines", summed=True)
 def segment_cards(df: DataFrame) -> DataFrame:
     sums = df.groupBy("segment").agg(
         n.total(F.col("sales")).alias("r"),
@@ -21,7 +21,7 @@ def segment_cards(df: DataFrame) -> DataFrame:
         F.count_distinct("customer_name").alias("customers"),
         n.total(F.col("profit")).alias("p"),
         F.sum("discount").alias("d"),
-        F.count("discount").alias("dn"),
+        F.sum("rated_lines").alias("dn"),
     )
     per_order = F.coalesce(n.ratio(F.col("r"), F.col("orders")), F.lit(0.0))
     margin = n.pct_or_zero(F.col("p"), F.col("r"))
@@ -39,13 +39,13 @@ def segment_cards(df: DataFrame) -> DataFrame:
     )
 
 
-@metric("segment", "sales", "profit", "discount")
+@metric("segment", "sales", "profit", "discount", "rated_lines", summed=True)
 def segment_margin(df: DataFrame) -> DataFrame:
     sums = df.groupBy("segment").agg(
         n.total(F.col("sales")).alias("r"),
         n.total(F.col("profit")).alias("p"),
         F.sum("discount").alias("d"),
-        F.count("discount").alias("dn"),
+        F.sum("rated_lines").alias("dn"),
     )
     margin = n.pct(F.col("p"), F.col("r"))
     discount = n.pct(F.col("d"), F.col("dn"))
@@ -58,7 +58,7 @@ def segment_margin(df: DataFrame) -> DataFrame:
     )
 
 
-@metric("customer_name", "segment", "sales", "order_id", "profit")
+@metric("customer_name", "segment", "sales", "order_id", "profit", summed=True)
 def top_customers(df: DataFrame, k: int = 10) -> DataFrame:
     sums = df.groupBy("customer_name", "segment").agg(
         n.total(F.col("sales")).alias("r"),
@@ -83,7 +83,7 @@ def top_customers(df: DataFrame, k: int = 10) -> DataFrame:
     )
 
 
-@metric("customer_name", "segment", "sales", "order_id")
+@metric("customer_name", "segment", "sales", "order_id", summed=True)
 def insight(df: DataFrame) -> DataFrame:
     """Top segment, mean ticket, customers and repeat rate; no row without data.
 
@@ -116,7 +116,7 @@ def insight(df: DataFrame) -> DataFrame:
     )
 
 
-@metric("customer_name", "order_id")
+@metric("customer_name", "order_id", summed=True)
 def frequency(df: DataFrame, top: int | None = None) -> DataFrame:
     """Customers per number of orders; ``top`` closes the last bin."""
     orders = (

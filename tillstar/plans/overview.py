@@ -10,14 +10,14 @@ from tillstar.operators.metric import metric
 from tillstar.operators.slices import ALL, Slice
 
 
-@metric("sales", "profit", "order_id", "customer_name", "quantity")
+@metric("sales", "profit", "order_id", "customer_name", "quantity", "lines", summed=True)
 def kpis(df: DataFrame) -> DataFrame:
     sums = df.agg(
         n.total(F.col("sales")).alias("sales"),
         n.total(F.col("profit")).alias("profit"),
         F.count_distinct("order_id").alias("total_orders"),
         F.count_distinct("customer_name").alias("total_customers"),
-        F.count(F.lit(1)).alias("total_fact_rows"),
+        n.total(F.col("lines")).alias("total_fact_rows"),
         n.total(F.col("quantity")).alias("total_units"),
         n.total(F.when(F.col("order_id").isNotNull(), F.col("quantity"))).alias("_ordered_units"),
     )
@@ -35,7 +35,7 @@ def kpis(df: DataFrame) -> DataFrame:
     )
 
 
-@metric("order_date", "sales", "profit", "order_id", "region", "segment")
+@metric("order_date", "sales", "profit", "order_id", "region", "segment", summed=True)
 def kpi_yoy(df: DataFrame, within: Slice = Slice(), mode: str = "latest_vs_previous") -> DataFrame:
     """Slice figures against those of the previous year.
 
@@ -140,7 +140,7 @@ def alerts(
     )
 
 
-@metric("order_id", "quantity")
+@metric("order_id", "quantity", summed=True)
 def quantity_stats(df: DataFrame) -> DataFrame:
     """Units sold, and the mean over orders of the units per order.
 
@@ -178,19 +178,19 @@ def top_products(df: DataFrame, k: int = 5) -> DataFrame:
     )
 
 
-@metric("order_id", "region", "order_date", "segment")
+@metric("order_id", "region", "order_date", "segment", "lines", summed=True)
 def filter_coverage(df: DataFrame, within: Slice = Slice()) -> DataFrame:
     """Distinct orders of the slice beside all fact rows, from one pass."""
     counts = df.agg(
         F.count_distinct(F.when(within.condition(), F.col("order_id"))).alias("filtered_orders"),
-        F.count("order_id").alias("total_fact_rows"),
+        n.total(F.when(F.col("order_id").isNotNull(), F.col("lines"))).alias("total_fact_rows"),
     )
     return counts.withColumn(
         "coverage_pct", n.pct_or_zero(F.col("filtered_orders"), F.col("total_fact_rows"))
     )
 
 
-@metric("region", "order_date", "segment")
+@metric("region", "order_date", "segment", "lines", summed=True)
 def filter_values(df: DataFrame) -> DataFrame:
     """Choices of each filter, the "all" word first, with fact rows per choice.
 
@@ -199,7 +199,7 @@ def filter_values(df: DataFrame) -> DataFrame:
     """
     cells = df.groupBy(
         F.col("region"), F.year("order_date").cast("string").alias("year"), F.col("segment")
-    ).agg(F.count(F.lit(1)).alias("rows"))
+    ).agg(n.total(F.col("lines")).alias("rows"))
     all_words = {"region": "Todas", "year": ALL, "segment": ALL}
     choices = cells.select(
         "rows",

@@ -48,6 +48,11 @@ def _metric(function, within: Slice | None = None, **options) -> Query:
     return lambda src: compute(function, src, within, **options)
 
 
+def _whole(function, **options) -> Query:
+    """A metric that applies its slice itself, to parts of the whole view."""
+    return lambda src: function(src.view(*function.columns, summed=function.summed), **options)
+
+
 # ---- inputs derived from the tables ------------------------------------------
 
 
@@ -131,7 +136,7 @@ def _dirty_dates(src: ParquetTables) -> DataFrame:
 
 
 def _customer_money(src: ParquetTables) -> DataFrame:
-    sums = src.view("customer_id", "sales", "profit").groupBy("customer_id").agg(
+    sums = src.view("customer_id", "sales", "profit", summed=True).groupBy("customer_id").agg(
         F.sum("sales").alias("s"), F.sum("profit").alias("p")
     )
     return sums.select(
@@ -213,7 +218,7 @@ QUERIES: dict[str, Query] = {
     "export_rows": lambda src: exports.export_rows(src, SLICE),
     "filter_region_year_segment": lambda src: compute(overview.kpis, src, SLICE),
     "ship_not_null": _metric(shipping.with_both_dates),
-    "filter_coverage": lambda src: overview.filter_coverage(src.view(*overview.filter_coverage.columns), SLICE),
+    "filter_coverage": _whole(overview.filter_coverage, within=SLICE),
     "filter_values": _metric(overview.filter_values),
     "clean_strings": _dirty_names,
     "clean_dates": _dirty_dates,
@@ -222,11 +227,11 @@ QUERIES: dict[str, Query] = {
     "status_bands": _metric(profitability.status_bands),
     # headline figures
     "kpis": _metric(overview.kpis),
-    "kpi_yoy": lambda src: overview.kpi_yoy(src.view(*overview.kpi_yoy.columns)),
-    "kpi_yoy_reference": lambda src: overview.kpi_yoy(src.view(*overview.kpi_yoy.columns), mode="reference"),
-    "kpi_yoy_slice": lambda src: overview.kpi_yoy(src.view(*overview.kpi_yoy.columns), SLICE),
-    "alerts": lambda src: overview.alerts(
-        src.view(*overview.alerts.columns), SLICE, HIGH_DISCOUNT, ALERT_REGION, ALERT_CATEGORY
+    "kpi_yoy": _whole(overview.kpi_yoy),
+    "kpi_yoy_reference": _whole(overview.kpi_yoy, mode="reference"),
+    "kpi_yoy_slice": _whole(overview.kpi_yoy, within=SLICE),
+    "alerts": _whole(
+        overview.alerts, within=SLICE, threshold=HIGH_DISCOUNT, region=ALERT_REGION, category=ALERT_CATEGORY
     ),
     "quantity_stats": _metric(overview.quantity_stats),
     "units_by_category": _metric(overview.units_by_category),

@@ -30,7 +30,7 @@ PROFIT_LABELS = ("Alta Rentabilidad", "Rentabilidad Media", "Baja Rentabilidad",
 # ---- base frames --------------------------------------------------------------
 
 
-@metric("customer_id", "customer_name", "segment", "order_date", "order_id", "sales", "profit")
+@metric("customer_id", "customer_name", "segment", "order_date", "order_id", "sales", "profit", summed=True)
 def rfm_base(df: DataFrame) -> DataFrame:
     """Recency, frequency and money per customer, with the name and segment of the first order.
 

@@ -68,7 +68,7 @@ def histogram(df: DataFrame) -> DataFrame:
     return days.groupBy("delivery_days", "ship_mode").agg(F.count(F.lit(1)).alias("orders"))
 
 
-@metric("ship_mode", "sales", "profit", "order_id")
+@metric("ship_mode", "sales", "profit", "order_id", summed=True)
 def mode_impact(df: DataFrame) -> DataFrame:
     sums = df.groupBy("ship_mode").agg(
         n.total(F.col("sales")).alias("r"),

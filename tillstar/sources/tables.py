@@ -8,12 +8,12 @@ are mapped to a real member) and which ``operators.quality`` reports on.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillstar.schemas import MONEY, RATE, VIEW_COLUMNS
+from tillstar.schemas import VIEW_COLUMNS
 
 
 # Read with declared schemas: no footer is opened just to infer them.
@@ -34,8 +34,69 @@ TABLE_SCHEMAS = {
 }
 
 
-def _day(column: str) -> Column:
-    return F.col(column).cast("date")
+# The view over these tables, as SQL. Prices and rates are whole cents: they are
+# rounded to integers first, since a direct double-to-decimal cast goes through
+# text for every row. Sums stay exact decimals, so they do not depend on the
+# order in which tasks finish.
+_CENTS = "cast(rint(l_extendedprice * 100) as bigint) * (100 - cast(rint(l_discount * 100) as bigint))"
+_COST = "cast(rint(p_retailprice * 100) as bigint) * cast(l_quantity as bigint) * 100"
+LINE = {
+    "ship_date": "cast(l_shipdate as date)",
+    "sales": f"cast(cast({_CENTS} as decimal(12,0)) * 0.0001BD as decimal(12,4))",
+    "quantity": "cast(l_quantity as int)",
+    "discount": "cast(l_discount as decimal(5,4))",
+}
+ORDER = {
+    "order_date": "cast(o_orderdate as date)",
+    "ship_mode": "o_orderpriority",
+    "customer_id": "o_custkey",
+}
+GEOGRAPHY = {
+    "state": "n_name",
+    "city": "concat(n_name, '_C', cast(c_custkey % 10 as string))",
+    "country": "r_name",
+    "region": "r_name",
+}
+CUSTOMER = {
+    "customer_name": "c_name",
+    "segment": "c_mktsegment",
+    "postal_code": "lpad(cast(c_custkey % 100 as string), 5, '0')",
+    **GEOGRAPHY,
+}
+PART = {
+    "product_name": "p_name",
+    "category": "p_type",
+    "sub_category": "p_brand",
+    "profit": f"cast(cast({_CENTS} - {_COST} as decimal(12,0)) * 0.0001BD as decimal(12,4))",
+}
+# Columns that callers of summed views only ever add up; a line counts as one.
+MEASURES = {
+    "sales": LINE["sales"],
+    "quantity": LINE["quantity"],
+    "profit": PART["profit"],
+    "discount": LINE["discount"],
+    "lines": "1",
+    "rated_lines": "if(l_discount is null, 0, 1)",
+}
+EVERY = {"order_id": "l_orderkey", "product_id": "l_partkey", **LINE, **ORDER, **CUSTOMER, **PART, **MEASURES}
+PRODUCT = {*PART, "product_id"} - {"profit"}
+
+# Largest Parquet input, in bytes on disk, of a side that is broadcast.
+BROADCAST_BYTES = 10 * 2**20
+
+
+def _named(expressions: Mapping[str, str], columns: Iterable[str]) -> list[str]:
+    return [f"{expressions[c]} AS {c}" for c in columns]
+
+
+def _summed(columns: Iterable[str]) -> list[str]:
+    return [f"{f'_{c}' if c in MEASURES else EVERY[c]} AS {c}" for c in columns]
+
+
+def _add_up(rows: DataFrame, keys: list[str], measures: Mapping[str, str]) -> DataFrame:
+    """Sums ``_<measure>`` per key; the distinct keys where nothing is summed."""
+    sums = [F.expr(f"sum({e}) AS _{m}") for m, e in measures.items()]
+    return rows.groupBy(*keys).agg(*sums) if sums else rows.select(*keys).distinct()
 
 
 class ParquetTables:
@@ -44,134 +105,105 @@ class ParquetTables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._sizes: dict[str, int] = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
 
-    def _line(self) -> dict[str, Column]:
-        price = F.col("l_extendedprice").cast("decimal(12,2)")
-        kept = F.lit(1).cast("decimal(4,2)") - F.col("l_discount").cast("decimal(4,2)")
-        return {
-            "order_id": F.col("l_orderkey"),
-            "product_id": F.col("l_partkey"),
-            "ship_date": _day("l_shipdate"),
-            "sales": (price * kept).cast(MONEY),
-            "quantity": F.col("l_quantity").cast("int"),
-            "discount": F.col("l_discount").cast(RATE),
-        }
-
-    def _order(self) -> dict[str, Column]:
-        return {
-            "order_date": _day("o_orderdate"),
-            "ship_mode": F.col("o_orderpriority"),
-            "customer_id": F.col("o_custkey"),
-        }
-
-    def _customer(self) -> dict[str, Column]:
-        suffix = F.col("c_custkey") % 10
-        return {
-            "customer_name": F.col("c_name"),
-            "segment": F.col("c_mktsegment"),
-            "state": F.col("n_name"),
-            "city": F.concat(F.col("n_name"), F.lit("_C"), suffix.cast("string")),
-            "postal_code": F.lpad((F.col("c_custkey") % 100).cast("string"), 5, "0"),
-            "country": F.col("r_name"),
-            "region": F.col("r_name"),
-        }
+    def bytes(self, name: str) -> int:
+        """Size of a table on disk."""
+        if name not in self._sizes:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}.parquet")
+            system = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            self._sizes[name] = system.getContentSummary(path).getLength()
+        return self._sizes[name]
+
+    def _broadcast_if_small(self, joined: DataFrame, *tables: str) -> DataFrame:
+        """Broadcast a side made of key joins of ``tables`` while they are small.
+
+        Spark estimates a join as the product of its inputs and would pick the
+        order lines to broadcast instead. Beyond the limit there is no hint: the
+        join shuffles, and adaptive execution splits hot keys.
+        """
+        small = sum(self.bytes(t) for t in tables) <= BROADCAST_BYTES
+        return F.broadcast(joined) if small else joined
 
     def view(self, *columns: str, summed: bool = False) -> DataFrame:
         """The named columns, joining only the tables that supply them.
 
-        ``summed`` is for callers that only ever add up sales, profit and
-        quantity: lines are then added up per join key before the join, see
-        ``_per_product`` and ``_per_customer``.
+        ``summed`` is for callers that only ever add up the measures: where the
+        other columns allow it they get one row per product, order or customer.
         """
         columns = columns or VIEW_COLUMNS
-        line, order, customer = self._line(), self._order(), self._customer()
-        part = {
-            "product_name": F.col("p_name"),
-            "category": F.col("p_type"),
-            "sub_category": F.col("p_brand"),
-            "profit": (
-                line["sales"] - F.col("p_retailprice").cast("decimal(12,2)") * line["quantity"]
-            ).cast(MONEY),
-        }
-        every = {**line, **order, **customer, **part}
         wanted = set(columns)
-        for_order = wanted & ({*order, *customer, "order_id"})
-        for_part = wanted & ({*part, "product_id"})
-        if summed and "ship_date" not in wanted and "discount" not in wanted:
-            if for_part and not for_order:
-                return self._per_product(columns, part)
-            if for_order and not for_part:
-                return self._per_customer(columns, wanted, order, customer)
+        if summed and "ship_date" not in wanted:
+            if not wanted & PRODUCT:
+                return self._per_order(wanted).selectExpr(*_summed(columns))
+            if not wanted & {"order_id", *ORDER, *CUSTOMER}:
+                return self._per_product(wanted).selectExpr(*_summed(columns))
 
         joined = self.table("lineitem")
-        if wanted & {*order, *customer}:
-            joined = joined.join(self._orders(wanted, customer), F.col("l_orderkey") == F.col("o_orderkey"))
-        if wanted & set(part):
-            joined = joined.join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
-        return joined.select(*[every[c].alias(c) for c in columns])
-
-    def _line_sums(self, key: str) -> DataFrame:
-        line = self._line()
-        return (
-            self.table("lineitem")
-            .groupBy(key)
-            .agg(F.sum(line["sales"]).alias("_sales"), F.sum(line["quantity"]).alias("_quantity"))
-        )
+        if wanted & {*ORDER, *CUSTOMER}:
+            joined = joined.join(self._orders(wanted), F.col("l_orderkey") == F.col("o_orderkey"))
+        if wanted & set(PART):
+            joined = self._with_part(joined)
+        return joined.selectExpr(*_named(EVERY, columns))
 
-    def _per_product(self, columns, part: Mapping[str, Column]) -> DataFrame:
+    def _with_part(self, lines: DataFrame) -> DataFrame:
+        return lines.join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
+
+    def _per_product(self, wanted: set[str]) -> DataFrame:
         """One row per product: a hot product is combined on the map side and
-        meets its part row once."""
-        sums = self._line_sums("l_partkey").join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
-        price = F.col("p_retailprice").cast("decimal(12,2)")
-        every = {
-            **part,
-            "product_id": F.col("l_partkey"),
-            "sales": F.col("_sales"),
-            "quantity": F.col("_quantity"),
-            "profit": (F.col("_sales") - price * F.col("_quantity")).cast("decimal(24,4)"),
-        }
-        return sums.select(*[every[c].alias(c) for c in columns])
-
-    def _per_customer(self, columns, wanted, order, customer) -> DataFrame:
-        """One row per order, or per customer where no order attribute is read.
+        meets its part row once. Its price is one value, so profit needs only
+        the summed sales and quantity."""
+        parts = {m: e for m, e in MEASURES.items() if m in wanted and m != "profit"}
+        if "profit" in wanted:
+            parts |= {"sales": MEASURES["sales"], "quantity": MEASURES["quantity"]}
+        sums = self._with_part(_add_up(self.table("lineitem"), ["l_partkey"], parts))
+        price = "cast(p_retailprice as decimal(12,2))"
+        profit = F.expr(f"cast(_sales - {price} * _quantity as decimal(24,4))")
+        return sums.withColumn("_profit", profit) if "profit" in wanted else sums
+
+    def _per_order(self, wanted: set[str]) -> DataFrame:
+        """One row per order, or per customer where no order column is read.
 
         Lines shrink to orders before they meet the orders, and orders to
-        customers before they meet the customers: the join exchanges move sums
-        instead of lines, and neither a hot order nor a hot customer skews them.
+        customers before they meet the customers: the exchange the join needs
+        moves sums instead of lines, a distinct count of orders finds its rows
+        already in place, and neither a hot order nor a hot customer skews them.
         """
-        sums = self._line_sums("l_orderkey").join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        if wanted & set(customer):
-            if not wanted & {"order_date", "ship_mode", "order_id"}:
-                sums = sums.groupBy("o_custkey").agg(
-                    F.sum("_sales").alias("_sales"), F.sum("_quantity").alias("_quantity")
-                )
-            sums = sums.join(self._people(wanted), F.col("o_custkey") == F.col("c_custkey"))
-        every = {
-            **order,
-            **customer,
-            "order_id": F.col("l_orderkey"),
-            "sales": F.col("_sales"),
-            "quantity": F.col("_quantity"),
-        }
-        return sums.select(*[every[c].alias(c) for c in columns])
-
-    def _orders(self, wanted: set[str], customer: Mapping[str, Column]) -> DataFrame:
+        lines = self.table("lineitem")
+        if "profit" in wanted:
+            lines = self._with_part(lines)
+        measures = {m: e for m, e in MEASURES.items() if m in wanted}
+        if not wanted & {"order_id", *ORDER, *CUSTOMER}:
+            return _add_up(lines, [], measures)
+        sums = _add_up(lines, ["l_orderkey"], measures)
+        if not wanted & {*ORDER, *CUSTOMER}:
+            return sums
+        sums = sums.join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        if not wanted & set(CUSTOMER):
+            return sums
+        if not wanted & {"order_id", "order_date", "ship_mode"}:
+            sums = _add_up(sums, ["o_custkey"], {m: f"_{m}" for m in measures})
+        return sums.join(self._people(wanted), F.col("o_custkey") == F.col("c_custkey"))
+
+    def _orders(self, wanted: set[str]) -> DataFrame:
         """Orders with what is needed of their customer, so order lines join once."""
         orders = self.table("orders")
-        if not wanted & set(customer):
+        if not wanted & set(CUSTOMER):
             return orders
-        return orders.join(self._people(wanted), F.col("o_custkey") == F.col("c_custkey"))
+        joined = orders.join(self._people(wanted), F.col("o_custkey") == F.col("c_custkey"))
+        return self._broadcast_if_small(joined, "orders", "customer")
 
     def _people(self, wanted: set[str]) -> DataFrame:
         people = self.table("customer")
-        if wanted & {"state", "city", "country", "region"}:
-            people = people.join(self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        if not wanted & set(GEOGRAPHY):
+            return people
+        people = people.join(self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         if wanted & {"country", "region"}:
             people = people.join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        return people
+        return self._broadcast_if_small(people, "customer", "nation", "region")
 
 
 class StarTables:
@@ -193,8 +225,8 @@ class StarTables:
     def view(self, *columns: str, summed: bool = False) -> DataFrame:
         """The named columns, joining only the dimensions that supply them.
 
-        ``summed``: callers only add up sales, profit and quantity, so the fact
-        is added up per surrogate key before it meets a dimension.
+        ``summed``: callers only add up the measures, so the fact is added up
+        per surrogate key before it meets a dimension.
         """
         columns = columns or VIEW_COLUMNS
         wanted = set(columns)
@@ -214,9 +246,12 @@ class StarTables:
             keys.append("order_year")
         if wanted & {"order_id", "ship_mode"}:
             keys.append("order_id")
-        if summed and keys and "discount" not in wanted:
-            sums = [F.sum(c).alias(c) for c in ("sales", "profit", "quantity") if c in wanted]
-            rows = rows.groupBy(*keys).agg(*sums)
+        rows = rows.withColumns(
+            {"lines": F.lit(1), "rated_lines": F.when(F.col("discount").isNull(), 0).otherwise(1)}
+        )
+        if summed and keys:
+            sums = [F.sum(c).alias(c) for c in MEASURES if c in wanted]
+            rows = rows.groupBy(*keys).agg(*sums) if sums else rows.select(*keys).distinct()
         for name in dates:
             rows = self._join_date(rows, f"{name}_sk", name)
         for table, key, read in dimensions:
