@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, combinations_with_replacement
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.regression import LinearRegression
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillstar.functions import numbers as n
 from tillstar.operators.metric import metric
-from tillstar.session import settle
 
 CATEGORIES = ("category", "region", "segment", "ship_mode", "month")
 NUMBERS = ("sales", "discount", "quantity")
+MAX_TERMS = 2000  # pairs of terms are solved on the driver
 # accepted scenario values
 RANGES = {"sales": (0, 10_000), "discount": (0, 0.8), "quantity": (1, 50), "month": (1, 12)}
 
@@ -102,55 +101,98 @@ class ProfitModel:
 def training_rows(df: DataFrame) -> DataFrame:
     return df.select(
         *[n.real(F.col(c)).alias(c) for c in NUMBERS],
-        *[F.col(c) for c in CATEGORIES if c != "month"],
+        *[F.coalesce(F.col(c), F.lit("nan")).alias(c) for c in CATEGORIES if c != "month"],
         F.month("order_date").cast("string").alias("month"),
         n.real(F.col("profit")).alias("profit"),
     )
 
 
+def moments(rows: DataFrame) -> DataFrame:
+    """Sums of products of every two regression terms, one row per pair.
+
+    The lines are read once and collapse, with a map-side combine, to one row
+    per combination of category values; a one-hot term is 1 or 0 there, so its
+    products are the cell's count and sums. The result has one row per pair of
+    terms, however many lines there are.
+    """
+    plain = (_ONE, *NUMBERS, _TARGET)
+    products = {
+        (a, b): F.sum(F.lit(1.0) if a == b == _ONE else _value(a) * _value(b)).alias(f"{a}*{b}")
+        for a, b in combinations_with_replacement(plain, 2)
+    }
+    cells = rows.groupBy(*CATEGORIES).agg(*products.values())
+    terms = [(c, c, F.lit(None).cast("string")) for c in plain]
+    terms += [(c, _ONE, F.col(c)) for c in CATEGORIES]
+    pairs = [
+        F.struct(
+            F.lit(a).alias("a"), level_a.alias("level_a"), F.lit(b).alias("b"), level_b.alias("level_b"),
+            F.col("`" + "*".join(sorted((as_a, as_b), key=plain.index)) + "`").alias("value"),
+        )
+        for (a, as_a, level_a), (b, as_b, level_b) in combinations_with_replacement(terms, 2)
+    ]
+    exploded = cells.select(F.inline(F.array(*pairs)))
+    return exploded.groupBy("a", "level_a", "b", "level_b").agg(F.sum("value").alias("value"))
+
+
+_ONE, _TARGET = "one", "profit"
+
+
+def _value(name: str) -> Column:
+    return F.lit(1.0) if name == _ONE else F.col(name)
+
+
 @metric("sales", "discount", "quantity", "category", "region", "segment", "ship_mode", "order_date", "profit")
 def fit(df: DataFrame) -> ProfitModel:
-    """Fit the model with every level one-hot encoded, in minimum-norm form.
+    """Least squares with every level one-hot encoded, in minimum-norm form.
 
-    The full encoding is rank-deficient: each category's dummies sum to one. Its
-    minimum-norm least-squares solution has coefficients that sum to zero per
-    category, so the model is fitted without the last level and then centred.
-    The narrow training rows are written once: indexing, fitting and R² each
-    read them again.
+    The full encoding is rank-deficient (each category's dummies sum to one);
+    the pseudo-inverse of the centred products picks the solution of smallest
+    norm, whose coefficients sum to zero within each category. Only the pairs
+    of terms reach the driver, and their number is checked.
     """
-    rows = settle(training_rows(df), "training")
-    stages = [
-        StringIndexer(
-            inputCols=list(CATEGORIES),
-            outputCols=[f"{c}_index" for c in CATEGORIES],
-            stringOrderType="alphabetAsc",
-        ),
-        OneHotEncoder(
-            inputCols=[f"{c}_index" for c in CATEGORIES],
-            outputCols=[f"{c}_hot" for c in CATEGORIES],
-            dropLast=True,
-        ),
-        VectorAssembler(inputCols=[*NUMBERS, *[f"{c}_hot" for c in CATEGORIES]], outputCol="features"),
-        LinearRegression(labelCol="profit", solver="normal", regParam=0.0),
-    ]
-    pipeline = Pipeline(stages=stages).fit(rows)
-    indexer, regression = pipeline.stages[0], pipeline.stages[-1]
-    return _centred(
-        list(regression.coefficients), float(regression.intercept), indexer.labelsArray, float(regression.summary.r2)
+    pairs = moments(training_rows(df))
+    rows = pairs.limit(MAX_TERMS**2 + 1).collect()
+    if len(rows) > MAX_TERMS**2:
+        raise ValueError(f"more than {MAX_TERMS} terms: too many distinct category values")
+    return solve(rows)
+
+
+def solve(rows: Sequence) -> ProfitModel:
+    """The model from the products of its terms."""
+    terms = sorted({(r["a"], r["level_a"]) for r in rows}, key=_term_order)
+    place = {term: i for i, term in enumerate(terms)}
+    products = np.zeros((len(terms), len(terms)))
+    for r in rows:
+        i, j = place[r["a"], r["level_a"]], place[r["b"], r["level_b"]]
+        products[i, j] = products[j, i] = r["value"]
+    one, target = place[_ONE, None], place[_TARGET, None]
+    count = products[one, one]
+    means = products[one] / count
+    centred = products - count * np.outer(means, means)
+    inputs = [i for i in range(len(terms)) if i not in (one, target)]
+    # unit scale for the numbers, one common scale for all dummies
+    scale = np.array(
+        [math.sqrt(max(centred[i, i], 0.0)) or 1.0 if terms[i][1] is None else math.sqrt(count) for i in inputs]
+    )
+    cross = centred[inputs, target] / scale
+    inverse = np.linalg.pinv(centred[np.ix_(inputs, inputs)] / np.outer(scale, scale), rcond=1e-13, hermitian=True)
+    weights = inverse @ cross
+    slopes = dict(zip((terms[i] for i in inputs), weights / scale))
+    spread = centred[target, target]
+    levels: dict[str, dict[str, float]] = {c: {} for c in CATEGORIES}
+    for (column, level), slope in slopes.items():
+        if level is not None:
+            levels[column][level] = float(slope)
+    return ProfitModel(
+        float(means[target] - sum(slope * means[place[term]] for term, slope in slopes.items())),
+        {c: float(slopes[c, None]) for c in NUMBERS},
+        levels,
+        float(weights @ cross / spread) if spread > 0 else 1.0,
     )
 
 
-def _centred(weights: Sequence[float], intercept: float, labels: Sequence[Sequence[str]], r2: float) -> ProfitModel:
-    numbers = {c: float(w) for c, w in zip(NUMBERS, weights)}
-    rest = list(weights[len(NUMBERS) :])
-    levels = {}
-    for column, known in zip(CATEGORIES, labels):
-        raw = [float(w) for w in rest[: len(known) - 1]] + [0.0]
-        rest = rest[len(known) - 1 :]
-        mean = sum(raw) / len(raw)
-        intercept += mean
-        levels[column] = {level: w - mean for level, w in zip(known, raw)}
-    return ProfitModel(intercept, numbers, levels, r2)
+def _term_order(term: tuple[str, str | None]) -> tuple[str, str]:
+    return term[0], term[1] or ""
 
 
 def scenario_grid(spark: SparkSession, **choices: Sequence) -> DataFrame:

@@ -125,18 +125,32 @@ class ParquetTables:
         order lines to broadcast instead. Beyond the limit there is no hint: the
         join shuffles, and adaptive execution splits hot keys.
         """
-        small = sum(self.bytes(t) for t in tables) <= BROADCAST_BYTES
-        return F.broadcast(joined) if small else joined
+        return F.broadcast(joined) if self._small(*tables) else joined
+
+    def _small(self, *tables: str) -> bool:
+        return sum(self.bytes(t) for t in tables) <= BROADCAST_BYTES
+
+    @staticmethod
+    def _joined(wanted: set[str]) -> list[str]:
+        """Tables that supply the wanted columns beside the lines."""
+        tables = ["part"] if wanted & set(PART) else []
+        if wanted & {*ORDER, *CUSTOMER}:
+            tables.append("orders")
+        if wanted & set(CUSTOMER):
+            tables.append("customer")
+        return tables
 
     def view(self, *columns: str, summed: bool = False) -> DataFrame:
         """The named columns, joining only the tables that supply them.
 
         ``summed`` is for callers that only ever add up the measures: where the
         other columns allow it they get one row per product, order or customer.
+        While the joined tables are small enough to broadcast, lines need no
+        exchange to meet them, so only order counts profit from this.
         """
         columns = columns or VIEW_COLUMNS
         wanted = set(columns)
-        if summed and "ship_date" not in wanted:
+        if summed and "ship_date" not in wanted and ("order_id" in wanted or not self._small(*self._joined(wanted))):
             if not wanted & PRODUCT:
                 return self._per_order(wanted).selectExpr(*_summed(columns))
             if not wanted & {"order_id", *ORDER, *CUSTOMER}:
