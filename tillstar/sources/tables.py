@@ -83,6 +83,8 @@ PRODUCT = {*PART, "product_id"} - {"profit"}
 
 # Largest Parquet input, in bytes on disk, of a side that is broadcast.
 BROADCAST_BYTES = 10 * 2**20
+# Smallest file split Spark makes by default.
+SPLIT_BYTES = 4 * 2**20
 
 
 def _named(expressions: Mapping[str, str], columns: Iterable[str]) -> list[str]:
@@ -110,6 +112,16 @@ class ParquetTables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
 
+    def lines(self) -> DataFrame:
+        """Order lines. An input too small to give every core a file split is
+        spread over the cores, by a key no single order or product can dominate;
+        a large one is read as it is."""
+        lines = self.table("lineitem")
+        cores = self.spark.sparkContext.defaultParallelism
+        if self.bytes("lineitem") < cores * SPLIT_BYTES:
+            return lines.repartition(cores, "l_orderkey", "l_linenumber")
+        return lines
+
     def bytes(self, name: str) -> int:
         """Size of a table on disk."""
         if name not in self._sizes:
@@ -156,7 +168,7 @@ class ParquetTables:
             if not wanted & {"order_id", *ORDER, *CUSTOMER}:
                 return self._per_product(wanted).selectExpr(*_summed(columns))
 
-        joined = self.table("lineitem")
+        joined = self.lines()
         if wanted & {*ORDER, *CUSTOMER}:
             joined = joined.join(self._orders(wanted), F.col("l_orderkey") == F.col("o_orderkey"))
         if wanted & set(PART):
@@ -173,7 +185,7 @@ class ParquetTables:
         parts = {m: e for m, e in MEASURES.items() if m in wanted and m != "profit"}
         if "profit" in wanted:
             parts |= {"sales": MEASURES["sales"], "quantity": MEASURES["quantity"]}
-        sums = self._with_part(_add_up(self.table("lineitem"), ["l_partkey"], parts))
+        sums = self._with_part(_add_up(self.lines(), ["l_partkey"], parts))
         price = "cast(p_retailprice as decimal(12,2))"
         profit = F.expr(f"cast(_sales - {price} * _quantity as decimal(24,4))")
         return sums.withColumn("_profit", profit) if "profit" in wanted else sums
@@ -186,7 +198,7 @@ class ParquetTables:
         moves sums instead of lines, a distinct count of orders finds its rows
         already in place, and neither a hot order nor a hot customer skews them.
         """
-        lines = self.table("lineitem")
+        lines = self.lines()
         if "profit" in wanted:
             lines = self._with_part(lines)
         measures = {m: e for m, e in MEASURES.items() if m in wanted}
