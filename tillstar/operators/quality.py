@@ -9,24 +9,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def orphan_report(fact: DataFrame, references: Mapping[str, tuple[str, DataFrame, str]]) -> DataFrame:
-    """Rows of ``fact`` per reference whose key the dimension lacks.
+def orphan_report(references: Mapping[str, tuple[DataFrame, str, DataFrame, str]]) -> DataFrame:
+    """Rows per reference whose key the dimension lacks.
 
-    ``references``: name -> (fact column, dimension, dimension key). Each check
-    first reduces the fact to one row per key value, so only distinct keys and
-    their counts are shuffled and joined.
+    ``references``: name -> (rows, their column, dimension, its key). Each check
+    first reduces the rows to one per key value, so only distinct keys and their
+    counts are shuffled and joined.
     """
     reports = []
-    for name, (column, dim, key) in references.items():
-        counted = fact.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_key")).count()
+    for name, (rows, column, dim, key) in references.items():
+        counted = rows.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_key")).count()
         known = dim.select(F.col(key).alias("_key"), F.lit(True).alias("_known")).distinct()
         checked = counted.join(known, "_key", "left")
+        missing = F.col("_known").isNull()
         reports.append(
             checked.agg(
                 F.lit(name).alias("reference"),
                 F.coalesce(F.sum("count"), F.lit(0)).alias("checked_rows"),
-                F.coalesce(F.sum(F.when(F.col("_known").isNull(), F.col("count"))), F.lit(0)).alias("orphan_rows"),
-                F.count(F.when(F.col("_known").isNull(), 1)).alias("orphan_keys"),
+                F.coalesce(F.sum(F.when(missing, F.col("count"))), F.lit(0)).alias("orphan_rows"),
+                F.count(F.when(missing, 1)).alias("orphan_keys"),
             )
         )
     return reduce(DataFrame.unionByName, reports)

@@ -59,7 +59,7 @@ def sheets(source, module: str, within: Slice = Slice()) -> dict[str, DataFrame]
         return {
             "kpis": _indicators(
                 headline,
-                {
+                {  # fixed values: labels of the figures, here and below
                     "total_sales": "Ingresos Totales",
                     "total_profit": "Utilidad Total",
                     "total_orders": "Ordenes",

@@ -90,21 +90,21 @@ def _last_customers(src: ParquetTables) -> DataFrame:
 
 def _orphans(src: ParquetTables) -> DataFrame:
     """All order lines against dimensions that hold the first load only."""
-    early = src.view("order_date", "order_id", "product_id", "customer_id", "city").filter(
-        F.col("order_date") < F.lit(FIRST_LOAD)
-    )
-    lines = src.view("order_date", "ship_date", "order_id", "product_id", "customer_id", "city")
-    known = {c: early.select(c) for c in ("order_date", "order_id", "product_id", "customer_id", "city")}
+
+    def known(column: str) -> DataFrame:
+        columns = dict.fromkeys((column, "order_date"))
+        return src.view(*columns).filter(F.col("order_date") < F.lit(FIRST_LOAD)).select(column)
+
+    checks = {
+        "order_date": ("order_date", "order_date"),
+        "ship_date": ("ship_date", "order_date"),
+        "order": ("order_id", "order_id"),
+        "product": ("product_id", "product_id"),
+        "customer": ("customer_id", "customer_id"),
+        "location": ("city", "city"),
+    }
     return quality.orphan_report(
-        lines,
-        {
-            "order_date": ("order_date", known["order_date"], "order_date"),
-            "ship_date": ("ship_date", known["order_date"], "order_date"),
-            "order": ("order_id", known["order_id"], "order_id"),
-            "product": ("product_id", known["product_id"], "product_id"),
-            "customer": ("customer_id", known["customer_id"], "customer_id"),
-            "location": ("city", known["city"], "city"),
-        },
+        {name: (src.view(column), column, known(key), key) for name, (column, key) in checks.items()}
     )
 
 
@@ -196,6 +196,11 @@ def _scores(src: ParquetTables) -> DataFrame:
     return model.score(scenarios)
 
 
+def _model_info(src: ParquetTables) -> DataFrame:
+    info = compute(profit_model.fit, src).info(src.spark)
+    return info.withColumns({c: F.array_join(c, ", ") for c in profit_model.CATEGORIES})
+
+
 def _members(segment, base, *columns: str) -> Query:
     def run(src: ParquetTables) -> DataFrame:
         return segment(compute(base, src)).members.select(*columns, "cluster_label", "cluster_rank")
@@ -322,6 +327,7 @@ QUERIES: dict[str, Query] = {
     "forecast": _metric(forecast.forecast),
     "forecast_metrics": _metric(forecast.forecast_metrics),
     "profit_model": lambda src: compute(profit_model.fit, src).coefficients(src.spark),
+    "profit_model_info": _model_info,
     "profit_scores": _scores,
 }
 

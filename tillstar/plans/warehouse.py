@@ -89,7 +89,7 @@ def products_of(df: DataFrame, arrival: str = "order_id") -> DataFrame:
     return first_per_key(df, ["product_id"], PRODUCT, arrival)
 
 
-@metric("customer_id", "customer_name", "segment", "order_id")
+@metric("customer_id", "customer_name", "segment", "order_id", summed=True)
 def d_customer(df: DataFrame, run_date: dt.date, arrival: str = "order_id") -> DataFrame:
     return first_versions(customers_of(df, arrival), "customer_sk", "customer_id", CUSTOMER, run_date)
 
@@ -99,20 +99,22 @@ def d_product(df: DataFrame, run_date: dt.date, arrival: str = "order_id") -> Da
     return first_versions(products_of(df, arrival), "product_sk", "product_id", PRODUCT, run_date)
 
 
-@metric("country", "region", "state", "city", "postal_code")
+@metric("country", "region", "state", "city", "postal_code", summed=True)
 def d_location(df: DataFrame) -> DataFrame:
     return with_dense_key(df.select(*LOCATION).distinct(), "location_sk", LOCATION)
 
 
-@metric("order_id", "ship_mode")
+@metric("order_id", "ship_mode", summed=True)
 def d_order(df: DataFrame, arrival: str | None = None) -> DataFrame:
     """One row per order; the first ship mode in ``arrival`` order if lines disagree."""
     if arrival is None:
-        return df.groupBy("order_id").agg(F.min("ship_mode").alias("ship_mode"))
+        # distinct pairs first: a hash aggregate with a map-side combine
+        pairs = df.select("order_id", "ship_mode").distinct()
+        return pairs.groupBy("order_id").agg(F.min("ship_mode").alias("ship_mode"))
     return first_per_key(df, ["order_id"], ["ship_mode"], arrival)
 
 
-@metric("segment")
+@metric("segment", summed=True)
 def d_segment(df: DataFrame) -> DataFrame:
     names = df.filter(F.col("segment").isNotNull()).select(F.col("segment").alias("segment_name")).distinct()
     return with_dense_key(names, "segment_sk", ["segment_name"])
@@ -197,8 +199,8 @@ FOREIGN_KEYS = {
 
 
 def foreign_key_report(tables: Mapping[str, DataFrame]) -> DataFrame:
-    references = {name: (column, tables[dim], key) for name, (column, dim, key) in FOREIGN_KEYS.items()}
-    return orphan_report(tables["f_sales"], references)
+    fact = tables["f_sales"]
+    return orphan_report({name: (fact, column, tables[dim], key) for name, (column, dim, key) in FOREIGN_KEYS.items()})
 
 
 def primary_key_report(tables: Mapping[str, DataFrame]) -> DataFrame:

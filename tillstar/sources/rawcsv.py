@@ -16,8 +16,8 @@ def read_order_lines(spark: SparkSession, path: str, positions: bool = False) ->
     """All columns under their header names; measures typed, the rest text.
 
     Only the header line is read to learn the names; there is no inference pass
-    over the data. ``positions`` adds ``source_row``, a number that grows in
-    file order and stays the same when a task is retried.
+    over the data. ``positions`` adds ``source_row``, which is unique, grows in
+    line order within a file and stays the same when a task is retried.
     """
     names = spark.read.options(**CSV_OPTIONS).csv(path).columns
     schema = T.StructType([T.StructField(n, RAW_TYPES.get(snake(n), T.StringType())) for n in names])
