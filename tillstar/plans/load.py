@@ -123,9 +123,12 @@ def run_load(spark: SparkSession, settings: LoadSettings) -> bool:
         "f_sales",
         "Sales fact",
         lambda: store.overwrite_table(
-            # cluster by partition value, sorted, so each year gets few, well-pruned files
+            # clustered by year and day, so each year gets few, well-pruned files; the
+            # further columns split a day or an order that holds a large part of all lines
             store.as_declared(w.f_sales(clean, dims, settings.unknown_sk), "f_sales")
-            .repartitionByRange("order_year", "order_date_sk", "order_id")
+            .repartitionByRange(
+                "order_year", "order_date_sk", "order_id", "product_sk", F.xxhash64("sales", "quantity", "profit")
+            )
             .sortWithinPartitions("order_year", "order_date_sk"),
             f"{db}.f_sales",
             ["order_year"],
