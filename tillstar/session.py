@@ -1,10 +1,10 @@
-"""Session settings and materialisation in the cluster's shared folder."""
+"""Session settings and intermediate tables in the cluster's shared folder."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_SETTINGS = {
@@ -15,8 +15,6 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
-_local_scratch: tempfile.TemporaryDirectory | None = None
-
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings every job here relies on."""
@@ -26,21 +24,24 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach: ``spark.checkpoint.dir`` of the session.
+    """Folder all executors can reach, for intermediate tables.
 
-    Only a local-mode session without that setting gets a temporary folder; a
-    cluster session without it is an error, since a machine-local folder would
-    be invisible to the other executors.
+    ``spark.checkpoint.dir`` of the session; where that is unset, a folder
+    below the session's warehouse directory, which tables share anyway.
     """
-    global _local_scratch
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    if _local_scratch is None:
-        _local_scratch = tempfile.TemporaryDirectory(prefix="tillstar-")
-    return f"file://{_local_scratch.name}"
+    configured = (
+        spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        or spark.conf.get("spark.checkpoint.dir", None)
+        or spark.sparkContext.getCheckpointDir()
+    )
+    if not configured:
+        configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+    return configured.rstrip("/")
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    """Path of a folder below ``shared_dir`` that nothing else uses."""
+    return f"{shared_dir(spark)}/tillstar/{label}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
@@ -48,8 +49,28 @@ def settle(df: DataFrame, label: str) -> DataFrame:
 
     Cuts lineage for frames used several times. The files survive lost
     executors, and their size on disk tells Spark whether a later join may
-    broadcast them.
+    broadcast them. ``discard`` removes them.
     """
-    path = f"{shared_dir(df.sparkSession)}/tillstar/{label}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    settled = df.sparkSession.read.schema(df.schema).parquet(path)
+    settled.settled_path = path
+    return settled
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote; a missing one is no error."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Py4JError:  # an interpreter that is going down
+        pass
+
+
+def discard(*settled: DataFrame) -> None:
+    """Delete the files of frames made by ``settle`` once nothing reads them."""
+    for df in settled:
+        path = getattr(df, "settled_path", None)
+        if path:
+            remove_folder(df.sparkSession, path)
