@@ -6,10 +6,13 @@ import itertools
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from tillstar.operators.ordered import with_running_totals
 from tillstar.session import discard, settle, tune
@@ -107,7 +110,16 @@ def slices_by_bytes(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
     n = len(column)
     if not n:
         return
-    lengths = pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    lengths = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     group = (np.cumsum(lengths) - lengths) // most
     starts = np.flatnonzero(np.diff(group, prepend=-1))
     yield from itertools.pairwise([*starts.tolist(), n])
+
+
+def range_column(column: str, bounds: np.ndarray):
+    """Column expression: the key range of ``column``; only the key goes to Python."""
+    @pandas_udf("int")
+    def number(keys: pd.Series) -> pd.Series:
+        return pd.Series(range_of(pa.array(keys, pa.int64(), from_pandas=True), bounds))
+
+    return number(F.col(column))

@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillstar.llm import mixing, sharding, url_rules
+from tillstar.llm import mixing, packing, rans, sharding, url_rules, warc
 from tillstar.llm.common import read_table
 
 
+def op2_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(spark, read_table(spark, sf_dir, "pages"))
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(read_table(spark, sf_dir, "pages"), url_rules.rule_table(spark))
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans.token_round_trip(spark, read_table(spark, sf_dir, "documents"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
@@ -22,10 +30,17 @@ def op7_stratified_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc_writer": op2_warc_writer,
     "op3_url_filters": op3_url_filters,
+    "op4_token_files": op4_token_files,
     "op5_source_mixing": op5_source_mixing,
     "op7_stratified_sharding": op7_stratified_sharding,
+    "op9_packing": op9_packing,
 }
 
 SQL: dict[str, str] = {

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows that one numbered piece has on average, and the most pieces there are.
-PIECE_ROWS, MOST_PIECES = 4096, 65_536
+PIECE_ROWS, MOST_PIECES = 512, 65_536
 
 
 def piece_count(n_rows: int) -> int:
