@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillstar.llm import mixing, packing, rans, sharding, url_rules, warc
+from tillstar.llm import fertility, langid, mixing, packing, rans, sharding, url_rules, warc
 from tillstar.llm.common import read_table
 
 
@@ -26,10 +26,19 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
 def op7_stratified_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.judge(read_table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
@@ -39,7 +48,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filters": op3_url_filters,
     "op4_token_files": op4_token_files,
     "op5_source_mixing": op5_source_mixing,
+    "op6_language_id": op6_language_id,
     "op7_stratified_sharding": op7_stratified_sharding,
+    "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
 }
 
