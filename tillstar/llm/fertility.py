@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tillstar.llm.common import slices_by_bytes
 from tillstar.llm.tokens import vocabulary_path
+from tillstar.llm.words import split_words
 
 VOCABULARY, VOCABULARY_SIZE = "piece_bpe_32k.model", 32_000
 #: Ids of the vocabulary that stand for single bytes, first and last.
@@ -33,7 +34,7 @@ SLICE_BYTES, KEPT_WORDS = 8 << 20, 300_000
 #: byte-fallback tokens, least normalised token entropy. Fixed values; wide
 #: enough for any prose, and invented words, in a script.
 BANDS = {
-    "latin": (1.3, 8.0, 0.10, 0.35),
+    "latin": (1.5, 8.0, 0.10, 0.35),
     "cyrillic": (1.1, 7.0, 0.10, 0.35),
     "greek": (0.7, 5.0, 0.25, 0.35),
     "arabic": (0.6, 5.0, 0.25, 0.35),
@@ -43,7 +44,7 @@ BANDS = {
     "kana": (0.4, 3.0, 0.75, 0.30),
     "hangul": (0.3, 3.0, 0.90, 0.30),
     "other": (0.2, 8.0, 1.00, 0.25),
-    "none": (1.3, 8.0, 0.10, 0.35),
+    "none": (1.5, 8.0, 0.10, 0.35),
 }
 #: First and last code point of the blocks of each script, fixed values.
 SCRIPT_BLOCKS = (
@@ -58,7 +59,6 @@ MEASURES = (
     "n_tokens bigint, chars_per_token double, byte_share double, token_entropy double, script string, "
     "base_failed boolean, kept boolean"
 )
-_TO_SPACE = bytes(32 if b in (9, 10, 11, 12, 13) else b for b in range(256))
 _WORD = re.compile(r"[^\x20\x09-\x0D]")
 _NAMES = [column.split(" ")[0] for column in MEASURES.split(", ")]
 
@@ -137,27 +137,15 @@ class Meter:
 
     def measure(self, doc_ids: list, texts: pa.Array) -> pa.RecordBatch:
         """Rows of ``MEASURES``; texts are not null."""
-        _, offsets, data = texts.buffers()
-        offsets = np.frombuffer(offsets, dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1]
-        spaced = data.slice(offsets[0], offsets[-1] - offsets[0]).to_pybytes().translate(_TO_SPACE) if data else b""
-        shifted = pa.py_buffer((offsets - offsets[0]).astype(np.int32).tobytes())
-        data = pa.Array.from_buffers(pa.string(), len(texts), [None, shifted, pa.py_buffer(spaced)])
-        split = pc.split_pattern(data, " ")
-        owner = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
-        flat = split.flatten()
-        full = pc.not_equal(flat, "")
-        owner, flat = owner[full.to_numpy(zero_copy_only=False)], flat.filter(full)
-        coded = flat.dictionary_encode()
-        codes = coded.indices.to_numpy().astype(np.int64)
-        parts = self._ids(coded.dictionary.to_pylist())
+        words, codes, ends = split_words(texts)
+        parts = self._ids(words.to_pylist())
         sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 2
         ids = np.frombuffer(b"".join(parts), dtype=np.uint16)
         at = np.cumsum(sizes) - sizes
-        points = pc.utf8_length(coded.dictionary).to_numpy().astype(np.int64)
+        points = pc.utf8_length(words).to_numpy().astype(np.int64)
         taken = sizes[codes]
         token_ends = np.cumsum(taken)
         tokens = ids[np.repeat(at[codes] - (token_ends - taken), taken) + np.arange(taken.sum())]
-        ends = np.searchsorted(owner, np.arange(len(texts)), side="right")
         symbols = pc.count_substring_regex(texts, SYMBOLS).to_pylist()
         rows, begin, token_begin = [], 0, 0
         for i, (end, text) in enumerate(zip(ends.tolist(), texts.to_pylist(), strict=True)):

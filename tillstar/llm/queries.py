@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillstar.llm import fertility, langid, mixing, packing, rans, sharding, url_rules, warc
+from tillstar.llm import fertility, jaccard_forest, langid, mixing, packing, pq_dedup, rans, sharding, url_rules, warc
 from tillstar.llm.common import read_table
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_forest.similar_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op2_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(spark, read_table(spark, sf_dir, "pages"))
 
@@ -43,7 +47,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq_dedup.similar_vectors(read_table(spark, sf_dir, "embeddings")).drop("label")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_warc_writer": op2_warc_writer,
     "op3_url_filters": op3_url_filters,
     "op4_token_files": op4_token_files,
@@ -52,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_stratified_sharding": op7_stratified_sharding,
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 SQL: dict[str, str] = {
