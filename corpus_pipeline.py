@@ -6,18 +6,47 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillstar.llm import mixing
+from tillstar.llm import fertility, jaccard_forest, langid, mixing, packing
 from tillstar.llm.common import read_table
 from tillstar.session import settle, tune
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and their script's fertility bands."""
+    tune(spark)
+    return fertility.kept_documents(docs)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents at least half of which is in one language."""
+    tune(spark)
+    return langid.kept_documents(docs, langid.fit(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    tune(spark)
+    return jaccard_forest.kept_documents(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
+    tune(spark)
     return mixing.mixed_documents(docs)
 
 
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents, packed into sequences."""
+    tune(spark)
+    return packing.pack_documents(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", quality_rules),
+    ("language ID", language_id),
+    ("n-gram Jaccard join", near_duplicates),
     ("mixing sources to target weights", mix_sources),
+    ("packing", pack),
 ]
 
 #: Tokenisers, language models and MinHash have no SQL counterpart.
@@ -26,7 +55,6 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over the ``documents`` of ``sf_dir``."""
-    tune(spark)
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
