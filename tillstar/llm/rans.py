@@ -246,7 +246,8 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     listed = shards.read_files(manifest, blocks, "path string, at bigint, size bigint")
-    return listed.repartition("path", "at").mapInArrow(decode, DOCUMENTS)
+    tasks = min(max(manifest.count(), 1), shards.MOST_TASKS)
+    return listed.repartition(tasks, "path", "at").mapInArrow(decode, DOCUMENTS)
 
 
 def token_round_trip(spark: SparkSession, docs: DataFrame, vocabulary: str | None = None) -> DataFrame:

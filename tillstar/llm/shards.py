@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 from tillstar.llm.common import rows_of, store
 from tillstar.session import discard, remove_folder, settle
 
+#: Most tasks that read files back.
+MOST_TASKS = 20_000
+
 MANIFEST = "name string, temporary string, bytes bigint, records bigint, sha256 string"
 _MANIFEST_ARROW = pa.schema(
     [("name", pa.string()), ("temporary", pa.string()), ("bytes", pa.int64()), ("records", pa.int64()), ("sha256", pa.string())]
@@ -81,11 +84,16 @@ def commit(written: DataFrame, folder: str) -> DataFrame:
 
 
 def read_files(manifest: DataFrame, read: Callable[[str, pa.fs.FileSystem, str], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Rows of ``read(path, file system, inner path)`` over the files of a manifest."""
+    """Rows of ``read(path, file system, inner path)`` over the files of a manifest.
+
+    A path is a short row that stands for much work, so the number of tasks is
+    given: left to the size of the rows, all files would be read by one.
+    """
 
     def run(batches):
         for (path,) in rows_of(batches):
             fs, inner = store(path)
             yield from read(path, fs, inner)
 
-    return manifest.select("path").repartition("path").mapInArrow(run, schema)
+    tasks = min(max(manifest.count(), 1), MOST_TASKS)
+    return manifest.select("path").repartition(tasks, "path").mapInArrow(run, schema)
