@@ -117,21 +117,26 @@ def test_forecast_limits(spark):
     frame = lines(spark, *[{"order_date": e.date(), "sales": round(v, 2)} for e, v in zip(ends, values)])
     with pytest.raises(Exception, match="more than 12 are needed"):
         forecast.forecast(frame).collect()
-    with pytest.raises(ValueError, match="months ahead"):
-        forecast.forecast(frame, ahead=25)
+    with pytest.raises(ValueError, match="month ahead"):
+        forecast.forecast(frame, ahead=0)
 
 
-def test_clamped_forecast():
+def test_clamped_forecast_of_many_series(spark):
     ends = pd.date_range("2014-01-31", periods=20, freq="ME")
-    values = [1000.0 - 60 * i for i in range(20)]
-    frame = pd.DataFrame(
-        {
-            "series": "s", "month_end": ends, "value": values, "t": range(20), "month": ends.month,
-            "lag_1": [values[0], *values[:-1]], "lag_12": [values[0]] * 12 + values[:8], "ma_3": values,
-        }
-    )
-    assert forecast.forecast_series(frame, 3)["value"].min() < 0
-    assert forecast.forecast_series(frame, 3, clamp_at_zero=True)["value"].min() == 0
+    rows = [
+        {"region": region, "order_date": e.date(), "sales": round(slope * i + 2000, 2), "profit": 1.0}
+        for region, slope in (("falling", -120.0), ("rising", 50.0))
+        for i, e in enumerate(ends)
+    ]
+    frame = lines(spark, *rows)
+    series = forecast.m.monthly_totals(frame, forecast.TARGETS, partition_by=["region"])
+
+    def lowest(clamp):
+        found = forecast.points(series, 30, clamp, ["region"]).filter("series = 'sales'")
+        return {r["region"]: r["v"] for r in found.groupBy("region").agg(F.min("value").alias("v")).collect()}
+
+    free, clamped = lowest(False), lowest(True)
+    assert free["falling"] < 0 and clamped["falling"] == 0 and free["rising"] == clamped["rising"] > 2900
 
 
 # ---- profit model -------------------------------------------------------------------------
