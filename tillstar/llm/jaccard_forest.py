@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillstar.llm.common import map_sorted_groups, rows_of, slices_by_bytes
+from tillstar.llm.common import map_sorted_groups, slices_by_bytes, whole_row
 from tillstar.llm.links import LINKS, components, deal, link_summary, pair_up
 from tillstar.llm.words import mix64, shingle_sets
 from tillstar.session import discard, settle
@@ -302,16 +302,10 @@ def similar_documents(docs: DataFrame, target: float = TARGET_RECALL) -> DataFra
 def kept_documents(docs: DataFrame) -> DataFrame:
     """One document of each group of linked ones, with all its columns.
 
-    The smallest doc_id stays; of rows that repeat it, the one that sorts
+    The smallest doc_id stays; of rows that repeat it, the one whose text sorts
     first. Rows with a null doc_id stay.
     """
-    stay = similar_documents(docs).filter("doc_id = class_id").select(F.col("doc_id").alias("_id")).distinct()
-    rest = [c for c in docs.columns if c != "doc_id"]
-    one = (
-        docs.join(stay, docs["doc_id"] == F.col("_id"), "left_semi")
-        .groupBy("doc_id")
-        .agg(F.min(F.struct(*rest)).alias("_row"))
-        .select("doc_id", "_row.*")
-        .select(*docs.columns)
-    )
+    stay = similar_documents(docs).filter("doc_id = class_id").select(F.col("doc_id").alias("stays")).distinct()
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.coalesce("text", F.lit("")).alias("by"), whole_row(docs).alias("row"))
+    one = rows.join(stay, F.col("id") == F.col("stays"), "left_semi").groupBy("id").agg(F.min_by("row", "by").alias("row")).select("row.*")
     return one.unionByName(docs.filter("doc_id is null"))

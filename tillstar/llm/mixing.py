@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillstar.llm.common import WORD
+from tillstar.llm.common import WORD, whole_row
 from tillstar.llm.running import non_null, piece_count, piece_of_key, seeded_key, with_offsets
 from tillstar.session import settle
 
@@ -196,11 +196,11 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     decision = (
         mix(docs)
         .filter("size > 0")
-        .select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.expr("cast(floor(taken / size + 0.5) as int)").alias("_copies"))
-        .groupBy("_id", "_size")
-        .agg(F.max("_copies").alias("_copies"))
-        .filter("_copies > 0")
-    )
-    sized = docs.withColumn("_words", word_count(F.col("text")))
-    joined = sized.join(decision, sized["doc_id"].eqNullSafe(decision["_id"]) & (sized["_words"] == decision["_size"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+        .select("doc_id", "size", F.expr("cast(floor(taken / size + 0.5) as int)").alias("copies"))
+        .groupBy("doc_id", "size")
+        .agg(F.max("copies").alias("copies"))
+        .filter("copies > 0")
+    )
+    rows = docs.select(F.col("doc_id").alias("id"), word_count(F.col("text")).alias("words"), whole_row(docs).alias("row"))
+    joined = rows.join(decision, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("words") == F.col("size")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
