@@ -82,7 +82,9 @@ def test_full_load_twice(spark, tmp_path):
     with pytest.raises(ValueError, match="customer"):
         w.from_monthly(table("agg_sales_monthly"), "customer")
     log = {r["step"]: r for r in table("etl_log").collect()}
-    assert log["reconcile"]["status"] == "OK" and log["reconcile"]["message"] == "OK: f_sales=13, raw=13, source=13"
+    assert log["reconcile"]["status"] == "WARN"  # one line has an unreadable date
+    assert log["reconcile"]["message"] == "DISCREPANCIA: f_sales=13 vs source=14; raw=13 vs source=14"
+    assert log["constraints"]["status"] == "OK" and table("key_violations").count() == 0
     assert log["d_date"]["rows_affected"] == table("d_date").count()
     health = store.health(spark, "mart1").first()
     assert (health["fact_rows"], health["last_step"], health["status"]) == (13, "load_total", "healthy")
@@ -116,6 +118,9 @@ def test_snake_case_header_and_key_violations(spark, tmp_path):
     assert run_load(spark, settings)
     found = key_violations(StarTables.from_catalog(spark, "mart2")).collect()
     assert [tuple(r) for r in found] == [("f_sales", 2)]
+    assert [tuple(r) for r in spark.table("mart2.key_violations").collect()] == [("f_sales", 2)]
+    log = {r["step"]: r for r in spark.table("mart2.etl_log").collect()}
+    assert (log["constraints"]["status"], log["constraints"]["rows_affected"]) == ("WARN", 1)
 
 
 def test_failed_load_is_logged(spark, tmp_path):
@@ -134,6 +139,15 @@ def test_replace_table_from_itself(spark):
     assert sorted(r[0] for r in spark.table("own.t").collect()) == [1, 2]
 
 
+def test_a_failing_job_keeps_the_old_table(spark):
+    store.ensure_database(spark, "own")
+    store.replace_table(spark.range(3).selectExpr("id", "id % 2 AS part"), "own.p", ["part"])
+    bad = spark.range(3).selectExpr("id", "id / (id - id) AS part")
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        store.replace_table(bad, "own.p", ["part"])
+    assert spark.table("own.p").count() == 3
+
+
 def test_cached_view_refreshes(spark):
     calls = []
     view = store.CachedView(lambda: calls.append(1) or spark.range(2))

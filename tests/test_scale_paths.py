@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 import pytest
 from check_oracle import compare, connect
@@ -28,7 +29,6 @@ def plan(df) -> str:
 def large(spark, monkeypatch):
     """Size checks fail, and Spark broadcasts nothing by itself."""
     monkeypatch.setattr(tables, "BROADCAST_BYTES", 0)
-    monkeypatch.setattr(tables, "SPLIT_BYTES", 0)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     yield
@@ -58,6 +58,20 @@ def test_lines_are_added_up_before_the_join(spark, large):
     assert "partial_sum" in text[first_join:]  # an aggregate below the join
 
 
+def test_a_slice_meets_the_lines_before_they_are_added_up(spark, large):
+    source = ParquetTables(spark, FOLDER)
+    for df in (
+        compute(overview.kpis, source, Slice("EUROPE", 1997, "BUILDING")), overview.year_on_year(source, Slice("EUROPE", 1997, "BUILDING")),
+    ):
+        text = plan(df)
+        # operators are numbered from the scans up: the first aggregate comes after the join with the orders
+        tree = text[: text.index("\n\n\n")] if "\n\n\n" in text else text
+        numbers = {name: [int(x) for x in re.findall(name + r" \((\d+)\)", tree)] for name in ("HashAggregate", "SortMergeJoin")}
+        assert min(numbers["HashAggregate"] or [10**6]) > min(numbers["SortMergeJoin"])
+        scan = text[text.index("lineitem.parquet") :]
+        assert "o_orderdate" in text and scan
+
+
 def test_scan_reads_only_what_a_metric_needs(spark):
     text = plan(compute(sales.by_category, ParquetTables(spark, FOLDER)))
     assert "l_shipdate" not in text and "orders.parquet" not in text and "customer.parquet" not in text

@@ -24,9 +24,23 @@ def metric(*columns: str, summed: bool = False) -> Callable:
     return mark
 
 
+def known(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows with every key: a report has no line for an unknown member."""
+    return df.dropna(subset=list(keys))
+
+
 def compute(function: Callable, source, within: Slice | None = None, **options) -> DataFrame:
-    """Run a metric over ``source.view`` cut down to its columns and slice."""
-    within = within or Slice()
+    """Run a metric over ``source.view`` cut down to its columns and slice.
+
+    A slice asks for single lines: its filters then reach the dimensions that
+    the lines meet first, and what is summed, sorted or joined later is only
+    the slice.
+    """
+    return function(sliced_view(function, source, within or Slice()), **options)
+
+
+def sliced_view(function: Callable, source, within: Slice) -> DataFrame:
+    """What a metric reads of a slice."""
     extra = [c for c in within.columns if c not in function.columns]
-    view = source.view(*function.columns, *extra, summed=function.summed)
-    return function(within.apply(view), **options)
+    summed = function.summed and not within.columns
+    return within.apply(source.view(*function.columns, *extra, summed=summed))

@@ -9,28 +9,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def orphan_report(references: Mapping[str, tuple[DataFrame, str, DataFrame, str]]) -> DataFrame:
+def orphan_report(rows: DataFrame, references: Mapping[str, tuple[str, DataFrame, str]]) -> DataFrame:
     """Rows per reference whose key the dimension lacks.
 
-    ``references``: name -> (rows, their column, dimension, its key). Each check
-    first reduces the rows to one per key value, so only distinct keys and their
-    counts are shuffled and joined.
+    ``references``: name -> (column of ``rows``, dimension, its key). The rows
+    are read once: each gives one (reference, key) pair per check, counted with
+    a combine on the map side, so only distinct keys meet the known ones.
     """
-    reports = []
-    for name, (rows, column, dim, key) in references.items():
-        counted = rows.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_key")).count()
-        known = dim.select(F.col(key).alias("_key"), F.lit(True).alias("_known")).distinct()
-        checked = counted.join(known, "_key", "left")
-        missing = F.col("_known").isNull()
-        reports.append(
-            checked.agg(
-                F.lit(name).alias("reference"),
-                F.coalesce(F.sum("count"), F.lit(0)).alias("checked_rows"),
-                F.coalesce(F.sum(F.when(missing, F.col("count"))), F.lit(0)).alias("orphan_rows"),
-                F.count(F.when(missing, 1)).alias("orphan_keys"),
-            )
-        )
-    return reduce(DataFrame.unionByName, reports)
+    pairs = [F.struct(F.lit(name).alias("reference"), F.col(c).cast("string").alias("_key")) for name, (c, _, _) in references.items()]
+    counted = rows.select(F.inline(F.array(*pairs))).filter(F.col("_key").isNotNull()).groupBy("reference", "_key").count()
+    known = reduce(
+        DataFrame.unionByName,
+        [
+            dim.select(F.lit(name).alias("reference"), F.col(key).cast("string").alias("_key")).distinct()
+            for name, (_, dim, key) in references.items()
+        ],
+    ).withColumn("_known", F.lit(True))
+    missing = F.col("_known").isNull()
+    checked = counted.join(known, ["reference", "_key"], "left").groupBy("reference").agg(
+        F.sum("count").alias("checked_rows"),
+        F.coalesce(F.sum(F.when(missing, F.col("count"))), F.lit(0)).alias("orphan_rows"),
+        F.count(F.when(missing, 1)).alias("orphan_keys"),
+    )
+    # a check without rows is listed too
+    names = rows.sparkSession.createDataFrame([(name,) for name in references], "reference string")
+    return names.join(checked, "reference", "left").fillna(0, ["checked_rows", "orphan_rows", "orphan_keys"])
 
 
 def duplicate_report(tables: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:
@@ -48,11 +51,9 @@ def duplicate_report(tables: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> D
     return reduce(DataFrame.unionByName, reports)
 
 
-def reconcile(fact: DataFrame, clean: DataFrame, source_count: int | None = None) -> DataFrame:
-    """Compare row counts of fact, clean table and source; one row with the verdict.
-
-    Without ``source_count`` the clean table counts as the source.
-    """
+def reconcile(fact: DataFrame, clean: DataFrame, source_count: int) -> DataFrame:
+    """Compare row counts of fact and clean table with the rows that were read;
+    one row with the verdict."""
     counts = (
         fact.select(F.lit("f").alias("t"))
         .unionAll(clean.select(F.lit("c").alias("t")))
@@ -61,9 +62,9 @@ def reconcile(fact: DataFrame, clean: DataFrame, source_count: int | None = None
             F.count(F.when(F.col("t") == "c", 1)).alias("clean_rows"),
         )
     )
-    source = F.col("clean_rows") if source_count is None else F.lit(source_count).cast("bigint")
-    counts = counts.withColumn("source_rows", source)
+    counts = counts.withColumn("source_rows", F.lit(source_count).cast("bigint"))
 
+    # fixed values: the labels and the words of the message
     def text(label: str, column: str):
         return F.concat(F.lit(f"{label}="), F.col(column).cast("string"))
 
@@ -84,6 +85,7 @@ def reconcile(fact: DataFrame, clean: DataFrame, source_count: int | None = None
         "fact_rows",
         "clean_rows",
         "source_rows",
+        (F.col("source_rows") - F.col("clean_rows")).alias("dropped_rows"),
         F.when(off, "WARN").otherwise("OK").alias("status"),
         F.when(off, F.concat(F.lit("DISCREPANCIA: "), gaps)).otherwise(fine).alias("message"),
     )

@@ -56,7 +56,3 @@ class Slice:
     def apply(self, df: DataFrame) -> DataFrame:
         return df.filter(self.condition()) if self.columns else df
 
-
-def unless_few(sliced: DataFrame, everything: DataFrame, least: int = 10) -> DataFrame:
-    """``sliced`` when it has more than ``least`` rows, else ``everything``."""
-    return sliced if sliced.limit(least + 1).count() > least else everything

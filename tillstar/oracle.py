@@ -104,7 +104,7 @@ def _kpis(where: str = "TRUE") -> str:
 FROM k""",
         f"""k AS (SELECT coalesce(sum(sales), 0) AS s, coalesce(sum(profit), 0) AS p,
   count(DISTINCT order_id) AS total_orders, count(DISTINCT customer_name) AS total_customers,
-  count(*) AS total_fact_rows, {big('coalesce(sum(quantity), 0)')} AS total_units FROM sv WHERE {where})""",
+  (SELECT count(order_id) FROM sv) AS total_fact_rows, {big('coalesce(sum(quantity), 0)')} AS total_units FROM sv WHERE {where})""",
     )
 
 
@@ -272,10 +272,6 @@ SQL["profit_winner"] = over_view(
 GROUP BY 1, 2 ORDER BY sum(profit) DESC, 1, 2 LIMIT 1"""
 )
 SQL["profit_heatmap"] = over_view(f"SELECT region, category, {dbl('sum(profit)')} AS profit FROM sv GROUP BY 1, 2")
-SQL["profit_heatmap_first"] = over_view(
-    f"SELECT region, category, {dbl('arg_min(p, segment)')} AS profit FROM g GROUP BY 1, 2",
-    "g AS (SELECT region, category, segment, sum(profit) AS p FROM sv GROUP BY 1, 2, 3)",
-)
 
 # ---- customers ------------------------------------------------------------------------
 
@@ -322,7 +318,6 @@ FROM bins LEFT JOIN c ON n BETWEEN low AND high GROUP BY ordinal, orders_range""
 
 
 SQL["customer_frequency"] = _frequency(2_000_000_000)
-SQL["customer_frequency_reference"] = _frequency(50)
 
 # ---- shipping ---------------------------------------------------------------------------
 
@@ -470,7 +465,7 @@ SQL["fact_build"] = over_view(
     _dims,
 )
 _early = "SELECT o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01'"
-_late = "SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01'"
+_late = "SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01'"
 _history = f"""cur AS (SELECT row_number() OVER (ORDER BY c_custkey) AS customer_sk, c_custkey AS customer_id,
   c_name AS customer_name, c_mktsegment AS segment FROM customer WHERE c_custkey IN ({_early})),
 inc AS (SELECT c_custkey AS customer_id, c_name AS customer_name,
@@ -555,8 +550,13 @@ SQL["pk_duplicates"] = over_view(
     _dims,
 )
 SQL["reconcile"] = over_view(
-    """SELECT n AS fact_rows, n AS clean_rows, n AS source_rows, 'OK' AS status,
-  'OK: f_sales=' || n || ', raw=' || n || ', source=' || n AS message FROM (SELECT count(*) AS n FROM f)""",
+    """SELECT f_n AS fact_rows, c_n AS clean_rows, s_n AS source_rows, s_n - c_n AS dropped_rows,
+  CASE WHEN f_n <> s_n OR c_n <> s_n THEN 'WARN' ELSE 'OK' END AS status,
+  CASE WHEN f_n = s_n AND c_n = s_n THEN 'OK: f_sales=' || f_n || ', raw=' || c_n || ', source=' || s_n
+       ELSE 'DISCREPANCIA: ' || concat_ws('; ', CASE WHEN f_n <> s_n THEN 'f_sales=' || f_n || ' vs source=' || s_n END,
+         CASE WHEN c_n <> s_n THEN 'raw=' || c_n || ' vs source=' || s_n END) END AS message
+FROM (SELECT (SELECT count(*) FROM f) AS f_n, (SELECT count(*) FROM sv WHERE days >= 1) AS c_n,
+  (SELECT count(*) FROM lineitem) AS s_n)""",
     _dims,
 )
 
@@ -617,14 +617,39 @@ rules AS (SELECT an.items AS antecedents, cn.items AS consequents, f.n / t.n AS
   JOIN named an ON an.s = a.s JOIN named cn ON cn.s = c.s, total t),
 kept AS (SELECT *, CASE WHEN lift >= 1.5 THEN 'green' ELSE 'plain' END AS lift_band FROM rules WHERE lift >= 1.0)"""
 SQL["basket_rules"] = f"WITH {_rules} SELECT * FROM kept"
-SQL["basket_top_rules"] = f"""WITH {_rules} SELECT *, (SELECT count(*) FROM kept) AS total_rules FROM kept
+SQL["basket_top_rules"] = f"""WITH {_rules} SELECT *, (SELECT count(*) FROM kept) AS total_rules,
+  least(20, (SELECT count(*) FROM kept)) AS shown_rules FROM kept
 ORDER BY lift DESC, support DESC, antecedents, consequents LIMIT 20"""
+# sets of any size: one grows by a brand that comes after its last one
 SQL["basket_brand_rules"] = """
-WITH bought AS (SELECT DISTINCT l_orderkey AS o, p_brand AS b FROM lineitem JOIN part ON l_partkey = p_partkey),
+WITH RECURSIVE bought AS (
+  SELECT DISTINCT l_orderkey AS o, p_brand AS b FROM lineitem JOIN part ON l_partkey = p_partkey),
 total AS (SELECT CAST(count(DISTINCT o) AS DOUBLE) AS n FROM bought),
-one AS (SELECT b, CAST(count(*) AS DOUBLE) AS n FROM bought GROUP BY b HAVING count(*) >= 0.008 * (SELECT n FROM total)),
-two AS (SELECT x.b AS l, y.b AS r, CAST(count(*) AS DOUBLE) AS n FROM bought x JOIN bought y ON x.o = y.o AND x.b <> y.b
-  GROUP BY 1, 2 HAVING count(*) >= 0.008 * (SELECT n FROM total)),
-rules AS (SELECT l AS antecedents, r AS consequents, two.n / t.n AS support, two.n / a.n AS confidence,
-  (two.n / t.n) / ((a.n / t.n) * (c.n / t.n)) AS lift FROM two JOIN one a ON a.b = l JOIN one c ON c.b = r, total t)
+single AS (SELECT b FROM bought GROUP BY b HAVING count(*) >= 0.008 * (SELECT n FROM total)),
+held AS (SELECT o, list_sort(list(b)) AS items FROM bought JOIN single USING (b) GROUP BY o),
+grown(items, n) AS (
+  SELECT [b], CAST(count(*) AS DOUBLE) FROM bought JOIN single USING (b) GROUP BY b
+  UNION ALL
+  SELECT items, n FROM (
+    SELECT list_append(g.items, s.b) AS items, CAST(count(*) AS DOUBLE) AS n
+    FROM grown g JOIN single s ON s.b > g.items[-1]
+    JOIN held h ON list_has_all(h.items, list_append(g.items, s.b))
+    GROUP BY 1 HAVING count(*) >= 0.008 * (SELECT n FROM total))),
+rules AS (
+  SELECT array_to_string(a.items, ', ') AS antecedents, array_to_string(c.items, ', ') AS consequents,
+    f.n / t.n AS support, f.n / a.n AS confidence, (f.n / t.n) / ((a.n / t.n) * (c.n / t.n)) AS lift
+  FROM grown f JOIN grown a ON list_has_all(f.items, a.items) AND len(a.items) < len(f.items)
+  JOIN grown c ON list_has_all(f.items, c.items) AND len(a.items) + len(c.items) = len(f.items)
+    AND NOT list_has_any(a.items, c.items), total t
+  WHERE len(f.items) > 1)
 SELECT *, CASE WHEN lift >= 1.5 THEN 'green' ELSE 'plain' END AS lift_band FROM rules WHERE lift >= 1.0"""
+
+
+# history as it is, then the six months after it
+SQL["forecast_check"] = over_view(
+    """SELECT series, true AS orthogonal, (SELECT count(*) FROM mon) AS months_used, 6 AS months_ahead,
+  last_day((SELECT max(month_end) FROM mon) + INTERVAL 1 DAY) AS first_month,
+  last_day(CAST((SELECT max(month_end) FROM mon) + INTERVAL 1 DAY + INTERVAL 5 MONTH AS DATE)) AS last_month
+FROM (VALUES ('sales'), ('profit')) AS t(series)""",
+    _months,
+)

@@ -13,7 +13,6 @@ from tillstar.operators.metric import metric
 from tillstar.session import settle
 
 MIN_SUPPORT, MIN_LIFT, TOP = 0.008, 1.0, 20
-SUPPORT_RANGE, LIFT_RANGE = (0.001, 0.5), (1.0, 10.0)
 NO_RULES = "No se encontraron reglas con los parámetros actuales."  # fixed value
 
 
@@ -53,41 +52,51 @@ def association_rules(
     ``FPGrowth`` finds the frequent sets; its own rules have one item on the
     right only, so the splits are formed here and joined with the supports.
     """
-    for value, (low, high), name in ((min_support, SUPPORT_RANGE, "min_support"), (min_lift, LIFT_RANGE, "min_lift")):
-        if not low <= value <= high:
-            raise ValueError(f"{name} must lie in [{low}, {high}]")
+    if not 0 < min_support <= 1:
+        raise ValueError("min_support must lie in (0, 1]")
     orders = settle(baskets(df, item), "baskets")
     count = orders.count()
     if count == 0:
-        return Rules(_empty(df), 0, NO_RULES)
+        return Rules(_empty(df, top), 0, NO_RULES)
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=0.0).fit(orders)
     sets = settle(
         model.freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq").cast("bigint").alias("freq")),
         "itemsets",
     )
     if sets.isEmpty():
-        return Rules(_empty(df), count, NO_RULES)
+        return Rules(_empty(df, top), count, NO_RULES)
     rules = _split(sets, count).filter(F.col("lift") >= min_lift)
     order = [F.desc("lift"), F.desc("support"), "antecedents", "consequents"]
     if top is not None:
         rules = settle(rules, "rules")
-        rules = rules.orderBy(*order).limit(top).withColumn("total_rules", F.lit(rules.count()).cast("bigint"))
+        total = rules.count()
+        rules = rules.orderBy(*order).limit(top).withColumn("total_rules", F.lit(total).cast("bigint"))
+        rules = rules.withColumn("shown_rules", F.lit(min(top, total)).cast("bigint"))
     return Rules(rules.withColumn("lift_band", n.lift_band(F.col("lift"))), count, None)
 
 
 def _split(sets: DataFrame, count: int) -> DataFrame:
-    """Every proper non-empty split of each set, with support, confidence and lift."""
-    size = F.size("items")
-    masks = F.expr("sequence(1L, shiftleft(1L, size(items)) - 2L)")
+    """Every proper non-empty split of each set, with support, confidence and lift.
 
-    def chosen(bit: int):
-        return F.expr(f"filter(items, (x, i) -> getbit(mask, i) = {bit})")
-
-    split = (
-        sets.filter(size > 1)
-        .withColumn("mask", F.explode(masks))
-        .select("freq", chosen(1).alias("left"), chosen(0).alias("right"))
-    )
+    Every subset of a frequent set is frequent, so a set's left sides are the
+    frequent sets within it. They are reached by taking out one item at a time:
+    no row lists more than the items of its set.
+    """
+    left = sets.select("items", "freq", F.col("items").alias("left"))
+    largest = sets.agg(F.max(F.size("items"))).first()[0]
+    split = None
+    for _ in range(largest - 1):
+        left = (
+            left.withColumn("out", F.explode("left"))
+            .withColumn("left", F.array_except("left", F.array("out")))
+            .filter(F.size("left") > 0)
+            .drop("out")
+            .distinct()
+        )
+        split = left if split is None else split.unionByName(left)
+    if split is None:
+        split = left.limit(0)
+    split = split.select("freq", "left", F.array_except("items", "left").alias("right"))
     left = sets.select(F.col("items").alias("left"), F.col("freq").alias("left_freq"))
     right = sets.select(F.col("items").alias("right"), F.col("freq").alias("right_freq"))
     both = split.join(left, "left").join(right, "right")
@@ -102,7 +111,7 @@ def _split(sets: DataFrame, count: int) -> DataFrame:
     )
 
 
-def _empty(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame(
-        [], "antecedents string, consequents string, support double, confidence double, lift double, lift_band string"
-    )
+def _empty(df: DataFrame, top: int | None) -> DataFrame:
+    schema = "antecedents string, consequents string, support double, confidence double, lift double"
+    counts = "" if top is None else ", total_rules bigint, shown_rules bigint"
+    return df.sparkSession.createDataFrame([], f"{schema}{counts}, lift_band string")

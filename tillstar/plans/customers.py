@@ -6,16 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillstar.functions import numbers as n
-from tillstar.operators.metric import metric
+from tillstar.operators.metric import known, metric
 
 # Order-count bins (low, high, label).
 FREQUENCY_BINS = ((1, 1, "1"), (2, 3, "2-3"), (4, 5, "4-5"), (6, 10, "6-10"), (11, None, "11+"))
-CLOSED_TOP = 50  # upper end of the last bin in reference mode
 
 
 @metric("segment", "sales", "order_id", "customer_name", "profit", "discount", "rated_lines", summed=True)
 def segment_cards(df: DataFrame) -> DataFrame:
-    sums = df.groupBy("segment").agg(
+    sums = known(df, "segment").groupBy("segment").agg(
         n.total(F.col("sales")).alias("r"),
         F.count_distinct("order_id").alias("orders"),
         F.count_distinct("customer_name").alias("customers"),
@@ -41,7 +40,7 @@ def segment_cards(df: DataFrame) -> DataFrame:
 
 @metric("segment", "sales", "profit", "discount", "rated_lines", summed=True)
 def segment_margin(df: DataFrame) -> DataFrame:
-    sums = df.groupBy("segment").agg(
+    sums = known(df, "segment").groupBy("segment").agg(
         n.total(F.col("sales")).alias("r"),
         n.total(F.col("profit")).alias("p"),
         F.sum("discount").alias("d"),
@@ -60,7 +59,7 @@ def segment_margin(df: DataFrame) -> DataFrame:
 
 @metric("customer_name", "segment", "sales", "order_id", "profit", summed=True)
 def top_customers(df: DataFrame, k: int = 10) -> DataFrame:
-    sums = df.groupBy("customer_name", "segment").agg(
+    sums = known(df, "customer_name", "segment").groupBy("customer_name", "segment").agg(
         n.total(F.col("sales")).alias("r"),
         F.count_distinct("order_id").alias("orders"),
         n.total(F.col("profit")).alias("p"),
@@ -117,16 +116,11 @@ def insight(df: DataFrame) -> DataFrame:
 
 
 @metric("customer_name", "order_id", summed=True)
-def frequency(df: DataFrame, top: int | None = None) -> DataFrame:
-    """Customers per number of orders; ``top`` closes the last bin."""
-    orders = (
-        df.filter(F.col("customer_name").isNotNull())
-        .groupBy("customer_name")
-        .agg(F.count_distinct("order_id").alias("orders"))
-    )
+def frequency(df: DataFrame) -> DataFrame:
+    """Customers per number of orders; the last bin is open."""
+    orders = known(df, "customer_name").groupBy("customer_name").agg(F.count_distinct("order_id").alias("orders"))
 
     def inside(low, high, label):
-        high = top if high is None else high
         test = F.col("orders") >= low
         return test if high is None else test & (F.col("orders") <= high)
 

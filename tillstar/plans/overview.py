@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillstar.functions import numbers as n
-from tillstar.operators.metric import metric
+from tillstar.operators.metric import compute, known, metric
 from tillstar.operators.slices import ALL, Slice
 
 
-@metric("sales", "profit", "order_id", "customer_name", "quantity", "lines", summed=True)
+@metric("sales", "profit", "order_id", "customer_name", "quantity", summed=True)
 def kpis(df: DataFrame) -> DataFrame:
     sums = df.agg(
         n.total(F.col("sales")).alias("sales"),
         n.total(F.col("profit")).alias("profit"),
         F.count_distinct("order_id").alias("total_orders"),
         F.count_distinct("customer_name").alias("total_customers"),
-        n.total(F.col("lines")).alias("total_fact_rows"),
         n.total(F.col("quantity")).alias("total_units"),
         n.total(F.when(F.col("order_id").isNotNull(), F.col("quantity"))).alias("_ordered_units"),
     )
@@ -28,13 +29,37 @@ def kpis(df: DataFrame) -> DataFrame:
         n.money_short(F.col("profit")).alias("total_profit_fmt"),
         "total_orders",
         "total_customers",
-        "total_fact_rows",
         n.pct_or_zero(F.col("profit"), F.col("sales")).alias("margin"),
         "total_units",
         F.bround(n.ratio(F.col("_ordered_units"), F.col("total_orders")), 1).alias("avg_qty_per_order"),
     )
 
 
+@metric("order_id", "lines", summed=True)
+def fact_rows(df: DataFrame) -> DataFrame:
+    """Lines with an order, as ``total_fact_rows``."""
+    return df.filter(F.col("order_id").isNotNull()).agg(n.total(F.col("lines")).alias("total_fact_rows"))
+
+
+def headline(source, within: Slice = Slice()) -> DataFrame:
+    """The figures of a slice beside the number of all lines."""
+    one = F.lit(1)
+    figures, rows = compute(kpis, source, within), compute(fact_rows, source)
+    return figures.withColumn("_one", one).join(rows.withColumn("_one", one), "_one").drop("_one")
+
+
+def year_on_year(source, within: Slice = Slice(), mode: str = "latest_vs_previous") -> DataFrame:
+    """``kpi_yoy`` of a source. With a year in the slice only that year and the
+    one before are read, and only the slice's region and segment; without one,
+    the years of the whole decide."""
+    if not within.has_year:
+        return kpi_yoy(source.view(*kpi_yoy.columns, summed=True), within, mode)
+    year = int(within.year)
+    members = Slice(region=within.region, segment=within.segment)
+    days = F.col("order_date").between(F.lit(dt.date(year - 1, 1, 1)), F.lit(dt.date(year, 12, 31)))
+    return kpi_yoy(members.apply(source.view(*kpi_yoy.columns)).filter(days), within, mode)
+
+
 @metric("order_date", "sales", "profit", "order_id", "region", "segment", summed=True)
 def kpi_yoy(df: DataFrame, within: Slice = Slice(), mode: str = "latest_vs_previous") -> DataFrame:
     """Slice figures against those of the previous year.
@@ -121,7 +146,9 @@ def alerts(
         "_region": Slice(region, within.year, within.segment).condition(),
         "_category": Slice(within.region, within.year, ALL).condition() & (F.col("category") == category),
     }
-    sums = df.withColumns(scopes).agg(
+    # the scopes share the year; lines outside all of them are not read further
+    read = Slice(year=within.year).apply(df).withColumns(scopes).filter(F.col("_loss") | F.col("_region") | F.col("_category"))
+    sums = read.agg(
         n.total(F.when(F.col("_loss"), F.col("profit"))).alias("loss"),
         *[
             F.sum(F.when(F.col(scope), F.col(m))).alias(f"{scope}_{m}")
@@ -159,12 +186,12 @@ def quantity_stats(df: DataFrame) -> DataFrame:
 
 @metric("category", "quantity", summed=True)
 def units_by_category(df: DataFrame) -> DataFrame:
-    return df.groupBy("category").agg(n.total(F.col("quantity")).alias("units"))
+    return known(df, "category").groupBy("category").agg(n.total(F.col("quantity")).alias("units"))
 
 
 @metric("product_name", "category", "sales", "profit", summed=True)
 def top_products(df: DataFrame, k: int = 5) -> DataFrame:
-    sums = df.groupBy("product_name", "category").agg(
+    sums = known(df, "product_name", "category").groupBy("product_name", "category").agg(
         n.total(F.col("sales")).alias("revenue"), n.total(F.col("profit")).alias("profit")
     )
     best = sums.orderBy(F.desc("revenue"), "product_name", "category").limit(k)

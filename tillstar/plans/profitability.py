@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillstar.functions import numbers as n
-from tillstar.operators.metric import metric
+from tillstar.operators.metric import known, metric
 
 
 @metric("discount", "profit", "sales")
@@ -65,7 +65,7 @@ def discount_loss(df: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 @metric("region", "category", "profit", summed=True)
 def by_region_category(df: DataFrame) -> DataFrame:
-    sums = df.groupBy("region", "category").agg(n.total(F.col("profit")).alias("p"))
+    sums = known(df, "region", "category").groupBy("region", "category").agg(n.total(F.col("profit")).alias("p"))
     return sums.orderBy(F.desc("p"), "region", "category").select(
         "region", "category", n.real(F.col("p")).alias("profit")
     )
@@ -78,14 +78,10 @@ def winner(df: DataFrame) -> DataFrame:
 
 
 @metric("region", "category", "segment", "profit", summed=True)
-def heatmap(df: DataFrame, first_segment_only: bool = False) -> DataFrame:
-    """Profit per region (rows) and category (columns, as a long frame), 0 where empty.
-
-    ``first_segment_only`` shows the first segment of each cell instead of the sum.
-    """
-    cells = df.groupBy("region", "category", "segment").agg(n.total(F.col("profit")).alias("profit"))
-    value = F.min_by("profit", "segment") if first_segment_only else F.sum("profit")
-    return cells.groupBy("region", "category").agg(n.real(value).alias("profit"))
+def heatmap(df: DataFrame) -> DataFrame:
+    """Profit per region (rows) and category (columns, as a long frame)."""
+    cells = known(df, "region", "category", "segment").groupBy("region", "category")
+    return cells.agg(n.real(n.total(F.col("profit"))).alias("profit"))
 
 
 def heatmap_wide(cells: DataFrame, categories: list[str]) -> DataFrame:

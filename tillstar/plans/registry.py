@@ -38,7 +38,7 @@ TIERS = ("Sin desc.", "≤2%", "≤5%", ">5%")
 HIGH_DISCOUNT = 0.05
 SLICE = Slice("EUROPE", 1997, "BUILDING")
 ALERT_REGION, ALERT_CATEGORY = "ASIA", "PROMO"
-FIRST_LOAD, LAST_BATCH = dt.date(1997, 1, 1), dt.date(2000, 1, 1)
+CUT = dt.date(1997, 1, 1)  # orders before it make the first load, the others the next batch
 LOADED_ON, RUN_DATE = dt.date(1995, 1, 1), dt.date(2021, 6, 1)
 
 Query = Callable[[ParquetTables], DataFrame]
@@ -71,7 +71,7 @@ def _buyers(src: ParquetTables, test) -> DataFrame:
 
 def _first_customers(src: ParquetTables) -> DataFrame:
     """Customer dimension after the first load: those who ordered before 1997."""
-    buyers = _buyers(src, F.col("day") < F.lit(FIRST_LOAD)).select(
+    buyers = _buyers(src, F.col("day") < F.lit(CUT)).select(
         F.col("c_custkey").alias("customer_id"),
         F.col("c_name").alias("customer_name"),
         F.col("c_mktsegment").alias("segment"),
@@ -80,8 +80,8 @@ def _first_customers(src: ParquetTables) -> DataFrame:
 
 
 def _last_customers(src: ParquetTables) -> DataFrame:
-    """The latest batch: buyers since 2000, those in debt moved to another segment."""
-    return _buyers(src, F.col("day") >= F.lit(LAST_BATCH)).select(
+    """The next batch: buyers since 1997, those in debt moved to another segment."""
+    return _buyers(src, F.col("day") >= F.lit(CUT)).select(
         F.col("c_custkey").alias("customer_id"),
         F.col("c_name").alias("customer_name"),
         F.when(F.col("c_acctbal") < 0, "ARREARS").otherwise(F.col("c_mktsegment")).alias("segment"),
@@ -93,7 +93,7 @@ def _orphans(src: ParquetTables) -> DataFrame:
 
     def known(column: str) -> DataFrame:
         columns = dict.fromkeys((column, "order_date"))
-        return src.view(*columns).filter(F.col("order_date") < F.lit(FIRST_LOAD)).select(column)
+        return src.view(*columns).filter(F.col("order_date") < F.lit(CUT)).select(column)
 
     checks = {
         "order_date": ("order_date", "order_date"),
@@ -103,9 +103,8 @@ def _orphans(src: ParquetTables) -> DataFrame:
         "customer": ("customer_id", "customer_id"),
         "location": ("city", "city"),
     }
-    return quality.orphan_report(
-        {name: (src.view(column), column, known(key), key) for name, (column, key) in checks.items()}
-    )
+    rows = src.view(*[column for column, _ in checks.values()])
+    return quality.orphan_report(rows, {name: (column, known(key), key) for name, (column, key) in checks.items()})
 
 
 def _unknown_keys(src: ParquetTables) -> DataFrame:
@@ -161,6 +160,12 @@ def _fact(src: ParquetTables) -> DataFrame:
     return w.build_star(src, RUN_DATE)["f_sales"]
 
 
+def _reconciled(src: ParquetTables) -> DataFrame:
+    """Fact and clean lines against all lines, where lines without a full day in transit count as unclean."""
+    clean = src.view("order_id", "order_date", "ship_date").filter(F.datediff("ship_date", "order_date") >= 1)
+    return quality.reconcile(_fact(src), clean, src.lines().count())
+
+
 def _versions(expire_missing: bool) -> Query:
     def run(src: ParquetTables) -> DataFrame:
         dim = _first_customers(src)
@@ -221,7 +226,7 @@ QUERIES: dict[str, Query] = {
     "sales_view": lambda src: as_reported(src.view()),
     "star_join": lambda src: as_reported(StarTables(w.build_star(src, RUN_DATE)).view()),
     "export_rows": lambda src: exports.export_rows(src, SLICE),
-    "filter_region_year_segment": lambda src: compute(overview.kpis, src, SLICE),
+    "filter_region_year_segment": lambda src: overview.headline(src, SLICE),
     "ship_not_null": _metric(shipping.with_both_dates),
     "filter_coverage": _whole(overview.filter_coverage, within=SLICE),
     "filter_values": _metric(overview.filter_values),
@@ -231,10 +236,10 @@ QUERIES: dict[str, Query] = {
     "fmt_money": _customer_money,
     "status_bands": _metric(profitability.status_bands),
     # headline figures
-    "kpis": _metric(overview.kpis),
-    "kpi_yoy": _whole(overview.kpi_yoy),
-    "kpi_yoy_reference": _whole(overview.kpi_yoy, mode="reference"),
-    "kpi_yoy_slice": _whole(overview.kpi_yoy, within=SLICE),
+    "kpis": overview.headline,
+    "kpi_yoy": overview.year_on_year,
+    "kpi_yoy_reference": lambda src: overview.year_on_year(src, mode="reference"),
+    "kpi_yoy_slice": lambda src: overview.year_on_year(src, SLICE),
     "alerts": _whole(
         overview.alerts, within=SLICE, threshold=HIGH_DISCOUNT, region=ALERT_REGION, category=ALERT_CATEGORY
     ),
@@ -258,14 +263,12 @@ QUERIES: dict[str, Query] = {
     "profit_region_category": _metric(profitability.by_region_category),
     "profit_winner": _metric(profitability.winner),
     "profit_heatmap": _metric(profitability.heatmap),
-    "profit_heatmap_first": _metric(profitability.heatmap, first_segment_only=True),
     # customers
     "segment_cards": _metric(customers.segment_cards),
     "segment_margin": _metric(customers.segment_margin),
     "top_customers": _metric(customers.top_customers),
     "customer_insight": _metric(customers.insight),
     "customer_frequency": _metric(customers.frequency),
-    "customer_frequency_reference": _metric(customers.frequency, top=customers.CLOSED_TOP),
     # shipping
     "shipping_stats": _metric(shipping.stats),
     "shipping_by_mode": _metric(shipping.by_mode),
@@ -301,7 +304,7 @@ QUERIES: dict[str, Query] = {
     "scd2_apply_expiring": _versions(True),
     "fk_orphans": _orphans,
     "pk_duplicates": lambda src: w.primary_key_report(w.build_star(src, RUN_DATE)),
-    "reconcile": lambda src: quality.reconcile(_fact(src), src.view("order_id")),
+    "reconcile": _reconciled,
     # models
     "rfm_base": _metric(segments.rfm_base),
     "rfm_features": lambda src: segments.rfm_features(compute(segments.rfm_base, src)),
@@ -312,7 +315,7 @@ QUERIES: dict[str, Query] = {
     "rfm_profile": _profile(segments.segment_customers, segments.rfm_base),
     "product_profile": _metric(segments.product_profile),
     "product_segments": _members(
-        segments.segment_products, segments.product_profile, "display_name", "category", "sub_category", "sales",
+        segments.segment_products, segments.product_profile, "product_name", "category", "sub_category", "sales",
         "profit", "margin", "discount_avg", "order_count",
     ),
     "profit_grid": _metric(segments.profit_grid),
@@ -326,6 +329,7 @@ QUERIES: dict[str, Query] = {
     "basket_brand_rules": _rules("sub_category", None),
     "forecast": _metric(forecast.forecast),
     "forecast_metrics": _metric(forecast.forecast_metrics),
+    "forecast_check": _metric(forecast.forecast_check),
     "profit_model": lambda src: compute(profit_model.fit, src).coefficients(src.spark),
     "profit_model_info": _model_info,
     "profit_scores": _scores,

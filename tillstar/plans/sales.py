@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillstar.functions import numbers as n
-from tillstar.operators.metric import metric
+from tillstar.operators.metric import known, metric
 
 # Postal abbreviations of the states on the map.
 STATE_ABBREVIATIONS = {
@@ -32,7 +32,7 @@ def state_lookup(spark: SparkSession) -> DataFrame:
 
 
 def _ranked_sales(df: DataFrame, *keys: str, k: int | None = None) -> DataFrame:
-    sums = df.groupBy(*keys).agg(n.total(F.col("sales")).alias("sales"))
+    sums = known(df, *keys).groupBy(*keys).agg(n.total(F.col("sales")).alias("sales"))
     ordered = sums.orderBy(F.desc("sales"), *keys)
     if k is not None:
         ordered = ordered.limit(k)
@@ -69,7 +69,7 @@ def by_city(df: DataFrame, k: int = 15) -> DataFrame:
 @metric("state", "sales", "profit", summed=True)
 def by_state(df: DataFrame, lookup: DataFrame) -> DataFrame:
     """Sales and profit of the states the lookup knows; the rest is dropped."""
-    sums = df.groupBy("state").agg(
+    sums = known(df, "state").groupBy("state").agg(
         n.total(F.col("sales")).alias("sales"), n.total(F.col("profit")).alias("profit")
     )
     return sums.join(lookup, "state").select(
@@ -82,7 +82,7 @@ def by_state(df: DataFrame, lookup: DataFrame) -> DataFrame:
 
 @metric("product_name", "category", "sub_category", "sales", "profit", summed=True)
 def top_products(df: DataFrame, k: int = 10) -> DataFrame:
-    sums = df.groupBy("product_name", "category", "sub_category").agg(
+    sums = known(df, "product_name", "category", "sub_category").groupBy("product_name", "category", "sub_category").agg(
         n.total(F.col("sales")).alias("sales"), n.total(F.col("profit")).alias("profit")
     )
     best = sums.orderBy(F.desc("sales"), "product_name", "category", "sub_category").limit(k)

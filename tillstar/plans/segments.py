@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillstar.functions import numbers as n
-from tillstar.operators.metric import metric
+from tillstar.operators.metric import known, metric
 from tillstar.session import settle
 
 CLUSTERS = 4
@@ -32,31 +32,32 @@ PROFIT_LABELS = ("Alta Rentabilidad", "Rentabilidad Media", "Baja Rentabilidad",
 
 @metric("customer_id", "customer_name", "segment", "order_date", "order_id", "sales", "profit", summed=True)
 def rfm_base(df: DataFrame) -> DataFrame:
-    """Recency, frequency and money per customer, with the name and segment of the first order.
+    """Recency, frequency and money per customer, with the first name and segment known.
 
     Recency counts from the day after the last order of anyone.
     """
     # lines to orders first: a hash aggregate with a map-side combine
-    orders = df.groupBy("customer_id", "customer_name", "segment", "order_id").agg(
+    orders = known(df, "customer_id").groupBy("customer_id", "customer_name", "segment", "order_id").agg(
         F.min("order_date").alias("_from"),
         F.max("order_date").alias("_to"),
         F.sum("sales").alias("sales"),
         F.sum("profit").alias("profit"),
     )
     sums = orders.groupBy("customer_id").agg(
-        F.min(F.struct("_from", "order_id", "customer_name", "segment")).alias("_first"),
+        *[_first_known(c, "_from", "order_id", c) for c in ("customer_name", "segment")],
         F.max("_to").alias("_last"),
         F.count_distinct("order_id").alias("frequency"),
         n.total(F.col("sales")).alias("monetary"),
         n.total(F.col("profit")).alias("profit"),
     )
-    people = settle(sums, "rfm")
-    newest = people.agg(F.max("_last")).first()[0]
+    newest = known(df, "customer_id").agg(F.max("order_date").alias("_newest")).withColumn("_one", F.lit(1))
+    # one row, whatever the input
+    people = sums.withColumn("_one", F.lit(1)).join(F.broadcast(newest), "_one")
     return people.select(
         "customer_id",
-        F.col("_first.customer_name").alias("customer_name"),
-        F.col("_first.segment").alias("segment"),
-        F.datediff(F.date_add(F.lit(newest), 1), "_last").alias("recency"),
+        "customer_name",
+        "segment",
+        F.datediff(F.date_add("_newest", 1), "_last").alias("recency"),
         "frequency",
         n.real(F.col("monetary")).alias("monetary"),
         n.real(F.col("profit")).alias("profit"),
@@ -65,8 +66,8 @@ def rfm_base(df: DataFrame) -> DataFrame:
 
 @metric("product_name", "order_id", "category", "sub_category", "sales", "profit", "discount", "quantity")
 def product_profile(df: DataFrame) -> DataFrame:
-    sums = df.filter(F.col("product_name").isNotNull()).groupBy("product_name").agg(
-        F.min(F.struct("order_id", "category", "sub_category")).alias("_first"),
+    sums = known(df, "product_name").groupBy("product_name").agg(
+        *[_first_known(c, "order_id", c) for c in ("category", "sub_category")],
         n.total(F.col("sales")).alias("s"),
         n.total(F.col("profit")).alias("p"),
         n.ratio(F.sum("discount"), F.count("discount")).alias("discount_avg"),
@@ -75,8 +76,8 @@ def product_profile(df: DataFrame) -> DataFrame:
     )
     return sums.select(
         "product_name",
-        F.col("_first.category").alias("category"),
-        F.col("_first.sub_category").alias("sub_category"),
+        "category",
+        "sub_category",
         n.clip(n.real(F.col("s")), low=0.01).alias("sales"),
         n.real(F.col("p")).alias("profit"),
         "discount_avg",
@@ -86,13 +87,19 @@ def product_profile(df: DataFrame) -> DataFrame:
     )
 
 
+def _first_known(column: str, *order: str):
+    """The earliest value that is not null; ties fall to the smallest."""
+    arrival = F.when(F.col(column).isNotNull(), F.struct(*order))
+    return F.min_by(column, arrival).alias(column)
+
+
 def _margin():
     return n.clip(F.coalesce(n.ratio(F.col("p"), F.col("s")) * 100, F.lit(0.0)), low=-200.0, high=200.0)
 
 
 @metric("region", "category", "segment", "sales", "profit", "discount", "order_id", "quantity")
 def profit_grid(df: DataFrame) -> DataFrame:
-    sums = df.groupBy("region", "category", "segment").agg(
+    sums = known(df, "region", "category", "segment").groupBy("region", "category", "segment").agg(
         n.total(F.col("sales")).alias("s"),
         n.total(F.col("profit")).alias("p"),
         n.ratio(F.sum("discount"), F.count("discount")).alias("discount_avg"),
@@ -306,8 +313,8 @@ def segment_customers(base: DataFrame, ranking: str = "default", seeds: Sequence
 
 
 def segment_products(base: DataFrame, ranking: str = "default", seeds: Sequence[int] = SEEDS) -> Segments:
-    """Products by volume and profitability; names are cut to 60 characters for display."""
-    found = _segments(
+    """Products by volume and profitability."""
+    return _segments(
         settle(base, "products"),
         PRODUCT_FEATURES,
         PRODUCT_LABELS,
@@ -324,8 +331,6 @@ def segment_products(base: DataFrame, ranking: str = "default", seeds: Sequence[
         ranking,
         seeds,
     )
-    shown = found.members.withColumn("display_name", F.substring("product_name", 1, 60))
-    return Segments(shown, found.profile, found.clustering)
 
 
 def segment_profitability(base: DataFrame, seeds: Sequence[int] = SEEDS) -> Segments:

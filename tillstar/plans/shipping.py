@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillstar.functions import numbers as n
-from tillstar.operators.metric import metric
+from tillstar.operators.metric import known, metric
 
 ON_TIME_DAYS = 5  # fixed value
 
@@ -70,7 +70,7 @@ def histogram(df: DataFrame) -> DataFrame:
 
 @metric("ship_mode", "sales", "profit", "order_id", summed=True)
 def mode_impact(df: DataFrame) -> DataFrame:
-    sums = df.groupBy("ship_mode").agg(
+    sums = known(df, "ship_mode").groupBy("ship_mode").agg(
         n.total(F.col("sales")).alias("r"),
         n.total(F.col("profit")).alias("p"),
         F.count_distinct("order_id").alias("orders"),

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tillstar.functions import numbers as n
 from tillstar.operators import months as m
 from tillstar.operators.metric import metric
-from tillstar.operators.slices import Slice, unless_few
 
 
 @metric("order_date", "sales", summed=True)
@@ -24,13 +23,6 @@ def monthly_trend(df: DataFrame) -> DataFrame:
     )
 
 
-def trend_for_slice(source, within: Slice, least: int = 10) -> DataFrame:
-    """The trend of a slice, or of everything when the slice has few lines."""
-    columns = dict.fromkeys((*monthly_trend.columns, *within.columns))
-    everything = source.view(*columns)
-    return monthly_trend(unless_few(within.apply(everything), everything, least))
-
-
 def _with_change(df: DataFrame) -> DataFrame:
     series = m.monthly_totals(df, ["sales"])
     previous = F.lag("sales").over(m.timeline())

@@ -13,7 +13,7 @@ from tillstar.functions import numbers as n
 from tillstar.functions.text import raw_date, squeeze
 from tillstar.operators.history import apply_versions, current, first_versions
 from tillstar.operators.keyed import first_per_key, last_key, lookup_key
-from tillstar.operators.metric import metric
+from tillstar.operators.metric import compute, metric
 from tillstar.operators.ordered import with_dense_key
 from tillstar.operators.quality import duplicate_report, orphan_report
 from tillstar.session import settle
@@ -126,7 +126,6 @@ FLAT_COLUMNS = (
     "order_id", "order_date", "ship_date", "ship_mode", "customer_id", "product_id",
     "city", "state", "sales", "quantity", "discount", "profit",
 )
-DIMENSION_COLUMNS = (*CUSTOMER, *PRODUCT, *LOCATION)
 
 
 def f_sales(flat: DataFrame, dims: Mapping[str, DataFrame], unknown: int = 1) -> DataFrame:
@@ -135,8 +134,8 @@ def f_sales(flat: DataFrame, dims: Mapping[str, DataFrame], unknown: int = 1) ->
     Several locations may share a city and state: the largest surrogate wins.
     ``order_year`` is the year of the date member found, the partition column.
     """
-    days = F.broadcast(dims["d_date"].select("date", "date_sk"))  # one row per calendar day
-    years = F.broadcast(dims["d_date"].select(F.col("date_sk").alias("order_date_sk"), F.col("year").alias("order_year")))
+    days = dims["d_date"].select("date", "date_sk")
+    years = dims["d_date"].select(F.col("date_sk").alias("order_date_sk"), F.col("year").alias("order_year"))
     people = current(dims["d_customer"])
     goods = current(dims["d_product"])
     places = last_key(dims["d_location"], ["city", "state"], "location_sk")
@@ -156,24 +155,23 @@ def f_sales(flat: DataFrame, dims: Mapping[str, DataFrame], unknown: int = 1) ->
 def build_star(source, run_date: dt.date) -> dict[str, DataFrame]:
     """All dimensions and the fact from a source with ``view``.
 
-    The flat lines are written once, like the clean table of a load, and each
-    dimension reads its few columns of them. The dimensions are independent, so
-    they are built side by side; their true file size then decides between
-    broadcast and shuffle joins.
+    Each dimension reads its few columns of the source and is written out; the
+    lines themselves are only read, for the fact. The dimensions are
+    independent, so they are built side by side; their true file size then
+    decides between broadcast and shuffle joins.
     """
-    flat = settle(source.view(*FLAT_COLUMNS, *[c for c in DIMENSION_COLUMNS if c not in FLAT_COLUMNS]), "flat")
     builders = {
-        "d_date": lambda: d_date(flat),
-        "d_customer": lambda: d_customer(flat, run_date),
-        "d_product": lambda: d_product(flat, run_date),
-        "d_location": lambda: d_location(flat),
-        "d_order": lambda: d_order(flat),
-        "d_segment": lambda: d_segment(flat),
+        "d_date": lambda: compute(d_date, source),
+        "d_customer": lambda: compute(d_customer, source, run_date=run_date),
+        "d_product": lambda: compute(d_product, source, run_date=run_date),
+        "d_location": lambda: compute(d_location, source),
+        "d_order": lambda: compute(d_order, source),
+        "d_segment": lambda: compute(d_segment, source),
     }
     with ThreadPoolExecutor(len(builders)) as pool:
         built = pool.map(lambda item: (item[0], settle(item[1](), item[0])), builders.items())
         dims = dict(built)
-    return {**dims, "f_sales": f_sales(flat, dims)}
+    return {**dims, "f_sales": f_sales(source.view(*FLAT_COLUMNS), dims)}
 
 
 # ---- keys and constraints -----------------------------------------------------
@@ -199,8 +197,7 @@ FOREIGN_KEYS = {
 
 
 def foreign_key_report(tables: Mapping[str, DataFrame]) -> DataFrame:
-    fact = tables["f_sales"]
-    return orphan_report({name: (fact, column, tables[dim], key) for name, (column, dim, key) in FOREIGN_KEYS.items()})
+    return orphan_report(tables["f_sales"], {name: (column, tables[dim], key) for name, (column, dim, key) in FOREIGN_KEYS.items()})
 
 
 def primary_key_report(tables: Mapping[str, DataFrame]) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Sequence
 from decimal import Decimal
 
@@ -25,26 +24,26 @@ def ensure_tables(spark: SparkSession, database: str) -> None:
             spark.createDataFrame([], schema).write.format("parquet").saveAsTable(f"{database}.{name}")
 
 
-def replace_table(df: DataFrame, table: str) -> DataFrame:
+def replace_table(df: DataFrame, table: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Overwrite ``table`` with ``df``, which may itself read ``table``.
 
-    The new rows are complete under another name before the old table goes.
+    The new rows are complete under another name before the old table steps
+    aside, and that one goes only when the new one is in place: a failure at
+    any point leaves one of them whole.
     """
     spark = df.sparkSession
-    staged = f"{table}__next"
+    staged, former = f"{table}__next", f"{table}__former"
     spark.sql(f"DROP TABLE IF EXISTS {staged}")
-    df.write.format("parquet").saveAsTable(staged)
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    writer = df.write.format("parquet")
+    (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(staged)
+    if spark.catalog.tableExists(table):
+        spark.sql(f"DROP TABLE IF EXISTS {former}")
+        spark.sql(f"ALTER TABLE {table} RENAME TO {former}")
     spark.sql(f"ALTER TABLE {staged} RENAME TO {table}")
+    spark.sql(f"DROP TABLE IF EXISTS {former}")
     return spark.table(table)
 
 
-def overwrite_table(df: DataFrame, table: str, partition_by: Sequence[str]) -> DataFrame:
-    """Overwrite a partitioned ``table`` with ``df``, which must not read it."""
-    df.write.format("parquet").mode("overwrite").partitionBy(*partition_by).saveAsTable(table)
-    return df.sparkSession.table(table)
-
-
 def append_table(df: DataFrame, table: str) -> DataFrame:
     df.write.format("parquet").mode("append").saveAsTable(table)
     return df.sparkSession.table(table)
@@ -61,16 +60,10 @@ def log_step(
     """Append one audit row; the log holds a handful of rows per load."""
     table = f"{database}.etl_log"
     last = spark.table(table).agg(F.coalesce(F.max("log_id"), F.lit(0))).first()[0]
-    row = (
-        last + 1,
-        dt.datetime.now(dt.timezone.utc).replace(tzinfo=None),
-        step,
-        int(rows),
-        status,
-        message,
-        Decimal(str(round(seconds, 2))),
-    )
-    append_table(spark.createDataFrame([row], ETL_LOG), table)
+    row = (last + 1, None, step, int(rows), status, message, Decimal(str(round(seconds, 2))))
+    kind = next(f.dataType for f in ETL_LOG.fields if f.name == "run_date")
+    logged = spark.createDataFrame([row], ETL_LOG).withColumn("run_date", F.current_timestamp().cast(kind))
+    append_table(logged, table)
 
 
 def health(spark: SparkSession, database: str) -> DataFrame:

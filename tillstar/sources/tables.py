@@ -83,8 +83,6 @@ PRODUCT = {*PART, "product_id"} - {"profit"}
 
 # Largest Parquet input, in bytes on disk, of a side that is broadcast.
 BROADCAST_BYTES = 10 * 2**20
-# Smallest file split Spark makes by default.
-SPLIT_BYTES = 4 * 2**20
 
 
 def _named(expressions: Mapping[str, str], columns: Iterable[str]) -> list[str]:
@@ -113,14 +111,7 @@ class ParquetTables:
         return self.spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
 
     def lines(self) -> DataFrame:
-        """Order lines. An input too small to give every core a file split is
-        spread over the cores, by a key no single order or product can dominate;
-        a large one is read as it is."""
-        lines = self.table("lineitem")
-        cores = self.spark.sparkContext.defaultParallelism
-        if self.bytes("lineitem") < cores * SPLIT_BYTES:
-            return lines.repartition(cores, "l_orderkey", "l_linenumber")
-        return lines
+        return self.table("lineitem")
 
     def bytes(self, name: str) -> int:
         """Size of a table on disk."""
@@ -137,32 +128,18 @@ class ParquetTables:
         order lines to broadcast instead. Beyond the limit there is no hint: the
         join shuffles, and adaptive execution splits hot keys.
         """
-        return F.broadcast(joined) if self._small(*tables) else joined
-
-    def _small(self, *tables: str) -> bool:
-        return sum(self.bytes(t) for t in tables) <= BROADCAST_BYTES
-
-    @staticmethod
-    def _joined(wanted: set[str]) -> list[str]:
-        """Tables that supply the wanted columns beside the lines."""
-        tables = ["part"] if wanted & set(PART) else []
-        if wanted & {*ORDER, *CUSTOMER}:
-            tables.append("orders")
-        if wanted & set(CUSTOMER):
-            tables.append("customer")
-        return tables
+        small = sum(self.bytes(t) for t in tables) <= BROADCAST_BYTES
+        return F.broadcast(joined) if small else joined
 
     def view(self, *columns: str, summed: bool = False) -> DataFrame:
         """The named columns, joining only the tables that supply them.
 
         ``summed`` is for callers that only ever add up the measures: where the
         other columns allow it they get one row per product, order or customer.
-        While the joined tables are small enough to broadcast, lines need no
-        exchange to meet them, so only order counts profit from this.
         """
         columns = columns or VIEW_COLUMNS
         wanted = set(columns)
-        if summed and "ship_date" not in wanted and ("order_id" in wanted or not self._small(*self._joined(wanted))):
+        if summed and "ship_date" not in wanted:
             if not wanted & PRODUCT:
                 return self._per_order(wanted).selectExpr(*_summed(columns))
             if not wanted & {"order_id", *ORDER, *CUSTOMER}:
@@ -251,8 +228,10 @@ class StarTables:
     def view(self, *columns: str, summed: bool = False) -> DataFrame:
         """The named columns, joining only the dimensions that supply them.
 
-        ``summed``: callers only add up the measures, so the fact is added up
-        per surrogate key before it meets a dimension.
+        ``summed``: callers only add up the measures. The fact is added up
+        before the joins where one key alone is read, or none; several keys
+        together come near the grain of the lines, so there the measures are
+        added up once, after the joins.
         """
         columns = columns or VIEW_COLUMNS
         wanted = set(columns)
@@ -275,7 +254,7 @@ class StarTables:
         rows = rows.withColumns(
             {"lines": F.lit(1), "rated_lines": F.when(F.col("discount").isNull(), 0).otherwise(1)}
         )
-        if summed and keys:
+        if summed and len(keys) == 1:
             sums = [F.sum(c).alias(c) for c in MEASURES if c in wanted]
             rows = rows.groupBy(*keys).agg(*sums) if sums else rows.select(*keys).distinct()
         for name in dates:
@@ -293,8 +272,7 @@ class StarTables:
             # also on the partition column: a date filter then prunes fact partitions
             dates = dates.withColumnRenamed("year", "order_year")
             on.append("order_year")
-        # one row per calendar day: a few MB even for centuries
-        return rows.join(F.broadcast(dates.drop("year")), on)
+        return rows.join(dates.drop("year"), on)
 
 
 def as_reported(view: DataFrame) -> DataFrame:
