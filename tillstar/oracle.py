@@ -653,3 +653,78 @@ SQL["forecast_check"] = over_view(
 FROM (VALUES ('sales'), ('profit')) AS t(series)""",
     _months,
 )
+
+_terms = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, CAST(NULL AS VARCHAR) AS level, count(*) AS lines FROM sv" for c in ("sales", "discount", "quantity")
+) + " UNION ALL " + " UNION ALL ".join(
+    f"SELECT '{c}', CAST({x} AS VARCHAR), count(*) FROM sv GROUP BY 2"
+    for c, x in (("category", "category"), ("region", "region"), ("segment", "segment"), ("ship_mode", "ship_mode"), ("month", "month(order_date)"))
+)
+SQL["profit_model_check"] = over_view(f"SELECT feature, level, true AS orthogonal, lines FROM ({_terms})")
+
+
+def _segment_check(keys: str) -> str:
+    return over_view(
+        f"""SELECT count(*) AS members, true AS all_nearest, true AS rank_follows_score, 4 AS labels, true AS cost_is_least
+FROM (SELECT DISTINCT {keys} FROM sv)"""
+    )
+
+
+SQL["rfm_check"] = _segment_check("customer_id")
+SQL["product_check"] = _segment_check("product_name")
+SQL["profit_segments_check"] = _segment_check("region, category, segment")
+
+# names, regions and categories that are sometimes unknown
+_unknown = """nv AS (SELECT * REPLACE (CASE WHEN discount = 0.1 THEN NULL ELSE category END AS category,
+  CASE WHEN ship_mode = '1-URGENT' THEN NULL ELSE region END AS region,
+  CASE WHEN order_date < DATE '1995-06-01' THEN NULL ELSE customer_name END AS customer_name) FROM sv)"""
+SQL["unknown_by_category"] = over_view(
+    f"""SELECT category, {dbl('sum(sales)')} AS sales, {short('sum(sales)')} AS sales_fmt FROM nv
+WHERE category IS NOT NULL GROUP BY 1""",
+    _unknown,
+)
+SQL["unknown_top_customers"] = over_view(
+    f"""SELECT row_number() OVER (ORDER BY r DESC, customer_name, segment) AS rank, customer_name AS name, segment,
+  {dbl('r')} AS revenue, {short('r')} AS revenue_fmt, orders, {ratio('r', 'orders')} AS ticket,
+  {short(ratio('r', 'orders'))} AS ticket_fmt, {pct('p', 'r')} AS margin, {margin_band(pct('p', 'r'))} AS band
+FROM cust ORDER BY r DESC, customer_name, segment LIMIT 10""",
+    _unknown,
+    _customers.replace("FROM sv", "FROM nv WHERE customer_name IS NOT NULL AND segment IS NOT NULL"),
+)
+SQL["unknown_segment_cards"] = over_view(
+    f"""SELECT segment, customers, {dbl('r')} AS revenue, {short('r')} AS revenue_fmt, orders,
+  {ratio('r', 'orders')} AS avg_order, {short(ratio('r', 'orders'))} AS avg_order_fmt, {pct0('p', 'r')} AS margin,
+  CASE WHEN {pct0('p', 'r')} >= 12 THEN 'green' ELSE 'amber' END AS band, {pct('d', 'dn')} AS avg_discount_pct FROM s""",
+    _unknown,
+    """s AS (SELECT segment, count(DISTINCT customer_name) AS customers, count(DISTINCT order_id) AS orders,
+  sum(sales) AS r, sum(profit) AS p, sum(discount) AS d, count(discount) AS dn FROM nv WHERE segment IS NOT NULL
+  GROUP BY segment)""",
+)
+SQL["unknown_profit_grid"] = over_view(
+    f"""SELECT region, category, segment, greatest({dbl('sum(sales)')}, 0.01) AS sales, {dbl('sum(profit)')} AS profit,
+  {ratio('sum(discount)', 'count(discount)')} AS discount_avg, count(DISTINCT order_id) AS order_count,
+  {big('sum(quantity)')} AS quantity, {dbl(_margin)} AS margin FROM nv
+WHERE region IS NOT NULL AND category IS NOT NULL AND segment IS NOT NULL GROUP BY 1, 2, 3""",
+    _unknown,
+)
+SQL["unknown_rfm_base"] = over_view(
+    f"""SELECT customer_id, arg_min(customer_name, order_date) FILTER (WHERE customer_name IS NOT NULL) AS customer_name,
+  any_value(segment) AS segment, CAST((SELECT max(order_date) + 1 FROM sv) - max(order_date) AS INTEGER) AS recency,
+  count(DISTINCT order_id) AS frequency, {dbl('sum(sales)')} AS monetary, {dbl('sum(profit)')} AS profit
+FROM nv GROUP BY customer_id""",
+    _unknown,
+)
+SQL["sheet_kpis"] = over_view(
+    f"""SELECT unnest(['Ingresos Totales', 'Utilidad Total', 'Ordenes', 'Clientes', 'Margen %', 'Unidades Vendidas']) AS indicator,
+  unnest([round_even({dbl('s')}, 2), round_even({dbl('p')}, 2), o, c, {pct0('p', 's')}, u]) AS value FROM k""",
+    """k AS (SELECT sum(sales) AS s, sum(profit) AS p, CAST(count(DISTINCT order_id) AS DOUBLE) AS o,
+  CAST(count(DISTINCT customer_name) AS DOUBLE) AS c, CAST(sum(quantity) AS DOUBLE) AS u FROM sv)""",
+)
+SQL["sheet_top_customers"] = over_view(
+    f"""SELECT row_number() OVER (ORDER BY r DESC, customer_name, segment) AS rank, customer_name AS name, segment,
+  round_even({dbl('r')}, 2) AS revenue, orders, round_even({ratio('r', 'orders')}, 2) AS ticket, {pct('p', 'r')} AS margin
+FROM cust ORDER BY r DESC, customer_name, segment LIMIT 10""",
+    _customers,
+)
+SQL["scd2_current"] = f"SELECT * FROM ({SQL['scd2_apply_expiring']}) WHERE current_flag = 'Y'"
+SQL["scd2_next_key"] = f"WITH {_history} SELECT max(customer_sk) + 1 AS next_sk FROM cur"

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from itertools import chain, combinations_with_replacement
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillstar.functions import numbers as n
@@ -16,9 +16,8 @@ from tillstar.operators.metric import metric
 
 CATEGORIES = ("category", "region", "segment", "ship_mode", "month")
 NUMBERS = ("sales", "discount", "quantity")
-MAX_TERMS = 2000  # pairs of terms are solved on the driver
-# accepted scenario values
-RANGES = {"sales": (0, 10_000), "discount": (0, 0.8), "quantity": (1, 50), "month": (1, 12)}
+# the solver's iterations at most, and the relative gain at which it stops
+ITERATIONS, TOLERANCE = 1000, 1e-15
 
 
 @dataclass(frozen=True)
@@ -30,22 +29,23 @@ class ProfitModel:
     levels: Mapping[str, Mapping[str, float]]
     r2: float
 
-    def predicted(self) -> Column:
-        """Prediction as an expression; an unknown level contributes nothing."""
+    def predict(self, rows: DataFrame, name: str) -> DataFrame:
+        """Add the prediction; an unknown level contributes nothing."""
         value = F.lit(self.intercept)
         for column, weight in self.numbers.items():
             value = value + n.real(F.col(column)) * F.lit(weight)
+        frame = rows
         for column, weights in self.levels.items():
-            if weights:
-                table = F.create_map(*[F.lit(x) for x in chain.from_iterable(weights.items())])
-                found = F.try_element_at(table, F.col(column).cast("string"))
-                value = value + F.coalesce(found, F.lit(0.0))
-        return value
+            table = rows.sparkSession.createDataFrame(list(weights.items()), f"_{column} string, _w_{column} double")
+            frame = frame.join(table, F.col(column).cast("string") == F.col(f"_{column}"), "left")
+            value = value + F.coalesce(f"_w_{column}", F.lit(0.0))
+        helpers = [f"{p}{column}" for column in self.levels for p in ("_", "_w_")]
+        return frame.withColumn(name, value).drop(*helpers)
 
     def score(self, scenarios: DataFrame) -> DataFrame:
-        value = self.predicted()
-        return scenarios.select(
-            "*",
+        value = F.col("_value")
+        return self.predict(scenarios, "_value").select(
+            *scenarios.columns,
             F.bround(value, 2).alias("predicted_profit"),
             n.money(value, 2).alias("predicted_profit_fmt"),
             (value > 0).alias("is_profitable"),
@@ -107,100 +107,53 @@ def training_rows(df: DataFrame) -> DataFrame:
     )
 
 
-def moments(rows: DataFrame) -> DataFrame:
-    """Sums of products of every two regression terms, one row per pair.
-
-    The lines are read once and collapse, with a map-side combine, to one row
-    per combination of category values; a one-hot term is 1 or 0 there, so its
-    products are the cell's count and sums. The result has one row per pair of
-    terms, however many lines there are.
-    """
-    plain = (_ONE, *NUMBERS, _TARGET)
-    products = {
-        (a, b): F.sum(F.lit(1.0) if a == b == _ONE else _value(a) * _value(b)).alias(f"{a}*{b}")
-        for a, b in combinations_with_replacement(plain, 2)
-    }
-    cells = rows.groupBy(*CATEGORIES).agg(*products.values())
-    terms = [(c, c, F.lit(None).cast("string")) for c in plain]
-    terms += [(c, _ONE, F.col(c)) for c in CATEGORIES]
-    pairs = [
-        F.struct(
-            F.lit(a).alias("a"), level_a.alias("level_a"), F.lit(b).alias("b"), level_b.alias("level_b"),
-            F.col("`" + "*".join(sorted((as_a, as_b), key=plain.index)) + "`").alias("value"),
-        )
-        for (a, as_a, level_a), (b, as_b, level_b) in combinations_with_replacement(terms, 2)
-    ]
-    exploded = cells.select(F.inline(F.array(*pairs)))
-    return exploded.groupBy("a", "level_a", "b", "level_b").agg(F.sum("value").alias("value"))
-
-
-_ONE, _TARGET = "one", "profit"
-
-
-def _value(name: str) -> Column:
-    return F.lit(1.0) if name == _ONE else F.col(name)
-
-
 @metric("sales", "discount", "quantity", "category", "region", "segment", "ship_mode", "order_date", "profit")
 def fit(df: DataFrame) -> ProfitModel:
-    """Least squares with every level one-hot encoded, in minimum-norm form.
+    """Least squares with every level of every category, in minimum-norm form.
 
-    The full encoding is rank-deficient (each category's dummies sum to one);
-    the pseudo-inverse of the centred products picks the solution of smallest
-    norm, whose coefficients sum to zero within each category. Only the pairs
-    of terms reach the driver, and their number is checked.
+    An iterative solver reads sparse one-hot rows and the driver holds one
+    number per term, however many levels there are. It fits with one level per
+    category left out; shifting each category's weights to a mean of zero, and
+    the intercept against it, gives the solution of smallest norm.
     """
-    pairs = moments(training_rows(df))
-    rows = pairs.limit(MAX_TERMS**2 + 1).collect()
-    if len(rows) > MAX_TERMS**2:
-        raise ValueError(f"more than {MAX_TERMS} terms: too many distinct category values")
-    return solve(rows)
-
-
-def solve(rows: Sequence) -> ProfitModel:
-    """The model from the products of its terms."""
-    terms = sorted({(r["a"], r["level_a"]) for r in rows}, key=_term_order)
-    place = {term: i for i, term in enumerate(terms)}
-    products = np.zeros((len(terms), len(terms)))
-    for r in rows:
-        i, j = place[r["a"], r["level_a"]], place[r["b"], r["level_b"]]
-        products[i, j] = products[j, i] = r["value"]
-    one, target = place[_ONE, None], place[_TARGET, None]
-    count = products[one, one]
-    means = products[one] / count
-    centred = products - count * np.outer(means, means)
-    inputs = [i for i in range(len(terms)) if i not in (one, target)]
-    # unit scale for the numbers, one common scale for all dummies
-    scale = np.array(
-        [math.sqrt(max(centred[i, i], 0.0)) or 1.0 if terms[i][1] is None else math.sqrt(count) for i in inputs]
+    rows = training_rows(df)
+    indices, hot = [f"_i_{c}" for c in CATEGORIES], [f"_h_{c}" for c in CATEGORIES]
+    indexer = StringIndexer(inputCols=list(CATEGORIES), outputCols=indices, stringOrderType="alphabetAsc")
+    encoder = OneHotEncoder(inputCols=indices, outputCols=hot, dropLast=True)
+    assembler = VectorAssembler(inputCols=[*NUMBERS, *hot], outputCol="features")
+    solver = LinearRegression(
+        featuresCol="features", labelCol="profit", solver="l-bfgs", regParam=0.0, maxIter=ITERATIONS, tol=TOLERANCE
     )
-    cross = centred[inputs, target] / scale
-    inverse = np.linalg.pinv(centred[np.ix_(inputs, inputs)] / np.outer(scale, scale), rcond=1e-13, hermitian=True)
-    weights = inverse @ cross
-    slopes = dict(zip((terms[i] for i in inputs), weights / scale))
-    spread = centred[target, target]
-    levels: dict[str, dict[str, float]] = {c: {} for c in CATEGORIES}
-    for (column, level), slope in slopes.items():
-        if level is not None:
-            levels[column][level] = float(slope)
-    return ProfitModel(
-        float(means[target] - sum(slope * means[place[term]] for term, slope in slopes.items())),
-        {c: float(slopes[c, None]) for c in NUMBERS},
-        levels,
-        float(weights @ cross / spread) if spread > 0 else 1.0,
+    fitted = Pipeline(stages=[indexer, encoder, assembler, solver]).fit(rows)
+    labels, line = fitted.stages[0].labelsArray, fitted.stages[3]
+    weights = iter(line.coefficients.toArray().tolist())
+    numbers = {c: next(weights) for c in NUMBERS}
+    levels, intercept = {}, float(line.intercept)
+    for column, names in zip(CATEGORIES, labels, strict=True):
+        own = [next(weights) for _ in names[:-1]] + [0.0]
+        mean = sum(own) / len(own)
+        intercept += mean
+        levels[column] = {name: w - mean for name, w in zip(names, own, strict=True)}
+    return ProfitModel(intercept, numbers, levels, float(line.summary.r2))
+
+
+def check(model: ProfitModel, rows: DataFrame) -> DataFrame:
+    """Per term of the model whether its residuals are orthogonal to it, which
+    makes the fit one of least squares, with its number of lines.
+
+    Sums of products are compared with the sums of their absolute values.
+    """
+    missed = model.predict(rows, "_value").withColumn("_miss", F.col("profit") - F.col("_value"))
+    numbers = [F.struct(F.lit(c).alias("feature"), F.lit(None).cast("string").alias("level"), (F.col("_miss") * F.col(c)).alias("product")) for c in NUMBERS]
+    levels = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("level"), F.col("_miss").alias("product")) for c in CATEGORIES]
+    each = missed.select(F.inline(F.array(*numbers, *levels)))
+    return each.groupBy("feature", "level").agg(
+        (F.abs(F.sum("product")) <= 1e-5 * F.sum(F.abs("product"))).alias("orthogonal"), F.count(F.lit(1)).alias("lines")
     )
 
 
-def _term_order(term: tuple[str, str | None]) -> tuple[str, str]:
-    return term[0], term[1] or ""
-
-
 def scenario_grid(spark: SparkSession, **choices: Sequence) -> DataFrame:
     """Every combination of the given values, one column per argument."""
-    for column, (low, high) in RANGES.items():
-        for value in choices.get(column, ()):
-            if not low <= float(value) <= high:
-                raise ValueError(f"{column}={value} is outside [{low}, {high}]")
     frame = spark.range(1).drop("id")
     for column, values in choices.items():
         frame = frame.withColumn(column, F.explode(F.array(*[F.lit(v) for v in values])))

@@ -185,11 +185,26 @@ def _rules(item: str, top: int | None) -> Query:
     return run
 
 
+_made: dict[tuple, object] = {}
+
+
+def _once(src: ParquetTables, name: str, build):
+    """What a session has fitted for a folder, so that a model is fitted once."""
+    key = (src.spark.sparkContext.applicationId, src.folder, name)
+    if key not in _made:
+        _made[key] = build()
+    return _made[key]
+
+
+def _profit_model(src: ParquetTables) -> profit_model.ProfitModel:
+    return _once(src, "profit_model", lambda: compute(profit_model.fit, src))
+
+
 def _scores(src: ParquetTables) -> DataFrame:
-    model = compute(profit_model.fit, src)
+    model = _profit_model(src)
     scenarios = profit_model.scenario_grid(
         src.spark,
-        sales=[100.0, 500.0, 5000.0],
+        sales=[100.0, 500.0, 5000.0, 50_000.0],
         discount=[0.0, 0.1],
         quantity=[1, 10],
         category=[*sorted(model.levels["category"]), "UNSEEN"],
@@ -202,19 +217,62 @@ def _scores(src: ParquetTables) -> DataFrame:
 
 
 def _model_info(src: ParquetTables) -> DataFrame:
-    info = compute(profit_model.fit, src).info(src.spark)
+    info = _profit_model(src).info(src.spark)
     return info.withColumns({c: F.array_join(c, ", ") for c in profit_model.CATEGORIES})
 
 
-def _members(segment, base, *columns: str) -> Query:
-    def run(src: ParquetTables) -> DataFrame:
-        return segment(compute(base, src)).members.select(*columns, "cluster_label", "cluster_rank")
+def _model_check(src: ParquetTables) -> DataFrame:
+    rows = profit_model.training_rows(src.view(*profit_model.fit.columns))
+    return profit_model.check(_profit_model(src), rows)
 
-    return run
+
+def _found(src: ParquetTables, segment, base) -> segments.Segments:
+    return _once(src, segment.__name__, lambda: segment(compute(base, src)))
+
+
+def _members(segment, base, *columns: str) -> Query:
+    return lambda src: _found(src, segment, base).members.select(*columns, "cluster_label", "cluster_rank")
 
 
 def _profile(segment, base) -> Query:
-    return lambda src: segment(compute(base, src)).profile.drop("cluster", "score")
+    return lambda src: _found(src, segment, base).profile.drop("cluster", "score")
+
+
+def _checked(segment, base) -> Query:
+    return lambda src: segments.check(_found(src, segment, base))
+
+
+class _WithNulls:
+    """The view of a source with names, regions and categories that are sometimes unknown."""
+
+    def __init__(self, src: ParquetTables):
+        self.src = src
+
+    def view(self, *columns: str, summed: bool = False) -> DataFrame:
+        rules = {
+            "category": ("discount", F.col("discount") == F.lit(0.1).cast("decimal(5,4)")),
+            "region": ("ship_mode", F.col("ship_mode") == "1-URGENT"),
+            "customer_name": ("order_date", F.col("order_date") < F.lit(dt.date(1995, 6, 1))),
+        }
+        read = dict.fromkeys([*columns, *[rules[c][0] for c in columns if c in rules]])
+        rows = self.src.view(*read)
+        return rows.withColumns({c: F.when(~rules[c][1], F.col(c)) for c in columns if c in rules}).select(*columns)
+
+
+def _unknown(function) -> Query:
+    return lambda src: compute(function, _WithNulls(src))
+
+
+def _sheet(module: str, name: str) -> Query:
+    return lambda src: exports.sheets(src, module)[name]
+
+
+def _current_versions(src: ParquetTables) -> DataFrame:
+    return history.current(_versions(True)(src))
+
+
+def _next_key(src: ParquetTables) -> DataFrame:
+    return src.spark.createDataFrame([(history.next_key(_first_customers(src), "customer_sk"),)], "next_sk bigint")
 
 
 def _exact(function, *columns: str) -> Query:
@@ -235,6 +293,14 @@ QUERIES: dict[str, Query] = {
     "profile_outliers": _metric(w.profile),
     "fmt_money": _customer_money,
     "status_bands": _metric(profitability.status_bands),
+    # unknown members, report sheets
+    "unknown_by_category": _unknown(sales.by_category),
+    "unknown_top_customers": _unknown(customers.top_customers),
+    "unknown_segment_cards": _unknown(customers.segment_cards),
+    "unknown_profit_grid": _unknown(segments.profit_grid),
+    "unknown_rfm_base": _unknown(segments.rfm_base),
+    "sheet_kpis": _sheet("overview", "kpis"),
+    "sheet_top_customers": _sheet("customers", "top_customers"),
     # headline figures
     "kpis": overview.headline,
     "kpi_yoy": overview.year_on_year,
@@ -302,6 +368,8 @@ QUERIES: dict[str, Query] = {
     "scd2_deletes": lambda src: history.missing_keys(_first_customers(src), _last_customers(src), "customer_id"),
     "scd2_apply": _versions(False),
     "scd2_apply_expiring": _versions(True),
+    "scd2_current": _current_versions,
+    "scd2_next_key": _next_key,
     "fk_orphans": _orphans,
     "pk_duplicates": lambda src: w.primary_key_report(w.build_star(src, RUN_DATE)),
     "reconcile": _reconciled,
@@ -313,16 +381,19 @@ QUERIES: dict[str, Query] = {
         "frequency", "monetary",
     ),
     "rfm_profile": _profile(segments.segment_customers, segments.rfm_base),
+    "rfm_check": _checked(segments.segment_customers, segments.rfm_base),
     "product_profile": _metric(segments.product_profile),
     "product_segments": _members(
         segments.segment_products, segments.product_profile, "product_name", "category", "sub_category", "sales",
         "profit", "margin", "discount_avg", "order_count",
     ),
+    "product_check": _checked(segments.segment_products, segments.product_profile),
     "profit_grid": _metric(segments.profit_grid),
     "profit_segments": _members(
         segments.segment_profitability, segments.profit_grid, "region", "category", "segment", "profit", "margin",
         "discount_avg", "sales", "order_count",
     ),
+    "profit_segments_check": _checked(segments.segment_profitability, segments.profit_grid),
     "basket_items": lambda src: basket.basket_items(src.view("order_id", "sub_category")),
     "basket_rules": _rules("category", None),
     "basket_top_rules": _rules("category", basket.TOP),
@@ -330,7 +401,8 @@ QUERIES: dict[str, Query] = {
     "forecast": _metric(forecast.forecast),
     "forecast_metrics": _metric(forecast.forecast_metrics),
     "forecast_check": _metric(forecast.forecast_check),
-    "profit_model": lambda src: compute(profit_model.fit, src).coefficients(src.spark),
+    "profit_model": lambda src: _profit_model(src).coefficients(src.spark).withColumn("coefficient", F.bround("coefficient", 4)),
+    "profit_model_check": _model_check,
     "profit_model_info": _model_info,
     "profit_scores": _scores,
 }

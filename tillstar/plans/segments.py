@@ -194,6 +194,7 @@ def rfm_features(base: DataFrame) -> DataFrame:
 @dataclass(frozen=True)
 class Clustering:
     members: DataFrame  # base columns + cluster
+    placed: DataFrame  # scaled columns + cluster
     centers: list[list[float]]  # in scaled space
     cost: float
     costs: list[float]  # per seed
@@ -215,8 +216,9 @@ def cluster(scaled: Scaled, k: int = CLUSTERS, seeds: Sequence[int] = SEEDS) ->
         best = models[costs.index(min(costs))]
     finally:
         cached.unpersist()
-    members = best.transform(inputs).drop("features", *scaled.names)
-    return Clustering(members, [list(map(float, c)) for c in best.clusterCenters()], min(costs), costs)
+    placed = best.transform(inputs).drop("features")
+    members = placed.drop(*scaled.names)
+    return Clustering(members, placed.select("cluster", *scaled.names), [list(map(float, c)) for c in best.clusterCenters()], min(costs), costs)
 
 
 def natural_centers(
@@ -287,6 +289,28 @@ def _segments(
     return Segments(members.join(F.broadcast(names), "cluster"), profile, result)
 
 
+def check(found: Segments) -> DataFrame:
+    """One row: members and labels, and whether each member is nearest to its
+    own centre, ranks follow scores and the fit is the best of its seeds."""
+    result = found.clustering
+    names = [c for c in result.placed.columns if c != "cluster"]
+    distances = [sum(((F.col(c) - F.lit(v)) * (F.col(c) - F.lit(v)) for c, v in zip(names, center)), F.lit(0.0)) for center in result.centers]
+    own = F.element_at(F.array(*distances), F.col("cluster") + 1)
+    near = result.placed.agg(F.count(F.lit(1)).alias("members"), F.bool_and(own <= F.array_min(F.array(*distances)) + 1e-9).alias("all_nearest"))
+    # k rows
+    falling = F.col("score") <= F.coalesce(F.lag("score").over(Window.orderBy("rank")), F.lit(math.inf))
+    order = found.profile.withColumn("_falling", falling).agg(
+        F.bool_and("_falling").alias("rank_follows_score"), F.count_distinct("label").alias("labels")
+    )
+    one = F.lit(1)
+    return (
+        near.withColumn("_one", one)
+        .join(order.withColumn("_one", one), "_one")
+        .drop("_one")
+        .withColumn("cost_is_least", F.lit(result.cost <= min(result.costs)))
+    )
+
+
 def _mean(column: str, digits: int, name: str):
     return F.bround(F.avg(column), digits).alias(name)
 
