@@ -88,6 +88,7 @@ def test_recall_rises_as_the_prefix_gets_shorter(spark):
     border = spark.createDataFrame([(0.8,)] * 50, "estimate double")
     assert jaccard_forest.matched_prefix(near) == 6
     assert jaccard_forest.matched_prefix(border) == 4
+    assert jaccard_forest.matched_prefix(border, 0.9999) == 5
     assert jaccard_forest.matched_prefix(border, 0.9999999) == 3
 
 

@@ -27,7 +27,7 @@ from tillstar.session import discard, settle
 
 WORDS, THRESHOLD = 5, Fraction(4, 5)
 #: Trees, hashes of a label, the shortest prefix matched, and the recall to be expected.
-TREES, DEPTH, SHORTEST, TARGET_RECALL = 24, 6, 3, 0.9999
+TREES, DEPTH, SHORTEST, TARGET_RECALL = 24, 6, 3, 0.99999
 SEED = 20_240_617
 #: Rows and shingles of one chunk of a block, and text bytes hashed at once.
 CHUNK_ROWS, CHUNK_SHINGLES, SLICE_BYTES = 2048, 1 << 19, 8 << 20
