@@ -7,37 +7,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tillstar.llm import fertility, jaccard_forest, langid, mixing, packing
-from tillstar.llm.common import read_table
-from tillstar.session import settle, tune
+from tillstar.llm.common import prepare, read_table
+from tillstar.session import settle
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and their script's fertility bands."""
-    tune(spark)
+    prepare(spark)
     return fertility.kept_documents(docs)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents at least half of which is in one language."""
-    tune(spark)
+    prepare(spark)
     return langid.kept_documents(docs, langid.fit(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    tune(spark)
+    prepare(spark)
     return jaccard_forest.kept_documents(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    tune(spark)
+    prepare(spark)
     return mixing.mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents, packed into sequences."""
-    tune(spark)
+    prepare(spark)
     return packing.pack_documents(docs)
 
 

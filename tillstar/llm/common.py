@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import itertools
+import zipfile
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -14,8 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+import tillstar
 from tillstar.operators.ordered import with_running_totals
-from tillstar.session import discard, settle, tune
+from tillstar.session import discard, new_folder, settle, tune
 
 #: Most key ranges a sharded writer makes; bounds what is sent to every task.
 MAX_RANGES = 65_536
@@ -24,8 +28,35 @@ ASCII_SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{ASCII_SPACE}]+"
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+_shipped: set[str] = set()
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Apply the settings of this library and send its code to the executors.
+
+    Functions that run in tasks are found there by the name of their module.
+    The archive goes through the shared folder, once per application.
+    """
     tune(spark)
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        _shipped.add(context.applicationId)
+        package = Path(tillstar.__file__).parent
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+            for file in sorted(package.rglob("*.py")):
+                archive.write(file, file.relative_to(package.parent))
+        folder = new_folder(spark, "code")
+        fs, root = store(folder)
+        fs.create_dir(root, recursive=True)
+        with fs.open_output_stream(f"{root}/tillstar.zip", compression=None) as stream:
+            stream.write(buffer.getvalue())
+        context.addPyFile(f"{folder}/tillstar.zip")
+    return spark
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -26,7 +26,7 @@ from tillstar.session import discard, new_folder, settle
 
 VOCABULARY, VOCABULARY_SIZE, END_ID = "byte_bpe_50k.json", 50_257, 0
 #: Text bytes of a shard; tokens after which a block or a segment is closed; lanes of a segment.
-SHARD_BYTES, BLOCK_TOKENS, SEGMENT_TOKENS, LANES = 8 << 20, 1 << 18, 1 << 16, 256
+SHARD_BYTES, BLOCK_TOKENS, SEGMENT_TOKENS, LANES = 8 << 20, 1 << 18, 1 << 18, 1024
 #: Frequencies add up to 2 ** SCALE; states stay in [2 ** 31, 2 ** 63).
 SCALE, LOW = 20, 31
 
