@@ -9,7 +9,7 @@ from tillstar.operators.metric import compute
 from tillstar.plans import overview
 from tillstar.plans import warehouse as w
 from tillstar.plans.load import LoadSettings, key_violations, run_load
-from tillstar.session import settle, shared_dir
+from tillstar.session import discard, settle, shared_dir
 from tillstar.sources import store
 from tillstar.sources.rawcsv import read_dated_lines, read_order_lines
 from tillstar.sources.tables import StarTables
@@ -169,10 +169,8 @@ def test_settle_writes_below_the_shared_folder(spark, tmp_path):
     assert frame.count() == 3 and f"{shared_dir(spark)}/tillstar/x-" in frame.inputFiles()[0]
 
 
-def test_cluster_without_shared_folder_is_an_error():
+def test_without_a_configured_folder_the_warehouse_is_used():
     class Context:
-        master = "yarn"
-
         def getCheckpointDir(self):
             return None
 
@@ -182,7 +180,13 @@ def test_cluster_without_shared_folder_is_an_error():
         class conf:  # noqa: N801
             @staticmethod
             def get(key, default=None):
-                return default
+                return "hdfs://store/warehouse/" if key == "spark.sql.warehouse.dir" else default
+
+    assert shared_dir(Session()) == "hdfs://store/warehouse/_work"
+
 
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        shared_dir(Session())
+def test_discarded_frames_leave_no_files(spark):
+    frame = settle(spark.range(3), "gone")
+    discard(frame)
+    with pytest.raises(Exception, match="(?i)not exist"):
+        frame.count()

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from decimal import Decimal
 
 from pyspark import StorageLevel
@@ -24,6 +25,19 @@ def ensure_tables(spark: SparkSession, database: str) -> None:
             spark.createDataFrame([], schema).write.format("parquet").saveAsTable(f"{database}.{name}")
 
 
+@contextmanager
+def _partitions_by_folder(spark: SparkSession) -> Iterator[None]:
+    """Tables made inside find partitions in their folder: the catalog would
+    keep the places of partitions when a table is renamed."""
+    key = "spark.sql.hive.manageFilesourcePartitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def replace_table(df: DataFrame, table: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Overwrite ``table`` with ``df``, which may itself read ``table``.
 
@@ -34,8 +48,9 @@ def replace_table(df: DataFrame, table: str, partition_by: Sequence[str] = ()) -
     spark = df.sparkSession
     staged, former = f"{table}__next", f"{table}__former"
     spark.sql(f"DROP TABLE IF EXISTS {staged}")
-    writer = df.write.format("parquet")
-    (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(staged)
+    with _partitions_by_folder(spark):
+        writer = df.write.format("parquet")
+        (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(staged)
     if spark.catalog.tableExists(table):
         spark.sql(f"DROP TABLE IF EXISTS {former}")
         spark.sql(f"ALTER TABLE {table} RENAME TO {former}")
