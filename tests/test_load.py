@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import csv
 import datetime as dt
+import glob
 
 import pytest
 
@@ -111,6 +112,13 @@ def test_full_load_twice(spark, tmp_path):
     assert not run_load(spark, skip)
 
 
+def test_a_load_leaves_no_intermediate_files(spark, tmp_path):
+    left = lambda: set(glob.glob(shared_dir(spark).removeprefix("file:") + "/tillstar/*"))
+    before = left()
+    assert run_load(spark, LoadSettings(write(tmp_path / "a.csv", standard_rows()), dt.date(2020, 1, 1), "raw4", "mart4"))
+    assert left() == before
+
+
 def test_snake_case_header_and_key_violations(spark, tmp_path):
     header = [h.lower().replace(" ", "_").replace("-", "_") for h in HEADER]
     twice = [row(1), row(1)]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import re
 
 import pytest
 from check_oracle import compare, connect

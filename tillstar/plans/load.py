@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tillstar.functions.text import column_name, with_snake_names
 from tillstar.operators.quality import reconcile
 from tillstar.plans import warehouse as w
-from tillstar.session import tune
+from tillstar.session import own_folders, tune
 from tillstar.sources import store
 from tillstar.sources.rawcsv import read_order_lines
 from tillstar.sources.tables import StarTables
@@ -81,7 +81,13 @@ def run_load(spark: SparkSession, settings: LoadSettings) -> bool:
     store.ensure_tables(spark, db)
     if settings.skip_if_loaded and not spark.table(f"{db}.f_sales").isEmpty():
         return False
-    started = time.monotonic()
+    with own_folders(spark):
+        _load(spark, settings)
+    return True
+
+
+def _load(spark: SparkSession, settings: LoadSettings) -> None:
+    db, started = settings.database, time.monotonic()
 
     def step(
         name: str, message: str, work: Callable[[], DataFrame], verdict: Callable[[int], str] = lambda rows: "OK"
@@ -161,7 +167,6 @@ def run_load(spark: SparkSession, settings: LoadSettings) -> bool:
         spark, db, "reconcile", verdict["fact_rows"], verdict["status"], verdict["message"], time.monotonic() - begun
     )
     store.log_step(spark, db, "load_total", verdict["source_rows"], "OK", "Load complete", time.monotonic() - started)
-    return True
 
 
 def key_violations(star: StarTables) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
@@ -40,14 +42,30 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tillstar/{label}-{uuid.uuid4().hex}"
 
 
+_written: list[str] = []
+
+
+@contextmanager
+def own_folders(spark: SparkSession) -> Iterator[None]:
+    """Delete what ``settle`` writes inside once the work inside is over."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        for path in _written[before:]:
+            remove_folder(spark, path)
+        del _written[before:]
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts lineage for frames used several times. The files survive lost
     executors, and their size on disk tells Spark whether a later join may
-    broadcast them. ``discard`` removes them.
+    broadcast them. ``discard`` or ``own_folders`` removes them.
     """
     path = new_folder(df.sparkSession, label)
+    _written.append(path)
     df.write.parquet(path)
     settled = df.sparkSession.read.schema(df.schema).parquet(path)
     settled.settled_path = path
