@@ -135,12 +135,6 @@ def map_sorted_groups(
     return dealt.mapInArrow(run, schema)
 
 
-def flatten_chunks(column: pa.Array | pa.ChunkedArray) -> pa.Array:
-    if isinstance(column, pa.ChunkedArray):
-        return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
-    return column
-
-
 def slices_by_bytes(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
     """Row ranges of a string column of about ``most`` bytes each."""
     n = len(column)

@@ -14,7 +14,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-import pyarrow.fs
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,7 +70,7 @@ def commit(written: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for name, temporary, size, _, _ in rows_of([batch]):
                 source, target = f"{root}/{temporary}", f"{root}/{name}"
-                if fs.get_file_info(source).type != pa.fs.FileType.NotFound:
+                if fs.get_file_info(source).type != pafs.FileType.NotFound:
                     fs.move(source, target)
                 if fs.get_file_info(target).size != size:
                     raise OSError(f"{target} is incomplete")
@@ -83,7 +83,7 @@ def commit(written: DataFrame, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/_manifest")
 
 
-def read_files(manifest: DataFrame, read: Callable[[str, pa.fs.FileSystem, str], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def read_files(manifest: DataFrame, read: Callable[[str, pafs.FileSystem, str], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Rows of ``read(path, file system, inner path)`` over the files of a manifest.
 
     A path is a short row that stands for much work, so the number of tasks is
