@@ -23,6 +23,8 @@ from tillstar.session import discard, new_folder, settle, tune
 
 #: Most key ranges a sharded writer makes; bounds what is sent to every task.
 MAX_RANGES = 65_536
+#: Rows that go to a Python worker at once; texts are long.
+BATCH_ROWS = 2000
 #: White space of the word rule of this subpackage, as a regular expression class.
 ASCII_SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{ASCII_SPACE}]+"
@@ -38,6 +40,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     The archive goes through the shared folder, once per application.
     """
     tune(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         _shipped.add(context.applicationId)
@@ -144,6 +147,8 @@ def slices_by_bytes(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
     group = (np.cumsum(lengths) - lengths) // most
     starts = np.flatnonzero(np.diff(group, prepend=-1))
     yield from itertools.pairwise([*starts.tolist(), n])
+    # what the slices took is not kept back from the process beside this one
+    pa.default_memory_pool().release_unused()
 
 
 def range_column(column: str, bounds: np.ndarray):

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from tillstar.llm.common import slices_by_bytes
 
 #: Bytes of text split at once, and words kept between batches.
-SLICE_BYTES, KEPT_WORDS = 8 << 20, 400_000
+SLICE_BYTES, KEPT_WORDS = 8 << 20, 500_000
 
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
@@ -75,8 +75,10 @@ class Encoder:
 
     def _lookup(self, pieces: list[str], after_space: bool) -> list[bytes]:
         known = self.words if after_space else self.bare
-        if len(known) > KEPT_WORDS:
+        if len(known) > KEPT_WORDS:  # go on with what is in use
+            used = {p: known[p] for p in pieces if p in known}
             known.clear()
+            known.update(used)
         rest = []
         for piece in pieces:
             if piece not in known:
