@@ -131,10 +131,14 @@ def matrix_of(vectors: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return raw, raw / np.sqrt((raw * raw).sum(axis=1))[:, None]
 
 
-def fit(classes: DataFrame, dims: int, count: int) -> Quantiser:
-    """Learn from the ``SAMPLE`` rows of smallest hash; about sqrt(rows) lists."""
+def fit(classes: DataFrame, dims: int, per_label: int) -> Quantiser:
+    """Learn from the ``SAMPLE`` rows of smallest hash.
+
+    With as many lists as the square root of a label's rows, a vector meets
+    about as many lists as a list has members of its label.
+    """
     rows = classes.filter(F.octet_length("vector") == 8 * dims).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
-    return Quantiser(matrix_of([bytes(r[0]) for r in rows.select("vector").collect()])[1], min(math.isqrt(count) + 1, MOST_LISTS))
+    return Quantiser(matrix_of([bytes(r[0]) for r in rows.select("vector").collect()])[1], min(math.isqrt(per_label) + 1, MOST_LISTS))
 
 
 def file_vectors(classes: DataFrame, quantisers: dict[int, Quantiser]) -> DataFrame:
@@ -261,7 +265,8 @@ def similar_vectors(vectors: DataFrame) -> DataFrame:
     usable = settle(usable_vectors(vectors), "vectors")
     same = usable.groupBy("label", "vector").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("size"))
     classes = settle(same, "vector-classes")
-    counts = {r[0]: r[1] for r in classes.groupBy((F.octet_length("vector") / 8).cast("int")).count().collect()}
+    sizes = classes.groupBy((F.octet_length("vector") / 8).cast("int").alias("dims"))
+    counts = {r[0]: r[1] // r[2] for r in sizes.agg(F.count(F.lit(1)), F.count_distinct("label")).collect()}
     quantisers = {dims: fit(classes, dims, n) for dims, n in sorted(counts.items())}
     links = settle(link_vectors(file_vectors(classes, quantisers), quantisers), "vector-links")
     counted = links.groupBy("id").agg(F.sum("links").alias("links"))
