@@ -36,6 +36,19 @@ def test_word_by_word_ids_are_those_of_the_library(kind, name):
         assert ids.tolist() == library_ids(name, text), text
 
 
+@pytest.mark.parametrize("kind, name", [(tokens.ByteEncoder, "byte_bpe_50k.json"), (tokens.WordEncoder, "word_bpe_49k.json")])
+def test_added_tokens_are_those_of_a_fresh_library(kind, name):
+    from tokenizers import Tokenizer
+
+    path = tokens.vocabulary_path(name)
+    library, rng = Tokenizer.from_file(path), random.Random(6)
+    parts = ["a", " b", "Word,", " ", "\n", "\u0338", "<|", "|>", "endoftext", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "é"]
+    texts = ["a b <|endoftext|> c", *("".join(rng.choices(parts, k=rng.randint(0, 8))) for _ in range(2000))]
+    found = [ids.tolist() for ids in tokens.encoder(kind, path).encode(pa.array(texts))]
+    assert found == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert library.token_to_id("<|endoftext|>") in found[0]
+
+
 # 1 n-gram Jaccard join
 
 

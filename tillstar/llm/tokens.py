@@ -51,8 +51,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings are ordinary text
         self.model = self.library.model
+        self.added = [token.content for token in self.library.get_added_tokens_decoder().values()]
         self.letters = dict(enumerate(byte_letters()))
         self.words: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
@@ -96,7 +96,11 @@ class Encoder:
         raise NotImplementedError
 
     def _irregular(self, texts: pa.Array) -> np.ndarray:
-        raise NotImplementedError
+        """Which texts hold an added token, which the library finds before anything else."""
+        found = np.zeros(len(texts), dtype=bool)
+        for content in self.added:
+            found |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+        return found
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text in turn, as 16-bit integers; null is empty."""
@@ -170,7 +174,7 @@ class ByteEncoder(Encoder):
         return self._model_ids("\n").join(parts)
 
     def _irregular(self, texts):
-        return pc.match_substring(texts, "  ").to_numpy(zero_copy_only=False)
+        return super()._irregular(texts) | pc.match_substring(texts, "  ").to_numpy(zero_copy_only=False)
 
 
 class WordEncoder(Encoder):
@@ -200,9 +204,6 @@ class WordEncoder(Encoder):
             parts.append(ids)
         return b"".join(parts)
 
-    def _irregular(self, texts):
-        return np.zeros(len(texts), dtype=bool)
-
 
 _made: dict[tuple[type, str], Encoder] = {}
 
