@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -319,6 +320,28 @@ def test_bands_reject_what_is_no_prose(spark):
     assert all(r.kept or r.base_failed for i, r in found.items() if i >= 0)
 
 
+#: From the declaration of human rights.
+CLEAN = {
+    "vi": "Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền lợi. Mọi con người đều được tạo hóa ban cho lý trí và lương tâm và cần phải đối xử với nhau trong tình anh em. Mọi người đều được hưởng tất cả những quyền và tự do ghi trong bản Tuyên ngôn này, không có bất cứ sự phân biệt nào, như chủng tộc, màu da, giới tính, ngôn ngữ, tôn giáo, quan điểm chính trị hay quan điểm khác, nguồn gốc quốc gia hay xã hội, tài sản, dòng dõi hay các thân trạng khác.",
+    "cs": "Všichni lidé rodí se svobodní a sobě rovní co do důstojnosti a práv. Jsou nadáni rozumem a svědomím a mají spolu jednat v duchu bratrství. Každý má všechna práva a všechny svobody, stanovené touto deklarací, bez jakéhokoli rozlišování, zejména podle rasy, barvy, pohlaví, jazyka, náboženství, politického nebo jiného smýšlení, národnostního nebo sociálního původu, majetku, rodu nebo jiného postavení. Každý má právo na život, svobodu a osobní bezpečnost. Nikdo nesmí být držen v otroctví nebo nevolnictví.",
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. Każdy człowiek posiada wszystkie prawa i wolności zawarte w niniejszej Deklaracji bez względu na różnice rasy, koloru, płci, języka, wyznania, poglądów politycznych i innych przekonań, narodowości, pochodzenia społecznego, majątku, urodzenia lub jakiegokolwiek innego stanu.",
+    "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. Jokainen on oikeutettu kaikkiin tässä julistuksessa esitettyihin oikeuksiin ja vapauksiin ilman minkäänlaista rotuun, väriin, sukupuoleen, kieleen, uskontoon, poliittiseen tai muuhun mielipiteeseen, kansalliseen tai yhteiskunnalliseen alkuperään, omaisuuteen, syntyperään tai muuhun tekijään perustuvaa erotusta.",
+}
+
+
+def test_clean_latin_prose_is_kept_and_random_letters_are_not(spark):
+    rng = random.Random(9)
+    rows = ["qwertyuiop", "asdfghjkl", "zxcvbnm"]
+    alphabets = ["abcdefghijklmnopqrstuvwxyz", "eeeeeettttaaaooiinnsshhrrdlcumwfgypb", "ăâđêôơưạảấầẩ", *rows]
+    noise = [" ".join("".join(rng.choices(a, k=rng.randint(3, 9))) for _ in range(300)) for a in alphabets for _ in range(10)]
+    noise += [" ".join("".join(rng.choices(rng.choice(rows), k=rng.randint(3, 9))) for _ in range(300)) for _ in range(10)]
+    clean = [*CLEAN.values(), unicodedata.normalize("NFD", CLEAN["vi"])]
+    docs = spark.createDataFrame(list(enumerate(clean + noise)), "doc_id bigint, text string")
+    found = {r.doc_id: r for r in fertility.judge(docs).collect()}
+    assert not any(r.base_failed for r in found.values())
+    assert [i for i, r in found.items() if r.kept != (i < len(clean))] == []
+
+
 def test_kept_documents_agree_with_the_verdicts(documents):
     verdicts = Counter(r.doc_id for r in fertility.judge(documents).filter("kept").collect())
     kept = fertility.kept_documents(documents)
