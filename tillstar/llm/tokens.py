@@ -1,29 +1,38 @@
 """Token ids of whole texts with the public byte-pair vocabularies.
 
 The vocabularies never merge across the start of a word, so a text's ids are
-those of its words in turn. A batch is split into words once, each distinct
-word is encoded once by the ``tokenizers`` library (plain words by its model,
-all others by its full pipeline) and the ids are gathered. Texts for which the
-split would not be exact go through the library as a whole.
+those of its words in turn. A slice of texts is split at spaces, and distinct
+pieces of letters, marks and line breaks are cut into words by their bytes and
+merged by the agenda, all at once. Pieces with anything else go through the
+``tokenizers`` library, and so do, as a whole, texts for which the split would
+not be exact. Nothing is kept between slices, so memory is bounded.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tillstar.llm.agenda import Merges, merge_words
 from tillstar.llm.common import slices_by_bytes
 
-#: Bytes of text split at once, and words kept between batches.
-SLICE_BYTES, KEPT_WORDS = 8 << 20, 500_000
+#: Bytes of text split at once.
+SLICE_BYTES = 8 << 20
 
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: Classes of bytes: anything else, letter, digit, mark, line break, space before a piece.
+OTHER, LETTER, DIGIT, MARK, BREAK, SPACE = range(6)
+#: ASCII marks; an apostrophe may start a word of its own and is none.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_CLASS = np.zeros(256, dtype=np.uint8)
+_CLASS[[*range(65, 91), *range(97, 123)]] = LETTER
+_CLASS[[*range(48, 58)]] = DIGIT
+_CLASS[[ord(c) for c in MARKS]] = MARK
+_CLASS[10] = BREAK
 
 
 def vocabulary_path(name: str) -> str:
@@ -40,60 +49,62 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+def ragged(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Lists of 16-bit ids, up to ``ends``, as binary values."""
+    offsets = np.concatenate([[0], ends]).astype(np.int64) * 2
+    data = np.ascontiguousarray(values, dtype="<u2")
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def take(lists: pa.Array, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the lists numbered by ``codes``, one after the other, and each one's end."""
+    found = lists.take(pa.array(codes))
+    ends = np.frombuffer(found.buffers()[1], dtype=np.int64)[1 : len(codes) + 1] // 2
+    data = found.buffers()[2]
+    return np.frombuffer(data, dtype="<u2")[: ends[-1] if len(ends) else 0] if data else np.zeros(0, "<u2"), ends
+
+
+def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a text or binary column without nulls, and each value's end."""
+    kind = np.int64 if pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type) else np.int32
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, dtype=kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    if data is None or not len(column):
+        return np.zeros(0, dtype=np.uint8), np.zeros(len(column), dtype=np.int64)
+    return np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]], offsets[1:] - offsets[0]
+
+
 class Encoder:
-    """Ids of the texts of an Arrow column; made once per worker process."""
+    """Ids of the texts of an Arrow column; made once per worker process.
+
+    ``plain`` takes the strings of added tokens for ordinary text.
+    """
 
     #: whether the space before a word is part of its token
     spaced: bool
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.model = self.library.model
-        self.added = [token.content for token in self.library.get_added_tokens_decoder().values()]
+        self.library.encode_special_tokens = plain
+        self.added = [] if plain else [token.content for token in self.library.get_added_tokens_decoder().values()]
         self.letters = dict(enumerate(byte_letters()))
-        self.words: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("H", e.ids).tobytes() for e in found]
-
-    def _model_ids(self, text: str) -> bytes:
-        # in byte-level letters, ASCII letters and marks stand for themselves
-        if text.isascii() and "\n" not in text:
-            mapped = text.replace(" ", self.letters[32])
-        else:
-            mapped = text.encode().decode("latin-1").translate(self.letters)
-        return array("H", [t.id for t in self.model.tokenize(mapped)]).tobytes()
-
-    def _plain(self, word: str, after_space: bool) -> bytes | None:
-        """Ids of letters followed by full stops or the like; else None."""
-        raise NotImplementedError
-
-    def _lookup(self, pieces: list[str], after_space: bool) -> list[bytes]:
-        known = self.words if after_space else self.bare
-        if len(known) > KEPT_WORDS:  # go on with what is in use
-            used = {p: known[p] for p in pieces if p in known}
-            known.clear()
-            known.update(used)
-        rest = []
-        for piece in pieces:
-            if piece not in known:
-                ids = self._by_lines(piece, after_space)
-                if ids is None:
-                    rest.append(piece)
-                else:
-                    known[piece] = ids
-        before = " " if after_space and self.spaced else ""
-        for piece, ids in zip(rest, self.whole([before + p for p in rest]), strict=True):
-            known[piece] = ids
-        return [known[p] for p in pieces]
-
-    def _by_lines(self, piece: str, after_space: bool) -> bytes | None:
-        raise NotImplementedError
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        self.vocabulary, self.suffix = model["vocab"], model.get("end_of_word_suffix") or ""
+        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        left, right = (np.array([self.vocabulary[p[i]] for p in pairs], dtype=np.int64) for i in (0, 1))
+        merged = np.array([self.vocabulary["".join(p)] for p in pairs], dtype=np.int64)
+        self.merges = Merges(left, right, np.arange(len(pairs)), merged)
+        self.inner = np.array([self.vocabulary[c] for c in byte_letters()], dtype=np.int32)
+        self.last = np.array([self.vocabulary[c + self.suffix] for c in byte_letters()], dtype=np.int32)
+
+    def whole(self, texts: list[str]) -> pa.Array:
+        found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        ends = np.cumsum([len(ids) for ids in found], dtype=np.int64)
+        return ragged(np.array([i for ids in found for i in ids], dtype="<u2"), ends)
 
     def _irregular(self, texts: pa.Array) -> np.ndarray:
         """Which texts hold an added token, which the library finds before anything else."""
@@ -102,6 +113,65 @@ class Encoder:
             found |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
         return found
 
+    def _folded(self, data: np.ndarray, after_c3: np.ndarray) -> np.ndarray:
+        return data
+
+    def _pieces(self, pieces: pa.Array) -> pa.Array:
+        """Ids of each piece of text between two spaces; where the space is part
+        of the token, a piece comes with it."""
+        data, ends = bytes_of(pieces)
+        starts = np.concatenate([[0], ends[:-1]])
+        after_c3 = np.concatenate([[False], data[:-1] == 0xC3]) if len(data) else np.zeros(0, dtype=bool)
+        data = self._folded(data, after_c3)
+        kind = _CLASS[data]
+        kind[after_c3 & (data != 0x97) & (data != 0xB7)] = LETTER
+        kind[data == 0xC3] = LETTER
+        begins = np.zeros(len(data) + 1, dtype=bool)
+        begins[starts] = True
+        begins = begins[:-1]
+        kind[begins & (data == 32)] = SPACE
+        before = np.concatenate([[OTHER], kind[:-1]]) if len(kind) else kind
+        odd = kind == OTHER
+        if self.spaced:  # white space that runs together
+            odd |= (kind == BREAK) & (begins | (before == BREAK) | (before == SPACE))
+            closes = np.zeros(len(data) + 1, dtype=bool)
+            closes[ends] = True
+            odd |= (kind == SPACE) & closes[1:]
+        upto = np.concatenate([[0], np.cumsum(odd)])
+        irregular = upto[ends] > upto[starts]
+
+        run = begins | ((kind != before) & (before != SPACE)) | (kind == BREAK)
+        if not self.spaced:  # where words are single digits
+            run |= kind == DIGIT
+        run_starts = np.flatnonzero(run)
+        of_piece = np.searchsorted(ends, run_starts, side="right")
+        wanted = ~irregular[of_piece]
+        if not self.spaced:
+            wanted &= kind[run_starts] != BREAK
+        offsets = np.append(run_starts, len(data)).astype(np.int64)
+        runs = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(run_starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]
+        )
+        coded = runs.filter(pa.array(wanted)).dictionary_encode()
+        words, codes = self._words(coded.dictionary), coded.indices.to_numpy()
+        ids, run_ends = take(words, codes)
+        run_counts = np.bincount(of_piece[wanted], minlength=len(pieces))
+        found = ragged(ids, np.concatenate([[0], run_ends])[np.cumsum(run_counts)])
+        rest = np.flatnonzero(irregular)
+        if len(rest):
+            found = pa.concat_arrays([found, self.whole(pieces.take(pa.array(rest)).to_pylist())])
+            at = np.arange(len(pieces))
+            at[rest] = len(pieces) + np.arange(len(rest))
+            found = found.take(pa.array(at))
+        return found
+
+    def _words(self, words: pa.Array) -> pa.Array:
+        """Ids of distinct words, merged by the agenda."""
+        data, ends = bytes_of(words)
+        symbols = self.inner[data]
+        symbols[ends - 1] = self.last[data[ends - 1]]
+        return ragged(*merge_words(symbols, ends, self.merges))
+
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text in turn, as 16-bit integers; null is empty."""
         texts = texts.fill_null("")
@@ -111,34 +181,29 @@ class Encoder:
     def _encode_slice(self, texts: pa.Array) -> list[np.ndarray]:
         odd = self._irregular(texts)
         found: list[np.ndarray | None] = [None] * len(texts)
-        odd_rows = np.flatnonzero(odd)
-        for row, ids in zip(odd_rows.tolist(), self.whole([texts[i].as_py() for i in odd_rows.tolist()]), strict=True):
-            found[row] = np.frombuffer(ids, dtype=np.uint16)
-        rows = np.flatnonzero(~odd)
-        if len(rows):
-            regular = texts.take(pa.array(rows)) if len(odd_rows) else texts
-            for row, ids in zip(rows.tolist(), self._gather(regular), strict=True):
-                found[row] = ids
+        for rows, method in ((np.flatnonzero(odd), self._whole_texts), (np.flatnonzero(~odd), self._gather)):
+            if len(rows):
+                ids, ends = method(texts.take(pa.array(rows)) if len(rows) < len(texts) else texts)
+                for row, own in zip(rows.tolist(), np.split(ids, ends[:-1]), strict=True):
+                    found[row] = own
         return found
 
-    def _gather(self, texts: pa.Array) -> list[np.ndarray]:
+    def _whole_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return take(self.whole(texts.to_pylist()), np.arange(len(texts)))
+
+    def _gather(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         split = pc.split_pattern(texts, " ")
         starts = split.offsets.to_numpy()[:-1] - split.offsets[0].as_py()
         pieces = split.flatten()
         coded = pieces.dictionary_encode()
-        parts = self._lookup(coded.dictionary.to_pylist(), True)
-        codes = coded.indices.to_numpy().astype(np.int64)
-        # a text's first word has no space before it
-        codes[starts] = len(parts) + np.arange(len(starts))
-        parts = parts + self._lookup(pieces.take(pa.array(starts)).to_pylist(), False)
-        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 2
-        flat = np.frombuffer(b"".join(parts), dtype=np.uint16)
-        at = np.cumsum(sizes) - sizes
-        taken = sizes[codes]
-        ends = np.cumsum(taken)
-        ids = flat[np.repeat(at[codes] - (ends - taken), taken) + np.arange(taken.sum())]
-        row_ends = ends[np.append(starts[1:], len(codes)) - 1]
-        return np.split(ids, row_ends[:-1])
+        distinct, codes = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        if self.spaced:
+            # a text's first piece has no space before it
+            firsts = pieces.take(pa.array(starts))
+            codes[starts] = len(distinct) + np.arange(len(starts))
+            distinct = pa.concat_arrays([pc.binary_join_element_wise("", distinct, " "), firsts])
+        ids, ends = take(self._pieces(distinct), codes)
+        return ids, ends[np.append(starts[1:], len(codes)) - 1]
 
 
 class ByteEncoder(Encoder):
@@ -146,33 +211,6 @@ class ByteEncoder(Encoder):
 
     spaced = True
 
-    def _plain(self, word, after_space):
-        known = self.words if after_space else self.bare
-        match = _PLAIN.fullmatch(word)
-        if not match:
-            return None
-        letters, marks = match.groups()
-        if not marks:
-            return self._model_ids(" " + letters if after_space else letters)
-        if letters not in known:
-            known[letters] = self._plain(letters, after_space)
-        if marks not in self.bare:
-            self.bare[marks] = self._model_ids(marks)
-        return known[letters] + self.bare[marks]
-
-    def _by_lines(self, piece, after_space):
-        if piece == "" and not after_space:
-            return b""
-        if "\n" not in piece:
-            return self._plain(piece, after_space)
-        parts = []
-        for i, line in enumerate(piece.split("\n")):
-            ids = self._plain(line, after_space and i == 0)
-            if ids is None:
-                return None
-            parts.append(ids)
-        return self._model_ids("\n").join(parts)
-
     def _irregular(self, texts):
         return super()._irregular(texts) | pc.match_substring(texts, "  ").to_numpy(zero_copy_only=False)
 
@@ -182,34 +220,16 @@ class WordEncoder(Encoder):
 
     spaced = False
 
-    def _plain(self, word, after_space):
-        match = _PLAIN.fullmatch(word.lower())
-        if not match:
-            return None
-        letters, marks = match.groups()
-        if not marks:
-            return self._model_ids(letters)
-        if letters not in self.words:
-            self.words[letters] = self._model_ids(letters)
-        if marks not in self.bare:
-            self.bare[marks] = self._model_ids(marks)
-        return self.words[letters] + self.bare[marks]
-
-    def _by_lines(self, piece, after_space):
-        parts = []
-        for line in piece.split("\n"):
-            ids = self._plain(line, after_space) if line else b""
-            if ids is None:
-                return None
-            parts.append(ids)
-        return b"".join(parts)
-
-
-_made: dict[tuple[type, str], Encoder] = {}
-
-
-def encoder(kind: type[Encoder], path: str) -> Encoder:
+    def _folded(self, data, after_c3):
+        upper = ((data >= 65) & (data <= 90)) | (after_c3 & (data >= 0x80) & (data <= 0x9E) & (data != 0x97))
+        return data + (upper * np.uint8(32))
+
+
+_made: dict[tuple, Encoder] = {}
+
+
+def encoder(kind: type[Encoder], path: str, plain: bool = False) -> Encoder:
     """The worker's encoder for a vocabulary file."""
-    if (kind, path) not in _made:
-        _made[kind, path] = kind(path)
-    return _made[kind, path]
+    if (kind, path, plain) not in _made:
+        _made[kind, path, plain] = kind(path, plain)
+    return _made[kind, path, plain]
