@@ -176,20 +176,21 @@ class Encoder:
         """The ids of each text in turn, as 16-bit integers; null is empty."""
         texts = texts.fill_null("")
         for start, end in slices_by_bytes(texts, SLICE_BYTES):
-            yield from self._encode_slice(texts.slice(start, end - start))
+            ids, ends = self.encode_slice(texts.slice(start, end - start))
+            yield from np.split(ids, ends[:-1])
 
-    def _encode_slice(self, texts: pa.Array) -> list[np.ndarray]:
+    def encode_slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and each text's end; no nulls."""
         odd = self._irregular(texts)
-        found: list[np.ndarray | None] = [None] * len(texts)
-        for rows, method in ((np.flatnonzero(odd), self._whole_texts), (np.flatnonzero(~odd), self._gather)):
-            if len(rows):
-                ids, ends = method(texts.take(pa.array(rows)) if len(rows) < len(texts) else texts)
-                for row, own in zip(rows.tolist(), np.split(ids, ends[:-1]), strict=True):
-                    found[row] = own
-        return found
-
-    def _whole_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        return take(self.whole(texts.to_pylist()), np.arange(len(texts)))
+        if not odd.any():
+            return self._gather(texts)
+        plain, rest = np.flatnonzero(~odd), np.flatnonzero(odd)
+        lists = [self.whole(texts.take(pa.array(rest)).to_pylist())]
+        if len(plain):
+            lists.append(ragged(*self._gather(texts.take(pa.array(plain)))))
+        at = np.empty(len(texts), dtype=np.int64)
+        at[np.concatenate([rest, plain])] = np.arange(len(texts))
+        return take(pa.concat_arrays(lists), at)
 
     def _gather(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         split = pc.split_pattern(texts, " ")

@@ -10,14 +10,15 @@ import xxhash
 _TO_SPACE = bytes(32 if b in (9, 10, 11, 12, 13) else b for b in range(256))
 
 
-def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+def split_words(texts: pa.Array, table: bytes = _TO_SPACE) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words, the number of each word in turn, and each text's last + 1.
 
-    Words are runs of anything but ASCII white space; texts are not null.
+    Words are what lies between spaces once ``table`` has translated each byte;
+    by default runs of anything but ASCII white space. Texts are not null.
     """
     _, offsets, data = texts.buffers()
     offsets = np.frombuffer(offsets, dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1]
-    spaced = data.slice(offsets[0], offsets[-1] - offsets[0]).to_pybytes().translate(_TO_SPACE) if data else b""
+    spaced = data.slice(offsets[0], offsets[-1] - offsets[0]).to_pybytes().translate(table) if data else b""
     shifted = pa.py_buffer((offsets - offsets[0]).astype(np.int32).tobytes())
     clean = pa.Array.from_buffers(pa.string(), len(texts), [None, shifted, pa.py_buffer(spaced)])
     split = pc.split_pattern(clean, " ")
