@@ -287,4 +287,4 @@ def test_accumulators_are_limited_and_survivors_exact():
     seen = sorted({d for t in range(made) for d in held[t]})
     assert np.array_equal(total[seen], exact[seen])
     assert (total[[d for d in range(n) if d not in seen]] == 0).all()
-    assert shard.scores(np.arange(6), int(exact.max()) + 1)[1] < made
+    assert shard.scores(np.arange(6), 10**12)[1] == 0
