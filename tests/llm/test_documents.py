@@ -95,6 +95,23 @@ def test_join_edge_rows(documents, no_documents):
     assert sorted(r.doc_id or 0 for r in kept.select("doc_id").collect()) == [0, 1, 4, 5, 6, 7, 8, 9, 11, 12, 13]
 
 
+def test_texts_that_share_an_id_link_on_their_own(spark):
+    x, y = (" ".join(f"{c}{i}" for i in range(60)) for c in "xy")
+    rows = [(1, x, 0), (1, y, 1), (2, x + " tail", 2), (3, y + " tail", 3), (3, y + " tail", 3), (4, "", 4), (4, None, 5), (4, None, 5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, mark int").repartition(4)
+    found = Counter(tuple(r) for r in jaccard_forest.similar_documents(docs).collect())
+    assert found == Counter({(1, 1, 1, 1, 56): 1, (1, 1, 1, 2, 56): 1, (2, 1, 2, 1, 57): 1, (3, 1, 3, 2, 57): 2, (4, 4, 4, 0, 0): 3})
+    # a text of each group stays, though both groups begin with document 1
+    kept = Counter((r.doc_id, r.text, r.mark) for r in jaccard_forest.kept_documents(docs).collect())
+    assert kept == Counter({(1, x, 0): 1, (1, y, 1): 1, (4, "", 4): 1, (4, None, 5): 1})
+
+
+def test_join_of_nothing(spark, no_documents):
+    empty = no_documents.unionByName(spark.createDataFrame([(None,) * 10, (1, *(None,) * 9)], no_documents.schema))
+    assert jaccard_forest.kept_documents(no_documents).collect() == []
+    assert sorted(r.doc_id or 0 for r in jaccard_forest.kept_documents(empty).collect()) == [0, 1]
+
+
 def test_recall_rises_as_the_prefix_gets_shorter(spark):
     values = [jaccard_forest.recall(0.8, k) for k in (6, 5, 4, 3)]
     assert values == sorted(values) and values[-1] > 0.9999999

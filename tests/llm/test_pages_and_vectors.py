@@ -63,6 +63,18 @@ def test_archives_round_trip(spark, pages, page_rows):
     assert warc.archive_round_trip(spark, pages.filter("false")).count() == 0
 
 
+def test_pages_that_share_an_id_keep_their_own_payloads(spark):
+    rows = [(1, "u", "same"), (5, "u", "same"), (5, "v", "other payload"), (6, None, "other payload"), (6, None, "same"), (7, None, None), (9, None, "")]
+    found = warc.archive_round_trip(spark, spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    kinds = {(r.page_id, r.payload_digest, r.payload_bytes): (r.record_type, r.refers_to) for r in found}
+    digest = {t: warc.base32_sha1(t.encode()) for t in ("same", "other payload", "")}
+    assert len(found) == len(rows) and kinds == {
+        (1, digest["same"], 4): ("response", None), (5, digest["same"], 4): ("revisit", 1), (6, digest["same"], 4): ("revisit", 1),
+        (5, digest["other payload"], 13): ("response", None), (6, digest["other payload"], 13): ("revisit", 5),
+        (7, digest[""], 0): ("response", None), (9, digest[""], 0): ("revisit", 7),
+    }
+
+
 def test_archives_do_not_depend_on_partitions(spark, pages):
     def written(df):
         folder = new_folder(spark, "warc-test")
@@ -89,7 +101,7 @@ def test_a_commit_can_be_repeated(spark):
 
 
 def test_a_broken_record_is_noticed():
-    record = warc.page_record(1, "http://a", b"payload", None, False)
+    record = warc.page_record(1, "http://a", b"payload", None)
     with pytest.raises(Exception):
         list(warc.members(__import__("io").BytesIO(record[:-5])))
     headers, block = warc.parse(next(warc.members(__import__("io").BytesIO(record))))

@@ -17,7 +17,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillstar.llm.common import map_sorted_groups, slices_by_bytes, whole_row
@@ -52,22 +52,24 @@ def signature(shingles: np.ndarray, family: tuple[np.ndarray, np.ndarray]) -> np
 
 
 def sign_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, key, n_shingles, signature of each document; nulls where there is no word."""
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n_shingles", pa.int64()), ("signature", pa.binary())])
+    """doc_id, mark (a hash of the text), key, n_shingles, signature of each
+    document; nulls where there is no word."""
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("key", pa.binary()), ("n_shingles", pa.int64()), ("signature", pa.binary())])
 
     def run(batches):
         family = hash_family()
         for batch in batches:
-            texts, ids = batch.column(1).fill_null(""), batch.column(0)
+            texts = batch.column(2).fill_null("")
             for a, b in slices_by_bytes(texts, SLICE_BYTES):
                 sets = shingle_sets(texts.slice(a, b - a), WORDS)
                 keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 signatures = [signature(s, family).tobytes() if len(s) else None for s in sets]
                 sizes = pa.array([len(s) for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(keys, pa.binary()), sizes, pa.array(signatures, pa.binary())], schema=schema)
+                known = [c.slice(a, b - a) for c in batch.columns[:2]]
+                yield pa.RecordBatch.from_arrays([*known, pa.array(keys, pa.binary()), sizes, pa.array(signatures, pa.binary())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
-        run, "doc_id bigint, key binary, n_shingles bigint, signature binary"
+    return docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("mark"), "text").mapInArrow(
+        run, "doc_id bigint, mark bigint, key binary, n_shingles bigint, signature binary"
     )
 
 
@@ -229,9 +231,9 @@ def _verify(groups):
 
 def verified(docs: DataFrame, classes: DataFrame, blocks: DataFrame) -> DataFrame:
     """Rows of ``LINKS`` over all pairs of shingle sets in each block."""
-    members = classes.join(blocks, "id").select("id", "key", "size", "n_shingles", F.col("component").alias("block"))
+    members = classes.join(blocks, "id").select("id", "doc_id", "key", "size", "n_shingles", F.col("component").alias("block"))
     dealt = deal(members, ["block"], "id", "n_shingles", CHUNK_ROWS, CHUNK_SHINGLES).drop("n_shingles")
-    texts = dealt.join(docs.select(F.col("doc_id").cast("bigint").alias("id"), "text"), "id")
+    texts = dealt.join(docs.select(F.col("doc_id").cast("bigint"), "text"), "doc_id")
     names = ["block", "parts", "own", "id", "size", "shingles"]
 
     def shingles(batches):
@@ -252,29 +254,22 @@ def verified(docs: DataFrame, classes: DataFrame, blocks: DataFrame) -> DataFram
     return map_sorted_groups(rows, ["block", "a", "b"], ["own", "id"], _verify, LINKS)
 
 
-def similar_documents(docs: DataFrame, target: float = TARGET_RECALL) -> DataFrame:
-    """One row per document: doc_id, class_id, copy_id, n_links, n_shingles.
-
-    Documents link if the Jaccard similarity of their sets of five-word
-    shingles is at least 0.8; words are runs of anything but ASCII white space.
-    ``class_id`` is the smallest doc_id reachable by links, ``copy_id`` the
-    smallest doc_id with the very same set, ``n_links`` the number of other
-    documents linked directly, copies included.
-
-    A text of fewer than five words is one shingle; null, empty and blank texts
-    have none and link with nothing, like rows with a null doc_id. Rows that
-    repeat a doc_id count as documents. An empty table gives no rows. Further
-    columns are ignored. Equality of shingles is that of 64-bit hashes.
-    """
+def linked_documents(docs: DataFrame, target: float = TARGET_RECALL) -> DataFrame:
+    """doc_id, mark, n_shingles of each document, and what its shingle set tells:
+    component (a number of the group), class_id, copy_id, n_links; null without words."""
     signed = settle(sign_documents(docs), "signatures")
-    with_words = signed.filter("key is not null and doc_id is not null")
+    # sets have numbers of their own: a doc_id may come with several texts
     classes = settle(
-        with_words.groupBy("key").agg(
-            F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("size"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")
-        ),
+        signed.filter("key is not null and doc_id is not null")
+        .groupBy("key")
+        .agg(
+            F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("size"), F.first("n_shingles").alias("n_shingles"),
+            F.first("signature").alias("signature"),
+        )
+        .withColumn("id", F.monotonically_increasing_id()),
         "classes",
-    )
-    documents = settle(signed.select("doc_id", "key", "n_shingles"), "documents")
+    )
+    documents = settle(signed.select("doc_id", "mark", "key", "n_shingles"), "documents")
     discard(signed)
     neighbours = settle(trie_neighbours(classes.select("id", "signature")), "neighbours")
     prefix = matched_prefix(neighbours, target)
@@ -283,18 +278,41 @@ def similar_documents(docs: DataFrame, target: float = TARGET_RECALL) -> DataFra
     links = settle(verified(docs, classes.drop("signature"), blocks), "links")
     counted = links.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(links.select(F.col("id").alias("u"), F.col("root").alias("v")))
-    judged = (
-        classes.select("key", "id", "size")
+    judged = settle(
+        classes.select("key", "id", "doc_id", "size")
         .join(counted, "id", "left")
         .join(roots, "id", "left")
-        .select("key", F.col("id").alias("copy_id"), F.coalesce("component", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
-    )
-    known = F.col("doc_id").isNotNull()
-    return documents.join(judged, "key", "left").select(
+        .select(
+            "key", F.col("doc_id").alias("copy_id"), F.coalesce("component", "id").alias("component"),
+            (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"),
+        ),
+        "judged",
+    )
+    named = judged.groupBy("component").agg(F.min("copy_id").alias("class_id"))
+    known = documents.filter("doc_id is not null").join(judged.join(named, "component"), "key", "left").drop("key")
+    return known.unionByName(documents.filter("doc_id is null").drop("key"), allowMissingColumns=True)
+
+
+def similar_documents(docs: DataFrame, target: float = TARGET_RECALL) -> DataFrame:
+    """One row per document: doc_id, class_id, copy_id, n_links, n_shingles.
+
+    Documents link if the Jaccard similarity of their sets of five-word
+    shingles is at least 0.8; words are runs of anything but ASCII white space.
+    ``class_id`` is the smallest doc_id reachable by links, ``copy_id`` the
+    smallest doc_id with the very same set, ``n_links`` the number of other
+    documents linked directly, copies included.
+
+    A text of fewer than five words is one shingle; null, empty and blank texts
+    have none and link with nothing, like rows with a null doc_id. Rows that
+    repeat a doc_id count as documents, each linked by its own text. An empty
+    table gives no rows. Further columns are ignored. Equality of shingles is
+    that of 64-bit hashes.
+    """
+    return linked_documents(docs, target).select(
         "doc_id",
-        F.when(known, F.coalesce("class_id", "doc_id")).alias("class_id"),
-        F.when(known, F.coalesce("copy_id", "doc_id")).alias("copy_id"),
-        F.when(known, F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("bigint").alias("n_links"),
+        F.coalesce("class_id", "doc_id").alias("class_id"),
+        F.coalesce("copy_id", "doc_id").alias("copy_id"),
+        F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
         "n_shingles",
     )
 
@@ -302,10 +320,16 @@ def similar_documents(docs: DataFrame, target: float = TARGET_RECALL) -> DataFra
 def kept_documents(docs: DataFrame) -> DataFrame:
     """One document of each group of linked ones, with all its columns.
 
-    The smallest doc_id stays; of rows that repeat it, the one whose text sorts
-    first. Rows with a null doc_id stay.
+    The smallest doc_id of a group stays; of its texts in the group, that of
+    smallest hash. Documents without words stay, and of rows that repeat both
+    doc_id and text one. Rows with a null doc_id stay. Texts move once.
     """
-    stay = similar_documents(docs).filter("doc_id = class_id").select(F.col("doc_id").alias("stays")).distinct()
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.coalesce("text", F.lit("")).alias("by"), whole_row(docs).alias("row"))
-    one = rows.join(stay, F.col("id") == F.col("stays"), "left_semi").groupBy("id").agg(F.min_by("row", "by").alias("row")).select("row.*")
+    found = settle(linked_documents(docs).filter("doc_id is not null").select("doc_id", "mark", "component"), "linked")
+    first = found.filter("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "mark")).alias("s")).select("s.*")
+    stay = first.unionByName(found.filter("component is null").select("doc_id", "mark").distinct())
+    stay = stay.select(F.col("doc_id").alias("stays"), F.col("mark").alias("stays_mark"))
+    rows = docs.filter("doc_id is not null").select(whole_row(docs).alias("row"))
+    joined = rows.join(stay, (F.col("row.doc_id").cast("bigint") == F.col("stays")) & (F.xxhash64("row.text") == F.col("stays_mark")))
+    again = Window.partitionBy("stays", "stays_mark").orderBy(F.xxhash64(*[F.col(f"row.`{c}`").cast("string") for c in docs.columns]))
+    one = joined.withColumn("n", F.row_number().over(again)).filter("n = 1").select("row.*")
     return one.unionByName(docs.filter("doc_id is null"))

@@ -63,7 +63,9 @@ def member(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return packer.compress(f"WARC/1.1\r\n{lines}\r\n".encode() + block + b"\r\n\r\n") + packer.flush()
 
 
-def page_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
+def page_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+    """A response, or a revisit of the page ``refers_to``."""
+    revisit = refers_to is not None
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if revisit else head + payload
     headers = [
@@ -92,16 +94,19 @@ def _writer(folder: str, roll: int):
     def write(groups):
         for (shard,), rows in groups:
             done, current, part = [], None, 0
-            revisits: dict[int | None, int] = {}
-            for page_id, kind, refers_to, url, html in rows:
-                if kind == 0:  # says what the page's own rows, which follow, refer to
-                    revisits = {page_id: refers_to}
+            of_page, revisits = None, {}
+            for page_id, kind, refers_to, digest, size, url, html in rows:
+                if kind == 0:  # says what the page's rows with this payload, which follow, refer to
+                    revisits = {**(revisits if of_page == page_id else {}), (digest, size): refers_to}
+                    of_page = page_id
                     continue
+                payload, first = (html or "").encode(), None
+                if revisits and of_page == page_id:
+                    first = revisits.get((hashlib.sha1(payload).hexdigest(), len(payload)))
                 if current is None:
                     current = shards.ShardFile(folder, f"pages-{shard:05d}-{part:05d}.warc.gz")
                     current.write(file_info(current.name))
-                revisit = page_id in revisits
-                current.write(page_record(page_id, url, (html or "").encode(), revisits.get(page_id), revisit), 1)
+                current.write(page_record(page_id, url, payload, first), 1)
                 if current.bytes >= roll:
                     done.append(current.close())
                     current, part = None, part + 1
@@ -130,12 +135,12 @@ def write_pages(pages: DataFrame, folder: str, per_shard: int = SHARD_BYTES, rol
     first = (
         narrow.filter(F.col("size") >= least).groupBy("digest", "size").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     )
-    revisits = narrow.join(first, ["digest", "size"]).filter("page_id > refers_to").groupBy("page_id").agg(F.min("refers_to").alias("refers_to"))
+    revisits = narrow.join(first, ["digest", "size"]).filter("page_id > refers_to").select("page_id", "refers_to", "digest", "size").distinct()
     bounds = key_bounds(narrow.withColumn("weight", F.col("size") + 256), "page_id", "weight", per_shard)
     records = pages.select("page_id", F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("refers_to"), "url", "html").unionByName(
-        revisits.select("page_id", F.lit(0).alias("kind"), "refers_to"), allowMissingColumns=True
+        revisits.withColumn("kind", F.lit(0)), allowMissingColumns=True
     )
-    ranged = records.select(range_column("page_id", bounds).alias("shard"), "page_id", "kind", "refers_to", "url", "html")
+    ranged = records.select(range_column("page_id", bounds).alias("shard"), "page_id", "kind", "refers_to", "digest", "size", "url", "html")
     written = map_sorted_groups(ranged, ["shard"], ["page_id", "kind", "url", "html"], _writer(folder, roll), shards.MANIFEST)
     manifest = shards.commit(written, folder)
     discard(narrow)
