@@ -9,16 +9,18 @@ from pyspark.sql import DataFrame
 from tillstar.operators.slices import Slice
 
 
-def metric(*columns: str, summed: bool = False) -> Callable:
+def metric(*columns: str, summed: bool = False, monthly: bool = False) -> Callable:
     """Record on a ``(view, …) -> DataFrame`` function which columns it reads.
 
     ``summed`` says that it reads sales, profit and quantity through sums only,
-    so the source may hand it rows that are added up already.
+    so the source may hand it rows that are added up already; ``monthly`` that
+    any day of the right month does for ``order_date``.
     """
 
     def mark(function: Callable) -> Callable:
         function.columns = columns
         function.summed = summed
+        function.monthly = monthly
         return function
 
     return mark
@@ -34,9 +36,13 @@ def compute(function: Callable, source, within: Slice | None = None, **options)
 
     A slice asks for single lines: its filters then reach the dimensions that
     the lines meet first, and what is summed, sorted or joined later is only
-    the slice.
+    the slice. A source that holds aggregates answers from them where they
+    cover the metric and the slice.
     """
-    return function(sliced_view(function, source, within or Slice()), **options)
+    within = within or Slice()
+    if hasattr(source, "covering"):
+        source = source.covering(function, within)
+    return function(sliced_view(function, source, within), **options)
 
 
 def sliced_view(function: Callable, source, within: Slice) -> DataFrame:

@@ -465,7 +465,7 @@ SQL["fact_build"] = over_view(
     _dims,
 )
 _early = "SELECT o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01'"
-_late = "SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01'"
+_late = "SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' AND o_custkey % 7 <> 0"
 _history = f"""cur AS (SELECT row_number() OVER (ORDER BY c_custkey) AS customer_sk, c_custkey AS customer_id,
   c_name AS customer_name, c_mktsegment AS segment FROM customer WHERE c_custkey IN ({_early})),
 inc AS (SELECT c_custkey AS customer_id, c_name AS customer_name,
@@ -496,6 +496,11 @@ SELECT (SELECT max(customer_sk) FROM cur) + row_number() OVER (ORDER BY customer
 
 SQL["scd2_apply"] = _snapshot("'changed'")
 SQL["scd2_apply_expiring"] = _snapshot("'changed', 'missing'")
+SQL["scd2_apply_buckets"] = SQL["scd2_apply"]
+SQL["scd2_expire_buckets"] = SQL["scd2_apply_expiring"]
+SQL["scd2_buckets"] = f"""WITH {_history}
+SELECT CAST(('0x' || substr(md5(CAST(customer_id AS VARCHAR)), 1, 8))::BIGINT % 64 AS INTEGER) AS bucket, count(*) AS members,
+  count(*) FILTER (WHERE status IN ('new', 'changed')) AS changes FROM chg GROUP BY 1"""
 SQL["agg_sales_monthly"] = over_view(
     f"""SELECT yr AS year, CAST(month(order_date) AS INTEGER) AS month, monthname(order_date) AS month_name,
   CAST(quarter(order_date) AS INTEGER) AS quarter, region, category, count(DISTINCT order_id) AS total_orders,
@@ -505,8 +510,18 @@ FROM sv GROUP BY ALL"""
 )
 SQL["agg_year_region"] = over_view(
     f"""SELECT yr AS year, region, {dbl('sum(sales)')} AS total_sales, {dbl('sum(profit)')} AS total_profit,
-  {big('sum(quantity)')} AS total_quantity, count(*) AS transaction_count FROM sv GROUP BY 1, 2"""
+  {big('sum(quantity)')} AS total_quantity, count(*) AS transaction_count, count(DISTINCT order_id) AS total_orders
+FROM sv GROUP BY 1, 2"""
 )
+SQL["cells_region_category"] = SQL["q1_region_category"]
+SQL["cells_orders_by_segment"] = over_view(
+    "SELECT yr AS year, segment, count(DISTINCT order_id) AS order_count FROM sv GROUP BY 1, 2"
+)
+SQL["cells_by_category"] = SQL["sales_by_category"]
+SQL["cells_by_region_1997"] = over_view(
+    f"SELECT region, {dbl('sum(sales)')} AS sales, {short('sum(sales)')} AS sales_fmt FROM sv WHERE yr = 1997 GROUP BY 1"
+)
+SQL["cells_monthly_trend"] = SQL["monthly_trend"]
 
 
 def _orphans(name: str, column: str, key: str) -> str:
@@ -728,3 +743,5 @@ FROM cust ORDER BY r DESC, customer_name, segment LIMIT 10""",
 )
 SQL["scd2_current"] = f"SELECT * FROM ({SQL['scd2_apply_expiring']}) WHERE current_flag = 'Y'"
 SQL["scd2_next_key"] = f"WITH {_history} SELECT max(customer_sk) + 1 AS next_sk FROM cur"
+SQL["star_join_stored"] = SQL["star_join"]
+SQL["ship_modes_stored"] = SQL["shipping_by_mode"]

@@ -1,23 +1,32 @@
-"""Linear model of line profit on price, discount, quantity and five categories."""
+"""Linear model of line profit on price, discount, quantity and five categories.
+
+One pass over the lines adds up the products of every two terms, exactly, into
+a sparse Gram matrix of (term, term, sum) rows; conjugate gradients on these
+rows give the least-squares weights, to the same bits however the lines are
+partitioned.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from fractions import Fraction
+from itertools import combinations, combinations_with_replacement
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.regression import LinearRegression
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillstar.functions import numbers as n
 from tillstar.operators.metric import metric
+from tillstar.session import discard, settle
 
 CATEGORIES = ("category", "region", "segment", "ship_mode", "month")
 NUMBERS = ("sales", "discount", "quantity")
-# the solver's iterations at most, and the relative gain at which it stops
-ITERATIONS, TOLERANCE = 1000, 1e-15
+# rows of the Gram matrix up to which the driver holds it; beyond, it stays a frame
+DRIVER_ENTRIES = 1_000_000
+# relative residual at which the solver stops, and how often it starts anew from it
+TOLERANCE, REFINEMENTS = 1e-15, 3
 
 
 @dataclass(frozen=True)
@@ -107,34 +116,152 @@ def training_rows(df: DataFrame) -> DataFrame:
     )
 
 
+def gram_matrix(df: DataFrame) -> DataFrame:
+    """f, l, g, m, total: the exact sum over all lines of the product of term
+    (f, l) and term (g, m).
+
+    Terms are the constant ("one"), the numbers, the profit and the levels of
+    the categories; only pairs that occur together have a row. Lines without a
+    number or a profit are left out. Lines are first added up per combination
+    of levels, on the map side as well, so products are formed for these only.
+    """
+    one = F.lit(1).cast("decimal(1,0)")
+    numbers = ("one", *NUMBERS, "profit")
+    rows = df.dropna(subset=[*NUMBERS, "profit"]).select(
+        one.alias("one"),
+        *[F.col(c).cast("decimal(12,4)").alias(c) for c in (*NUMBERS, "profit")],
+        *[F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias(c) for c in CATEGORIES if c != "month"],
+        F.month("order_date").cast("string").alias("month"),
+    )
+    products = list(combinations_with_replacement(numbers, 2))
+    cells = rows.groupBy(*CATEGORIES).agg(*[F.sum((F.col(a) * F.col(b)).cast("decimal(30,8)")).alias(f"{a}*{b}") for a, b in products])
+
+    def entry(f: str, l, g: str, m, total: str):  # noqa: E741
+        none = F.lit(None).cast("string")
+        level = lambda c: none if c is None else F.col(c)
+        value = F.col(f"`{total}`").cast("decimal(38,8)")
+        return F.struct(F.lit(f).alias("f"), level(l).alias("l"), F.lit(g).alias("g"), level(m).alias("m"), value.alias("total"))
+
+    entries = [entry(a, None, b, None, f"{a}*{b}") for a, b in products]
+    entries += [entry(a, None, c, c, f"one*{a}") for c in CATEGORIES for a in numbers]
+    entries += [entry(c, c, d, d, "one*one") for c, d in combinations(CATEGORIES, 2)]
+    return cells.select(F.inline(F.array(*entries))).groupBy("f", "l", "g", "m").agg(F.sum("total").alias("total"))
+
+
+def conjugate_gradients(times: Callable[[np.ndarray], np.ndarray], b: np.ndarray) -> np.ndarray:
+    """The solution of smallest norm of ``times(x) = b`` for a semi-definite map."""
+    x, residual = np.zeros_like(b), b.copy()
+    for _ in range(REFINEMENTS):  # rounding builds up in the residual: start anew from the true one
+        step, r, p = np.zeros_like(b), residual.copy(), residual.copy()
+        norm = r @ r
+        for _ in range(4 * len(b) + 10):
+            if norm <= (TOLERANCE**2) * (b @ b):
+                break
+            image = times(p)
+            curvature = p @ image
+            if curvature <= 0:
+                break
+            step += (norm / curvature) * p
+            r -= (norm / curvature) * image
+            norm, before = r @ r, norm
+            p = r + (norm / before) * p
+        x = x + step
+        residual = b - times(x)
+    return x
+
+
 @metric("sales", "discount", "quantity", "category", "region", "segment", "ship_mode", "order_date", "profit")
 def fit(df: DataFrame) -> ProfitModel:
     """Least squares with every level of every category, in minimum-norm form.
 
-    An iterative solver reads sparse one-hot rows and the driver holds one
-    number per term, however many levels there are. It fits with one level per
-    category left out; shifting each category's weights to a mean of zero, and
-    the intercept against it, gives the solution of smallest norm.
+    The driver holds one number per term, and the matrix while that is of a
+    checked size. Terms are centred, so the constant drops out, and numbers are
+    scaled to the spread of a level; weights of a category have a mean of zero.
     """
-    rows = training_rows(df)
-    indices, hot = [f"_i_{c}" for c in CATEGORIES], [f"_h_{c}" for c in CATEGORIES]
-    indexer = StringIndexer(inputCols=list(CATEGORIES), outputCols=indices, stringOrderType="alphabetAsc")
-    encoder = OneHotEncoder(inputCols=indices, outputCols=hot, dropLast=True)
-    assembler = VectorAssembler(inputCols=[*NUMBERS, *hot], outputCol="features")
-    solver = LinearRegression(
-        featuresCol="features", labelCol="profit", solver="l-bfgs", regParam=0.0, maxIter=ITERATIONS, tol=TOLERANCE
-    )
-    fitted = Pipeline(stages=[indexer, encoder, assembler, solver]).fit(rows)
-    labels, line = fitted.stages[0].labelsArray, fitted.stages[3]
-    weights = iter(line.coefficients.toArray().tolist())
-    numbers = {c: next(weights) for c in NUMBERS}
-    levels, intercept = {}, float(line.intercept)
-    for column, names in zip(CATEGORIES, labels, strict=True):
-        own = [next(weights) for _ in names[:-1]] + [0.0]
-        mean = sum(own) / len(own)
-        intercept += mean
-        levels[column] = {name: w - mean for name, w in zip(names, own, strict=True)}
-    return ProfitModel(intercept, numbers, levels, float(line.summary.r2))
+    gram = settle(gram_matrix(df), "gram")
+    sums = {(r.f, r.l): r.total for r in gram.filter("f = 'one'").select(F.col("g").alias("f"), F.col("m").alias("l"), "total").collect()}
+    lines = Fraction(sums.get(("one", None)) or 0)
+    if not lines:
+        raise ValueError("no line has all numbers and a profit")
+    names = {c: sorted(level for f, level in sums if f == c) for c in CATEGORIES}
+    terms = [(c, None) for c in NUMBERS] + [(c, level) for c in CATEGORIES for level in names[c]]
+    index = {t: i for i, t in enumerate(terms)}
+    mean = np.array([float(Fraction(sums[t]) / lines) for t in terms])
+
+    def centred(f, l, g, m, total) -> float:  # noqa: E741
+        return float(Fraction(total) - Fraction(sums[f, l]) * Fraction(sums[g, m]) / lines)
+
+    profit_mean = float(Fraction(sums["profit", None]) / lines)
+    of_profit, variance, spread = np.zeros(len(terms)), 0.0, np.ones(len(terms))
+    # rows with a number: a few per term; their centring cancels, so it is exact
+    numeric = np.zeros((len(NUMBERS), len(terms)))
+    for row in gram.filter(F.col("f").isin(*NUMBERS, "profit")).collect():
+        value, (f, g) = centred(*row), ((row.f, row.l), (row.g, row.m))
+        if f == g == ("profit", None):
+            variance = value
+        elif ("profit", None) in (f, g):
+            of_profit[index[g if f == ("profit", None) else f]] = value
+        else:
+            numeric[index[f], index[g]] = value
+            if g in index and index[g] < len(NUMBERS):
+                numeric[index[g], index[f]] = value
+    k = len(NUMBERS)
+    level_counts = np.array([float(sums[t]) for t in terms])
+    for i in range(k):  # numbers spread like an average level
+        spread[i] = (float(level_counts[k:].mean()) / (numeric[i, i] or 1.0)) ** 0.5
+    numeric = numeric * spread[:k, None] * spread
+    pairs = gram.filter(F.col("l").isNotNull() & F.col("m").isNotNull())
+    among_levels = _on_driver(pairs, index) if gram.count() <= DRIVER_ENTRIES else _as_frame(pairs, index)
+
+    def times(x: np.ndarray) -> np.ndarray:
+        y, levels = np.zeros(len(terms)), x.copy()
+        levels[:k] = 0
+        y[k:] = (among_levels(levels) + level_counts * levels - level_counts * ((level_counts @ levels) / float(lines)))[k:]
+        y[:k] = numeric @ x
+        y[k:] += numeric[:, k:].T @ x[:k]
+        return y
+
+    scaled = conjugate_gradients(times, of_profit * spread)
+    explained = 2 * scaled @ (of_profit * spread) - scaled @ times(scaled)
+    weights = scaled * spread
+    intercept = profit_mean - float(mean @ weights)
+    numbers = {c: float(weights[i]) for i, c in enumerate(NUMBERS)}
+    levels = {}
+    for column in CATEGORIES:
+        own = {name: float(weights[index[column, name]]) for name in names[column]}
+        middle = sum(own.values()) / len(own)
+        intercept += middle
+        levels[column] = {name: w - middle for name, w in own.items()}
+    discard(gram)
+    return ProfitModel(intercept, numbers, levels, float(explained / variance) if variance else 1.0)
+
+
+def _on_driver(pairs: DataFrame, index: Mapping[tuple, int]) -> Callable[[np.ndarray], np.ndarray]:
+    """Product with the counts of pairs of levels of two categories; rows in one order."""
+    rows = sorted((index[r.f, r.l], index[r.g, r.m], float(r.total)) for r in pairs.collect())
+    i, j, v = (np.array([r[x] for r in rows], dtype=kind) for x, kind in ((0, int), (1, int), (2, float)))
+    size = len(index)
+    return lambda x: np.bincount(i, v * x[j], size) + np.bincount(j, v * x[i], size)
+
+
+def _as_frame(pairs: DataFrame, index: Mapping[tuple, int]) -> Callable[[np.ndarray], np.ndarray]:
+    """The same over a matrix of any size; only vectors come to the driver."""
+    spark = pairs.sparkSession
+    terms = list(index)
+
+    def times(x: np.ndarray) -> np.ndarray:
+        scale = float(np.abs(x).max()) or 1.0
+        vector = spark.createDataFrame([(f, level, float(v / scale)) for (f, level), v in zip(terms, x)], "f string, l string, x double")
+        both = pairs.select("f", "l", "g", "m", "total").unionByName(pairs.select(F.col("g").alias("f"), F.col("m").alias("l"), F.col("f").alias("g"), F.col("l").alias("m"), "total"))
+        seen = both.join(vector.select(F.col("f").alias("g"), F.col("l").alias("m"), "x"), ["g", "m"])
+        # decimals, so that the sum does not depend on the order of rows
+        product = (F.col("total").cast("double") * F.col("x")).cast("decimal(38,18)")
+        y = np.zeros(len(terms))
+        for r in seen.groupBy("f", "l").agg(F.sum(product).cast("double").alias("y")).collect():
+            y[index[r.f, r.l]] = r.y * scale
+        return y
+
+    return times
 
 
 def check(model: ProfitModel, rows: DataFrame) -> DataFrame:
@@ -148,7 +275,7 @@ def check(model: ProfitModel, rows: DataFrame) -> DataFrame:
     levels = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("level"), F.col("_miss").alias("product")) for c in CATEGORIES]
     each = missed.select(F.inline(F.array(*numbers, *levels)))
     return each.groupBy("feature", "level").agg(
-        (F.abs(F.sum("product")) <= 1e-5 * F.sum(F.abs("product"))).alias("orthogonal"), F.count(F.lit(1)).alias("lines")
+        (F.abs(F.sum("product")) <= 1e-9 * F.sum(F.abs("product"))).alias("orthogonal"), F.count(F.lit(1)).alias("lines")
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,8 +30,9 @@ from tillstar.plans import (
     timeline,
 )
 from tillstar.plans import warehouse as w
-from tillstar.session import tune
-from tillstar.sources.tables import ParquetTables, StarTables, as_reported
+from tillstar.session import new_folder, settle, tune
+from tillstar.sources import store
+from tillstar.sources.tables import TABLE_SCHEMAS, ParquetTables, StarTables, as_reported
 
 # Parameters of the registered queries; the tables' discounts end at 0.10.
 CUTS = (0, 0.02, 0.05)
@@ -39,6 +41,7 @@ HIGH_DISCOUNT = 0.05
 SLICE = Slice("EUROPE", 1997, "BUILDING")
 ALERT_REGION, ALERT_CATEGORY = "ASIA", "PROMO"
 CUT = dt.date(1997, 1, 1)  # orders before it make the first load, the others the next batch
+GONE_EVERY = 7  # customers whose key it divides are not in the next batch
 LOADED_ON, RUN_DATE = dt.date(1995, 1, 1), dt.date(2021, 6, 1)
 
 Query = Callable[[ParquetTables], DataFrame]
@@ -80,8 +83,8 @@ def _first_customers(src: ParquetTables) -> DataFrame:
 
 
 def _last_customers(src: ParquetTables) -> DataFrame:
-    """The next batch: buyers since 1997, those in debt moved to another segment."""
-    return _buyers(src, F.col("day") >= F.lit(CUT)).select(
+    """The next batch: buyers since 1997 but every seventh, those in debt moved to another segment."""
+    return _buyers(src, F.col("day") >= F.lit(CUT)).filter(F.col("c_custkey") % GONE_EVERY != 0).select(
         F.col("c_custkey").alias("customer_id"),
         F.col("c_name").alias("customer_name"),
         F.when(F.col("c_acctbal") < 0, "ARREARS").otherwise(F.col("c_mktsegment")).alias("segment"),
@@ -147,9 +150,19 @@ def _customer_money(src: ParquetTables) -> DataFrame:
     )
 
 
+def _cells(src: ParquetTables) -> w.MonthlyTables:
+    """The monthly aggregate and the bitmaps of its orders, written out."""
+    aggregate = settle(compute(w.agg_sales_monthly, src), "agg-monthly")
+    return w.MonthlyTables(src, aggregate, settle(compute(w.order_cells, src), "order-cells"))
+
+
+def _from_cells(function, within: Slice | None = None, **options) -> Query:
+    return lambda src: compute(function, _cells(src), within, **options)
+
+
 def _year_region(src: ParquetTables) -> DataFrame:
-    cells = compute(w.agg_sales_monthly, src)
-    return _doubles(w.from_monthly(cells, "year", "region"), "total_sales", "total_profit")
+    cells = _cells(src)
+    return _doubles(w.from_monthly(cells.aggregate, "year", "region", orders=cells.orders), "total_sales", "total_profit")
 
 
 def _doubles(df: DataFrame, *columns: str) -> DataFrame:
@@ -160,6 +173,20 @@ def _fact(src: ParquetTables) -> DataFrame:
     return w.build_star(src, RUN_DATE)["f_sales"]
 
 
+STORED_BUCKETS = 16
+
+
+def _stored_star(src: ParquetTables) -> StarTables:
+    """The star with fact and orders stored in the same buckets by order."""
+    star, spark = w.build_star(src, RUN_DATE), src.spark
+    for name in ("f_sales", "d_order"):
+        table, folder = f"stored_{name}_{uuid.uuid4().hex}", new_folder(spark, f"stored-{name}")
+        dealt = star[name].repartition(STORED_BUCKETS, "order_id")
+        dealt.write.bucketBy(STORED_BUCKETS, "order_id").sortBy("order_id").option("path", folder).saveAsTable(table)
+        star[name] = spark.table(table)
+    return StarTables(star)
+
+
 def _reconciled(src: ParquetTables) -> DataFrame:
     """Fact and clean lines against all lines, where lines without a full day in transit count as unclean."""
     clean = src.view("order_id", "order_date", "ship_date").filter(F.datediff("ship_date", "order_date") >= 1)
@@ -174,6 +201,27 @@ def _versions(expire_missing: bool) -> Query:
     return run
 
 
+def _bucket_versions(expire_missing: bool) -> Query:
+    """As ``_versions``, but only buckets with a change are made anew."""
+
+    def run(src: ParquetTables) -> DataFrame:
+        dim = settle(_first_customers(src).withColumn("bucket", history.bucket_of("customer_id")), "d-customer")
+        rows, changed = history.apply_in_buckets(
+            dim, _last_customers(src), "customer_sk", "customer_id", w.CUSTOMER, RUN_DATE, expire_missing
+        )
+        return dim.filter(~F.col("bucket").isin(changed)).unionByName(rows).drop("bucket")
+
+    return run
+
+
+def _bucket_report(src: ParquetTables) -> DataFrame:
+    """Members and changes per bucket of the customer dimension."""
+    changes = _changes(src).groupBy(history.bucket_of("customer_id").alias("bucket"))
+    return changes.agg(
+        F.count(F.lit(1)).alias("members"), F.count_if(F.col("status").isin(history.NEW, history.CHANGED)).alias("changes")
+    )
+
+
 def _changes(src: ParquetTables) -> DataFrame:
     return history.detect_changes(_first_customers(src), _last_customers(src), "customer_id", w.CUSTOMER)
 
@@ -185,15 +233,21 @@ def _rules(item: str, top: int | None) -> Query:
     return run
 
 
-_made: dict[tuple, object] = {}
+_made: dict[tuple, tuple[str, object]] = {}
 
 
 def _once(src: ParquetTables, name: str, build):
-    """What a session has fitted for a folder, so that a model is fitted once."""
+    """What a session has fitted for a folder, so that a model is fitted once.
+
+    It is kept with the fingerprint of the files it was fitted on, and dropped
+    when these change.
+    """
     key = (src.spark.sparkContext.applicationId, src.folder, name)
-    if key not in _made:
-        _made[key] = build()
-    return _made[key]
+    files = store.file_fingerprint(src.spark, *[f"{src.folder}/{t}.parquet" for t in TABLE_SCHEMAS])
+    if key not in _made or _made[key][0] != files:
+        _made.pop(key, None)
+        _made[key] = (files, build())
+    return _made[key][1]
 
 
 def _profit_model(src: ParquetTables) -> profit_model.ProfitModel:
@@ -283,6 +337,8 @@ QUERIES: dict[str, Query] = {
     # view, filters, cleaning
     "sales_view": lambda src: as_reported(src.view()),
     "star_join": lambda src: as_reported(StarTables(w.build_star(src, RUN_DATE)).view()),
+    "star_join_stored": lambda src: as_reported(_stored_star(src).view()),
+    "ship_modes_stored": lambda src: compute(shipping.by_mode, _stored_star(src)),
     "export_rows": lambda src: exports.export_rows(src, SLICE),
     "filter_region_year_segment": lambda src: overview.headline(src, SLICE),
     "ship_not_null": _metric(shipping.with_both_dates),
@@ -364,10 +420,18 @@ QUERIES: dict[str, Query] = {
     "fact_unknown_keys": _unknown_keys,
     "agg_sales_monthly": _exact(w.agg_sales_monthly, "total_sales", "total_profit"),
     "agg_year_region": _year_region,
+    "cells_region_category": lambda src: _cells(src).region_category(),
+    "cells_orders_by_segment": lambda src: _cells(src).orders_by("year", "segment"),
+    "cells_by_category": _from_cells(sales.by_category),
+    "cells_by_region_1997": _from_cells(sales.by_region, Slice(year=1997)),
+    "cells_monthly_trend": _from_cells(timeline.monthly_trend),
     "scd2_changes": _changes,
     "scd2_deletes": lambda src: history.missing_keys(_first_customers(src), _last_customers(src), "customer_id"),
     "scd2_apply": _versions(False),
     "scd2_apply_expiring": _versions(True),
+    "scd2_apply_buckets": _bucket_versions(False),
+    "scd2_expire_buckets": _bucket_versions(True),
+    "scd2_buckets": _bucket_report,
     "scd2_current": _current_versions,
     "scd2_next_key": _next_key,
     "fk_orphans": _orphans,

@@ -10,12 +10,12 @@ from tillstar.operators import months as m
 from tillstar.operators.metric import metric
 
 
-@metric("order_date", "sales", summed=True)
+@metric("order_date", "sales", summed=True, monthly=True)
 def monthly_sales(df: DataFrame) -> DataFrame:
     return m.monthly_totals(df, ["sales"]).select(m.MONTH, n.real(F.col("sales")).alias("sales"))
 
 
-@metric("order_date", "sales", summed=True)
+@metric("order_date", "sales", summed=True, monthly=True)
 def monthly_trend(df: DataFrame) -> DataFrame:
     """Month sums with their three-month trailing mean."""
     return m.monthly_totals(df, ["sales"]).select(
@@ -30,7 +30,7 @@ def _with_change(df: DataFrame) -> DataFrame:
     return series.withColumns({"prev_sales": previous, "mom_pct": change})
 
 
-@metric("order_date", "sales", summed=True)
+@metric("order_date", "sales", summed=True, monthly=True)
 def mom_change(df: DataFrame) -> DataFrame:
     """Each month against the one before; null for the first and after an empty month."""
     return _with_change(df).select(
@@ -41,7 +41,7 @@ def mom_change(df: DataFrame) -> DataFrame:
     )
 
 
-@metric("order_date", "sales", summed=True)
+@metric("order_date", "sales", summed=True, monthly=True)
 def mom_last(df: DataFrame) -> DataFrame:
     """The last month beside the one before; no row with fewer than two months."""
     before = F.lag(m.MONTH).over(m.timeline())
@@ -85,7 +85,7 @@ def with_features(series: DataFrame, measure: str, partition_by=()) -> DataFrame
     )
 
 
-@metric("order_date", "sales", summed=True)
+@metric("order_date", "sales", summed=True, monthly=True)
 def forecast_features(df: DataFrame) -> DataFrame:
     return with_features(m.monthly_totals(df, ["sales"]), "sales")
 

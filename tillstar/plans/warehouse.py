@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from tillstar.functions import numbers as n
 from tillstar.functions.text import raw_date, squeeze
+from tillstar.operators.distinct import distinct_cells, roll_up
 from tillstar.operators.history import apply_versions, current, first_versions
 from tillstar.operators.keyed import first_per_key, last_key, lookup_key
 from tillstar.operators.metric import compute, metric
 from tillstar.operators.ordered import with_dense_key
 from tillstar.operators.quality import duplicate_report, orphan_report
+from tillstar.operators.slices import Slice
 from tillstar.session import settle
 
 CUSTOMER = ("customer_name", "segment")
@@ -233,23 +235,106 @@ def agg_sales_monthly(df: DataFrame) -> DataFrame:
     )
 
 
-def from_monthly(aggregate: DataFrame, *keys: str) -> DataFrame:
+ORDER_CELLS = ("year", "month", "region", "segment", "category")
+
+
+@metric("order_date", "region", "segment", "category", "order_number")
+def order_cells(df: DataFrame) -> DataFrame:
+    """Which orders each cell of the aggregate holds, also by segment, as bitmaps."""
+    dated = df.withColumns({"year": F.year("order_date"), "month": F.month("order_date")})
+    return distinct_cells(dated, ORDER_CELLS, "order_number", "orders")
+
+
+def from_monthly(aggregate: DataFrame, *keys: str, orders: DataFrame | None = None) -> DataFrame:
     """Additive measures of the aggregate on fewer keys, without reading the fact.
 
-    Distinct orders are left out, since they do not add up across cells.
+    Distinct orders do not add up across cells; with the rows of
+    ``order_cells`` as ``orders`` they are counted from those.
     """
     known = {"year", "month", "month_name", "quarter", "region", "category"}
     if not set(keys) <= known:
         raise ValueError(f"the monthly aggregate has no {sorted(set(keys) - known)}")
-    return aggregate.groupBy(*keys).agg(
+    sums = aggregate.groupBy(*keys).agg(
         F.sum("total_sales").alias("total_sales"),
         F.sum("total_profit").alias("total_profit"),
         F.sum("total_quantity").alias("total_quantity"),
         F.sum("transaction_count").alias("transaction_count"),
     )
+    if orders is None:
+        return sums
+    named = orders.withColumns(
+        {
+            "month_name": F.date_format(F.make_date("year", "month", F.lit(1)), "MMMM"),
+            "quarter": F.quarter(F.make_date("year", "month", F.lit(1))),
+        }
+    )
+    counted = roll_up(named, keys, "orders", "total_orders").withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return sums.join(counted, same, "left").drop(*[f"_{k}" for k in keys]).fillna(0, ["total_orders"])
+
+
+class MonthlyTables:
+    """A source that answers from the monthly aggregate what that covers.
+
+    It covers metrics that add up measures by year, month, region and category
+    within slices of region and year; all others read the lines. Beside the
+    sums it counts orders by any of ``ORDER_CELLS``.
+    """
+
+    KEYS = frozenset({"region", "category"})
+    MEASURES: Mapping[str, str] = {
+        "sales": "total_sales", "profit": "total_profit", "quantity": "total_quantity", "lines": "transaction_count",
+    }
+
+    def __init__(self, source, aggregate: DataFrame, orders: DataFrame):
+        self.source, self.aggregate, self.orders = source, aggregate, orders
+
+    def view(self, *columns: str, summed: bool = False) -> DataFrame:
+        return self.source.view(*columns, summed=summed)
+
+    def covers(self, function, within: Slice) -> bool:
+        read = {*function.columns, *within.columns} - {"order_date"}
+        dated = "order_date" in function.columns and not function.monthly
+        return function.summed and not dated and read <= {*self.KEYS, *self.MEASURES}
+
+    def covering(self, function, within: Slice):
+        """This source's aggregate, as a source, if it covers the metric; else the lines."""
+        return _Cells(self.aggregate) if self.covers(function, within) else self.source
+
+    def orders_by(self, *keys: str) -> DataFrame:
+        if not set(keys) <= {*ORDER_CELLS}:
+            raise ValueError(f"the order bitmaps have no {sorted(set(keys) - {*ORDER_CELLS})}")
+        return roll_up(self.orders, keys, "orders", "order_count")
+
+    def region_category(self) -> DataFrame:
+        """``sales.region_category`` without the lines."""
+        sums = from_monthly(self.aggregate, "region", "category", orders=self.orders)
+        return sums.orderBy(F.desc("total_sales"), "region", "category").select(
+            "region", "category", n.real(F.col("total_sales")).alias("total_sales"),
+            n.real(F.col("total_profit")).alias("total_profit"), F.col("total_orders").alias("order_count"),
+        )
+
+
+class _Cells:
+    """Rows of the monthly aggregate under the names of the view."""
+
+    def __init__(self, aggregate: DataFrame):
+        self.aggregate = aggregate
+
+    def view(self, *columns: str, summed: bool = False) -> DataFrame:
+        day = F.make_date("year", "month", F.lit(1)).alias("order_date")
+        return self.aggregate.select(
+            *[day if c == "order_date" else F.col(MonthlyTables.MEASURES.get(c, c)).alias(c) for c in columns]
+        )
+
+
+#: Business key and tracked columns of the dimensions with history.
+HISTORIES = {"customer": ("customer_id", CUSTOMER), "product": ("product_id", PRODUCT)}
 
 
 def next_versions(dim: DataFrame, incoming: DataFrame, kind: str, run_date: dt.date, expire_missing: bool = False):
     """Next snapshot of the customer or product dimension."""
-    key, tracked = {"customer": ("customer_id", CUSTOMER), "product": ("product_id", PRODUCT)}[kind]
+    key, tracked = HISTORIES[kind]
     return apply_versions(dim, incoming, f"{kind}_sk", key, tracked, run_date, expire_missing)

@@ -30,6 +30,7 @@ D_CUSTOMER = _struct(
     ("effective_date", T.DateType(), False),
     ("expiration_date", T.DateType(), True),
     ("current_flag", T.StringType(), True),
+    ("bucket", T.IntegerType(), True),
 )
 
 D_PRODUCT = _struct(
@@ -41,6 +42,7 @@ D_PRODUCT = _struct(
     ("effective_date", T.DateType(), False),
     ("expiration_date", T.DateType(), True),
     ("current_flag", T.StringType(), True),
+    ("bucket", T.IntegerType(), True),
 )
 
 D_LOCATION = _struct(
@@ -55,6 +57,7 @@ D_LOCATION = _struct(
 D_ORDER = _struct(
     ("order_id", T.StringType(), False),
     ("ship_mode", T.StringType(), True),
+    ("order_number", T.LongType(), True),
 )
 
 D_SEGMENT = _struct(
@@ -102,6 +105,35 @@ AGG_SALES_MONTHLY = _struct(
     ("avg_discount", T.DoubleType(), True),
 )
 
+# which orders a cell holds: bitmaps of order numbers, one per bucket of them
+AGG_ORDER_CELLS = _struct(
+    ("month", T.IntegerType(), False),
+    ("region", T.StringType(), True),
+    ("segment", T.StringType(), True),
+    ("category", T.StringType(), True),
+    ("bucket", T.LongType(), True),
+    ("orders", T.BinaryType(), True),
+    ("year", T.IntegerType(), False),
+)
+
+# complete steps of loads, by run and input
+LOAD_LEDGER = _struct(
+    ("run", T.StringType(), False),
+    ("inputs", T.StringType(), False),
+    ("step", T.StringType(), False),
+    ("rows", T.LongType(), False),
+    ("finished", T.TimestampType(), True),
+)
+
+# lines that could not be read whole
+REJECTED = _struct(
+    ("step", T.StringType(), False),
+    ("file", T.StringType(), True),
+    ("source_row", T.LongType(), True),
+    ("reason", T.StringType(), False),
+    ("record", T.StringType(), True),
+)
+
 STAR = {
     "d_date": D_DATE,
     "d_customer": D_CUSTOMER,
@@ -111,7 +143,18 @@ STAR = {
     "d_segment": D_SEGMENT,
     "f_sales": F_SALES,
     "agg_sales_monthly": AGG_SALES_MONTHLY,
+    "agg_order_cells": AGG_ORDER_CELLS,
     "etl_log": ETL_LOG,
+    "load_ledger": LOAD_LEDGER,
+}
+
+# columns whose values are folders of their own, so that a load may replace a part
+PARTITIONS = {
+    "d_customer": ["bucket"],
+    "d_product": ["bucket"],
+    "f_sales": ["order_year"],
+    "agg_sales_monthly": ["year"],
+    "agg_order_cells": ["year"],
 }
 
 # types of the raw order lines by normalised header name; other columns stay text
