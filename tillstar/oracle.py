@@ -745,3 +745,66 @@ SQL["scd2_current"] = f"SELECT * FROM ({SQL['scd2_apply_expiring']}) WHERE curre
 SQL["scd2_next_key"] = f"WITH {_history} SELECT max(customer_sk) + 1 AS next_sk FROM cur"
 SQL["star_join_stored"] = SQL["star_join"]
 SQL["ship_modes_stored"] = SQL["shipping_by_mode"]
+
+# The profit model: normal equations without the first level of each category,
+# solved by elimination in a recursive query; numbers are scaled near 1.
+_MODEL_LEVELS = (("category", "category"), ("region", "region"), ("segment", "segment"), ("ship_mode", "ship_mode"), ("month", "month(order_date)"))
+_model = f"""
+line AS (SELECT row_number() OVER () AS r, * FROM sv),
+entries AS (SELECT r, '(one)' AS feature, CAST(NULL AS VARCHAR) AS level, 1.0::DOUBLE AS v FROM line
+  UNION ALL SELECT r, 'sales', NULL, sales::DOUBLE / 10000 FROM line UNION ALL SELECT r, 'discount', NULL, discount::DOUBLE * 10 FROM line
+  UNION ALL SELECT r, 'quantity', NULL, quantity::DOUBLE / 10 FROM line
+  {" ".join(f"UNION ALL SELECT r, '{c}', CAST({x} AS VARCHAR), 1.0 FROM line" for c, x in _MODEL_LEVELS)}),
+levels AS (SELECT feature, level, row_number() OVER (PARTITION BY feature ORDER BY level) AS nth
+  FROM (SELECT DISTINCT feature, level FROM entries)),
+unknowns AS (SELECT feature, level, row_number() OVER (ORDER BY feature, level) AS i FROM levels WHERE level IS NULL OR nth > 1),
+size AS (SELECT count(*) AS n FROM unknowns),
+x AS (SELECT r, i, v FROM entries e JOIN unknowns u ON e.feature = u.feature AND e.level IS NOT DISTINCT FROM u.level
+  UNION ALL SELECT r, n + 1, profit::DOUBLE FROM line, size),
+products AS (SELECT a.i, b.i AS j, sum(a.v * b.v) AS s FROM x a JOIN x b USING (r) GROUP BY 1, 2),
+grid AS (SELECT u.i, t.j, coalesce(s, 0.0)::DOUBLE AS s
+  FROM unknowns u CROSS JOIN (SELECT unnest(range(1, n + 2)) AS j FROM size) t LEFT JOIN products p ON p.i = u.i AND p.j = t.j),
+start AS (SELECT list(own ORDER BY i) AS m FROM (SELECT i, list(s ORDER BY j) AS own FROM grid GROUP BY i)),
+steps AS (SELECT 0::BIGINT AS k, m FROM start
+  UNION ALL
+  SELECT k + 1, list_transform(m, lambda own, i: CASE WHEN i = k + 1 THEN list_transform(own, lambda v: v / own[k + 1])
+    ELSE list_transform(own, lambda v, j: v - own[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END)
+  FROM steps WHERE k < len(m)),
+solved AS (SELECT m, len(m) AS n FROM steps WHERE k = len(m)),
+free AS (SELECT l.feature, l.level, coalesce(m[u.i][n + 1], 0.0) *
+    CASE l.feature WHEN 'sales' THEN 1e-4 WHEN 'discount' THEN 10 WHEN 'quantity' THEN 0.1 ELSE 1 END AS w
+  FROM levels l LEFT JOIN unknowns u ON u.feature = l.feature AND u.level IS NOT DISTINCT FROM l.level, solved),
+weights AS (SELECT feature, level, CASE WHEN level IS NULL THEN w ELSE w - avg(w) OVER (PARTITION BY feature, level IS NULL) END AS w
+  FROM free WHERE feature <> '(one)'),
+base AS (SELECT (SELECT w FROM free WHERE feature = '(one)') + sum(middle) AS w
+  FROM (SELECT avg(w) AS middle FROM free WHERE level IS NOT NULL GROUP BY feature)),
+fitted AS (SELECT line.*, base.w
+    + sales::DOUBLE * (SELECT w FROM weights WHERE feature = 'sales') + discount::DOUBLE * (SELECT w FROM weights WHERE feature = 'discount')
+    + quantity::DOUBLE * (SELECT w FROM weights WHERE feature = 'quantity')
+    {" ".join(f"+ w_{c}.w" for c, _ in _MODEL_LEVELS)} AS p
+  FROM line CROSS JOIN base {" ".join(f"JOIN weights w_{c} ON w_{c}.feature = '{c}' AND w_{c}.level = CAST({x} AS VARCHAR)" for c, x in _MODEL_LEVELS)}),
+quality AS (SELECT 1 - sum((profit::DOUBLE - p) * (profit::DOUBLE - p))
+    / sum((profit::DOUBLE - m) * (profit::DOUBLE - m)) AS r2 FROM fitted, (SELECT avg(profit::DOUBLE) AS m FROM sv))"""
+
+
+def over_model(select: str) -> str:
+    return "WITH RECURSIVE " + VIEW_SQL.strip().replace("base AS (", "base_view AS (", 1).replace("FROM base)", "FROM base_view)") + "," + _model + "\n" + select
+
+
+SQL["profit_model"] = over_model("SELECT feature, level, round_even(w, 4) AS coefficient FROM weights")
+SQL["profit_model_info"] = over_model(
+    f"""SELECT round_even(r2, 3) AS r2, printf('%.1f%%', r2 * 100) AS r2_pct,
+  CASE WHEN r2 < 0.3 THEN 'bajo' WHEN r2 < 0.6 THEN 'moderado' ELSE 'bueno' END AS fit,
+  {", ".join(f"(SELECT string_agg(level, ', ' ORDER BY {'level::INT' if c == 'month' else 'level'}) FROM weights WHERE feature = '{c}') AS {c}" for c, _ in _MODEL_LEVELS)}
+FROM quality"""
+)
+SQL["profit_scores"] = over_model(
+    f"""SELECT sales::DOUBLE AS sales, discount::DOUBLE AS discount, quantity, category, 'EUROPE' AS region, 'BUILDING' AS segment,
+  '1-URGENT' AS ship_mode, 7 AS month, round_even(v, 2) AS predicted_profit, {money('v', 2)} AS predicted_profit_fmt, v > 0 AS is_profitable, round_even(r2, 3) AS model_r2
+FROM (SELECT s.*, d.*, q.*, c.*, r2, base.w + sales * (SELECT w FROM weights WHERE feature = 'sales')
+    + discount * (SELECT w FROM weights WHERE feature = 'discount') + quantity * (SELECT w FROM weights WHERE feature = 'quantity')
+    + coalesce((SELECT w FROM weights WHERE feature = 'category' AND level = category), 0)
+    + (SELECT sum(w) FROM weights WHERE (feature, level) IN (('region', 'EUROPE'), ('segment', 'BUILDING'), ('ship_mode', '1-URGENT'), ('month', '7'))) AS v
+  FROM base, quality, (VALUES (100.0::DOUBLE), (500.0), (5000.0), (50000.0)) AS s(sales), (VALUES (0.0::DOUBLE), (0.1)) AS d(discount),
+    (VALUES (1), (10)) AS q(quantity), (SELECT level AS category FROM weights WHERE feature = 'category' UNION ALL SELECT 'UNSEEN') AS c)"""
+)

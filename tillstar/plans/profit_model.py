@@ -25,6 +25,8 @@ CATEGORIES = ("category", "region", "segment", "ship_mode", "month")
 NUMBERS = ("sales", "discount", "quantity")
 # rows of the Gram matrix up to which the driver holds it; beyond, it stays a frame
 DRIVER_ENTRIES = 1_000_000
+# the bits of a product that are added up at once, and the units of the sums
+LOW_BITS, UNITS = (1 << 21) - 1, 10**8
 # relative residual at which the solver stops, and how often it starts anew from it
 TOLERANCE, REFINEMENTS = 1e-15, 3
 
@@ -118,34 +120,46 @@ def training_rows(df: DataFrame) -> DataFrame:
 
 def gram_matrix(df: DataFrame) -> DataFrame:
     """f, l, g, m, total: the exact sum over all lines of the product of term
-    (f, l) and term (g, m).
+    (f, l) and term (g, m), in units of 1e-8.
 
     Terms are the constant ("one"), the numbers, the profit and the levels of
     the categories; only pairs that occur together have a row. Lines without a
     number or a profit are left out. Lines are first added up per combination
     of levels, on the map side as well, so products are formed for these only.
     """
-    one = F.lit(1).cast("decimal(1,0)")
     numbers = ("one", *NUMBERS, "profit")
     rows = df.dropna(subset=[*NUMBERS, "profit"]).select(
-        one.alias("one"),
-        *[F.col(c).cast("decimal(12,4)").alias(c) for c in (*NUMBERS, "profit")],
+        F.lit(10_000).cast("bigint").alias("one"),
+        # four decimals as whole numbers; a double holds them exactly
+        *[F.rint(n.real(F.col(c)) * 10_000).cast("bigint").alias(c) for c in (*NUMBERS, "profit")],
         *[F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias(c) for c in CATEGORIES if c != "month"],
         F.month("order_date").cast("string").alias("month"),
     )
     products = list(combinations_with_replacement(numbers, 2))
-    cells = rows.groupBy(*CATEGORIES).agg(*[F.sum((F.col(a) * F.col(b)).cast("decimal(30,8)")).alias(f"{a}*{b}") for a, b in products])
-
-    def entry(f: str, l, g: str, m, total: str):  # noqa: E741
+    sums = []
+    for a, b in products:
+        short = (F.abs(a) < 1 << 31) & (F.abs(b) < 1 << 31)
+        product = F.when(short, F.col(a) * F.col(b))
+        long = F.when(~short, F.col(a).cast("decimal(13,0)") * F.col(b).cast("decimal(13,0)"))
+        # sums of 21 bits do not overflow below 4e12 lines, and are cheaper than those of decimals
+        sums += [F.sum(product.bitwiseAND(LOW_BITS)).alias(f"0{a}*{b}"), F.sum(F.shiftright(product, 21).bitwiseAND(LOW_BITS)).alias(f"1{a}*{b}")]
+        sums += [F.sum(F.shiftright(product, 42)).alias(f"2{a}*{b}"), F.sum(long).alias(f"3{a}*{b}")]
+    cells = rows.groupBy(*CATEGORIES).agg(*sums)
+
+    def entry(f: str, l, g: str, m, product: str):  # noqa: E741
         none = F.lit(None).cast("string")
         level = lambda c: none if c is None else F.col(c)
-        value = F.col(f"`{total}`").cast("decimal(38,8)")
-        return F.struct(F.lit(f).alias("f"), level(l).alias("l"), F.lit(g).alias("g"), level(m).alias("m"), value.alias("total"))
+        whole = [F.coalesce(F.col(f"`{i}{product}`"), F.lit(0)).cast("decimal(24,0)") for i in range(3)]
+        total = whole[0] + whole[1] * F.lit(1 << 21).cast("decimal(7,0)") + whole[2] * F.lit(1 << 42).cast("decimal(13,0)")
+        total = total.cast("decimal(37,0)") + F.coalesce(F.col(f"`3{product}`"), F.lit(0)).cast("decimal(37,0)")
+        return F.struct(F.lit(f).alias("f"), level(l).alias("l"), F.lit(g).alias("g"), level(m).alias("m"), total.alias("total"))
 
     entries = [entry(a, None, b, None, f"{a}*{b}") for a, b in products]
     entries += [entry(a, None, c, c, f"one*{a}") for c in CATEGORIES for a in numbers]
     entries += [entry(c, c, d, d, "one*one") for c, d in combinations(CATEGORIES, 2)]
-    return cells.select(F.inline(F.array(*entries))).groupBy("f", "l", "g", "m").agg(F.sum("total").alias("total"))
+    # one row per combination of levels: written out, so that it is made once for all entries
+    made = settle(cells, "gram-cells")
+    return made.select(F.inline(F.array(*entries))).groupBy("f", "l", "g", "m").agg(F.sum("total").alias("total"))
 
 
 def conjugate_gradients(times: Callable[[np.ndarray], np.ndarray], b: np.ndarray) -> np.ndarray:
@@ -180,18 +194,19 @@ def fit(df: DataFrame) -> ProfitModel:
     """
     gram = settle(gram_matrix(df), "gram")
     sums = {(r.f, r.l): r.total for r in gram.filter("f = 'one'").select(F.col("g").alias("f"), F.col("m").alias("l"), "total").collect()}
-    lines = Fraction(sums.get(("one", None)) or 0)
+    sums = {t: Fraction(total) / UNITS for t, total in sums.items()}
+    lines = sums.get(("one", None), Fraction(0))
     if not lines:
         raise ValueError("no line has all numbers and a profit")
     names = {c: sorted(level for f, level in sums if f == c) for c in CATEGORIES}
     terms = [(c, None) for c in NUMBERS] + [(c, level) for c in CATEGORIES for level in names[c]]
     index = {t: i for i, t in enumerate(terms)}
-    mean = np.array([float(Fraction(sums[t]) / lines) for t in terms])
+    mean = np.array([float(sums[t] / lines) for t in terms])
 
     def centred(f, l, g, m, total) -> float:  # noqa: E741
-        return float(Fraction(total) - Fraction(sums[f, l]) * Fraction(sums[g, m]) / lines)
+        return float(Fraction(total) / UNITS - sums[f, l] * sums[g, m] / lines)
 
-    profit_mean = float(Fraction(sums["profit", None]) / lines)
+    profit_mean = float(sums["profit", None] / lines)
     of_profit, variance, spread = np.zeros(len(terms)), 0.0, np.ones(len(terms))
     # rows with a number: a few per term; their centring cancels, so it is exact
     numeric = np.zeros((len(NUMBERS), len(terms)))
@@ -238,7 +253,7 @@ def fit(df: DataFrame) -> ProfitModel:
 
 def _on_driver(pairs: DataFrame, index: Mapping[tuple, int]) -> Callable[[np.ndarray], np.ndarray]:
     """Product with the counts of pairs of levels of two categories; rows in one order."""
-    rows = sorted((index[r.f, r.l], index[r.g, r.m], float(r.total)) for r in pairs.collect())
+    rows = sorted((index[r.f, r.l], index[r.g, r.m], float(Fraction(r.total) / UNITS)) for r in pairs.collect())
     i, j, v = (np.array([r[x] for r in rows], dtype=kind) for x, kind in ((0, int), (1, int), (2, float)))
     size = len(index)
     return lambda x: np.bincount(i, v * x[j], size) + np.bincount(j, v * x[i], size)
@@ -255,7 +270,7 @@ def _as_frame(pairs: DataFrame, index: Mapping[tuple, int]) -> Callable[[np.ndar
         both = pairs.select("f", "l", "g", "m", "total").unionByName(pairs.select(F.col("g").alias("f"), F.col("m").alias("l"), F.col("f").alias("g"), F.col("l").alias("m"), "total"))
         seen = both.join(vector.select(F.col("f").alias("g"), F.col("l").alias("m"), "x"), ["g", "m"])
         # decimals, so that the sum does not depend on the order of rows
-        product = (F.col("total").cast("double") * F.col("x")).cast("decimal(38,18)")
+        product = (F.col("total").cast("double") / UNITS * F.col("x")).cast("decimal(38,18)")
         y = np.zeros(len(terms))
         for r in seen.groupBy("f", "l").agg(F.sum(product).cast("double").alias("y")).collect():
             y[index[r.f, r.l]] = r.y * scale

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -171,7 +172,9 @@ def build_star(source, run_date: dt.date) -> dict[str, DataFrame]:
         "d_segment": lambda: compute(d_segment, source),
     }
     with ThreadPoolExecutor(len(builders)) as pool:
-        built = pool.map(lambda item: (item[0], settle(item[1](), item[0])), builders.items())
+        # each in a copy of this context, which knows who deletes the files
+        contexts = [copy_context() for _ in builders]
+        built = pool.map(lambda item, context: (item[0], context.run(lambda: settle(item[1](), item[0]))), builders.items(), contexts)
         dims = dict(built)
     return {**dims, "f_sales": f_sales(source.view(*FLAT_COLUMNS), dims)}
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
@@ -29,32 +30,46 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, for intermediate tables.
 
     ``spark.checkpoint.dir`` of the session; where that is unset, a folder
-    below the session's warehouse directory, which tables share anyway.
+    below the session's warehouse directory, which tables share anyway. On a
+    cluster that must not be a folder of one machine.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
         configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+        if configured.startswith(("file:", "/")) and not _one_machine(spark):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all machines share; {configured} is a local one")
     return configured.rstrip("/")
 
 
+def _one_machine(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     """Path of a folder below ``shared_dir`` that nothing else uses."""
     return f"{shared_dir(spark)}/tillstar/{label}-{uuid.uuid4().hex}"
 
 
-_written: list[str] = []
+# folders to be deleted when the work that is under way here is over
+_owned: ContextVar[list[str] | None] = ContextVar("owned", default=None)
 
 
 @contextmanager
 def own_folders(spark: SparkSession) -> Iterator[None]:
-    """Delete what ``settle`` writes inside once the work inside is over."""
-    before = len(_written)
+    """Delete what ``settle`` writes inside once the work inside is over.
+
+    Work of other threads is not touched; threads started inside take part if
+    they run in a copy of this one's context.
+    """
+    folders: list[str] = []
+    token = _owned.set(folders)
     try:
         yield
     finally:
-        for path in _written[before:]:
+        _owned.reset(token)
+        for path in folders:
             remove_folder(spark, path)
-        del _written[before:]
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
@@ -62,16 +77,25 @@ def settle(df: DataFrame, label: str) -> DataFrame:
 
     Cuts lineage for frames used several times. The files survive lost
     executors, and their size on disk tells Spark whether a later join may
-    broadcast them. ``discard`` or ``own_folders`` removes them.
+    broadcast them. ``discard`` or ``own_folders`` removes them, at the latest
+    the end of the application.
     """
     path = new_folder(df.sparkSession, label)
-    _written.append(path)
+    if (folders := _owned.get()) is not None:
+        folders.append(path)
     df.write.parquet(path)
+    delete_at_end(df.sparkSession, path)
     settled = df.sparkSession.read.schema(df.schema).parquet(path)
     settled.settled_path = path
     return settled
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Have a folder of this library deleted when the application's driver ends."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder that this library wrote; a missing one is no error."""
     jvm = spark.sparkContext._jvm
