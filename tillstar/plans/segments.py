@@ -4,12 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from fractions import Fraction
 
-from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +16,10 @@ from tillstar.session import settle
 
 CLUSTERS = 4
 SEEDS = tuple(range(42, 52))
-PARALLEL_FITS = 5
+# steps of a fit at most, and the sum of squared shifts of its centres at which it has settled
+MOST_STEPS, SETTLED = 50, 1e-4
+# places of points are whole numbers of these parts of a deviation
+POINT_UNITS = 1_000_000
 
 # Segment names from best to worst.
 CUSTOMER_LABELS = ("VIP", "Frecuentes", "Ocasionales", "Perdidos")
@@ -200,25 +200,84 @@ class Clustering:
     costs: list[float]  # per seed
 
 
+def _nested(values) -> str:
+    """A nested list of numbers as an SQL array literal."""
+    return f"array({', '.join(map(_nested, values))})" if isinstance(values, list) else f"{values!r}D"
+
+
+def _distances(centers: list[list[list[float]]]):
+    """For each start the squared distances of ``_point`` to its centres."""
+    # data, not code: the plan's compiled form is the same at every step
+    step = "aggregate(zip_with(_point, m, (a, b) -> (a - b) * (a - b)), 0D, (x, y) -> x + y)"
+    return F.expr(f"transform({_nested(centers)}, s -> transform(s, m -> {step}))")
+
+
+def _points(scaled: Scaled) -> DataFrame:
+    """The scaled rows with ``_point``, their place in whole millionths."""
+    whole = [F.rint(F.col(c) * POINT_UNITS) for c in scaled.names]
+    return scaled.frame.withColumn("_point", F.array(*whole))
+
+
+def _first_centers(points: DataFrame, k: int, seeds: Sequence[int]) -> list[list[list[float]]]:
+    """``k`` rows per seed, each far from those before: chosen with a chance in
+    proportion to the squared distance, by a race of seeded hashes."""
+    centers: list[list[list[float]]] = [[] for _ in seeds]
+    for nth in range(k):
+        gaps = F.expr("transform(array_repeat(0, %d), s -> 1D)" % len(seeds)) if nth == 0 else F.transform(_distances(centers), F.array_min)
+        each = points.select("_point", F.posexplode(gaps).alias("_seed", "_gap"))
+        seed = F.element_at(F.array(*[F.lit(int(s)) for s in seeds]), F.col("_seed") + 1)
+        chance = (F.pmod(F.xxhash64("_point", seed, F.lit(nth)), F.lit(1 << 53)) + 1) / F.lit(float((1 << 53) + 1))
+        race = F.when(F.col("_gap") > 0, -F.log(chance) / F.col("_gap")).otherwise(F.lit(math.inf))
+        won = each.groupBy("_seed").agg(F.min(F.struct(race.alias("race"), "_point")).alias("won")).collect()
+        if not won:
+            raise ValueError("there are no rows to cluster")
+        for row in won:  # one row per seed
+            centers[row["_seed"]].append(list(row["won"]["_point"]))
+    return centers
+
+
+def _assigned(points: DataFrame, centers: list[list[list[float]]], size: int) -> DataFrame:
+    """Per start and cluster: rows, exact sums of their places and of squared distances."""
+    nearest = F.transform(
+        _distances(centers),
+        lambda d: F.struct((F.array_position(d, F.array_min(d)) - 1).cast("int").alias("cluster"), F.array_min(d).alias("gap")),
+    )
+    each = points.select("_point", F.posexplode(nearest).alias("start", "near"))
+    return each.groupBy("start", F.col("near.cluster").alias("cluster")).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(F.rint("near.gap").cast("decimal(28,0)")).alias("cost"),
+        *[F.sum(F.element_at("_point", i + 1).cast("decimal(18,0)")).alias(f"s{i}") for i in range(size)],
+    )
+
+
 def cluster(scaled: Scaled, k: int = CLUSTERS, seeds: Sequence[int] = SEEDS) -> Clustering:
-    """K-means from several seeds, keeping the one of lowest cost."""
-    inputs = VectorAssembler(inputCols=list(scaled.names), outputCol="features").transform(scaled.frame)
-    cached = inputs.persist(StorageLevel.MEMORY_AND_DISK)
-
-    def fit(seed: int):
-        return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(cached)
-
-    try:
-        # the restarts are independent: their jobs share the executors
-        with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-            models = list(pool.map(fit, seeds))
-        costs = [model.summary.trainingCost for model in models]
-        best = models[costs.index(min(costs))]
-    finally:
-        cached.unpersist()
-    placed = best.transform(inputs).drop("features")
-    members = placed.drop(*scaled.names)
-    return Clustering(members, placed.select("cluster", *scaled.names), [list(map(float, c)) for c in best.clusterCenters()], min(costs), costs)
+    """K-means from several seeds, keeping the one of lowest cost.
+
+    The centres of all seeds move in one aggregation per step, so a step reads
+    the rows once. Places are whole millionths and sums exact: the result does
+    not depend on how the rows are partitioned. The driver holds the centres.
+    """
+    points = settle(_points(scaled), "points")
+    size, moving = len(scaled.names), list(range(len(seeds)))
+    centers = _first_centers(points, k, seeds)
+    for _ in range(MOST_STEPS):
+        moved = {i: [list(c) for c in centers[i]] for i in moving}
+        for row in _assigned(points, [centers[i] for i in moving], size).collect():  # k rows per seed
+            moved[moving[row["start"]]][row["cluster"]] = [float(Fraction(row[f"s{i}"]) / row["rows"]) for i in range(size)]
+        shifts = {i: sum(math.dist(a, b) ** 2 for a, b in zip(centers[i], moved[i])) / POINT_UNITS**2 for i in moving}
+        for i in moving:
+            centers[i] = moved[i]
+        moving = [i for i in moving if shifts[i] > SETTLED]
+        if not moving:
+            break
+    costs = [0.0] * len(seeds)
+    for row in _assigned(points, centers, size).collect():
+        costs[row["start"]] += float(row["cost"]) / POINT_UNITS**2
+    best = costs.index(min(costs))
+    number = F.transform(_distances([centers[best]]), lambda d: F.array_position(d, F.array_min(d)) - 1)
+    placed = points.withColumn("cluster", F.element_at(number, 1).cast("int")).drop("_point")
+    natural = [[v / POINT_UNITS for v in c] for c in centers[best]]
+    return Clustering(placed.drop(*scaled.names), placed.select("cluster", *scaled.names), natural, costs[best], costs)
 
 
 def natural_centers(
@@ -296,7 +355,7 @@ def check(found: Segments) -> DataFrame:
     names = [c for c in result.placed.columns if c != "cluster"]
     distances = [sum(((F.col(c) - F.lit(v)) * (F.col(c) - F.lit(v)) for c, v in zip(names, center)), F.lit(0.0)) for center in result.centers]
     own = F.element_at(F.array(*distances), F.col("cluster") + 1)
-    near = result.placed.agg(F.count(F.lit(1)).alias("members"), F.bool_and(own <= F.array_min(F.array(*distances)) + 1e-9).alias("all_nearest"))
+    near = result.placed.agg(F.count(F.lit(1)).alias("members"), F.bool_and(own <= F.array_min(F.array(*distances)) + 1e-4).alias("all_nearest"))
     # k rows
     falling = F.col("score") <= F.coalesce(F.lag("score").over(Window.orderBy("rank")), F.lit(math.inf))
     order = found.profile.withColumn("_falling", falling).agg(
@@ -318,7 +377,7 @@ def _mean(column: str, digits: int, name: str):
 def segment_customers(base: DataFrame, ranking: str = "default", seeds: Sequence[int] = SEEDS) -> Segments:
     """Customers by recency, frequency and money; best is frequent, large and recent."""
     return _segments(
-        base,
+        settle(base, "customers"),
         CUSTOMER_FEATURES,
         CUSTOMER_LABELS,
         [
