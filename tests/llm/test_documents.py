@@ -453,3 +453,123 @@ def test_pipeline_stages(spark):
     for i in left:
         for j in left:
             assert i >= j or 5 * len(sets[i] & sets[j]) < 4 * len(sets[i] | sets[j])
+
+
+# plain restatements of 6, 7 and 8
+
+
+def test_shards_are_those_of_the_stated_order(spark):
+    import hashlib
+    from fractions import Fraction
+
+    rng = random.Random(71)
+    rows = [(rng.choice([None, *range(900)]), rng.choice([None, "", "é", "x" * rng.randrange(30)]), rng.choice([None, "a", "b", "b", "null"])) for _ in range(1500)]
+    found = sharding.assign_shards(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    listed = []
+    for doc_id, text, source in rows:
+        key = hashlib.md5(f"20240607:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+        listed.append((key, doc_id is not None, doc_id or 0, len((text or "").encode()) + 16, zlib.crc32((text or "").encode()), "null" if source is None else f"={source}"))
+    by_source = defaultdict(list)
+    for r in sorted(listed):  # null ids sort first, as their key is one of its own
+        by_source[r[5]].append(r)
+    order = sorted((Fraction(2 * rank + 1, 2 * len(own)), r) for own in by_source.values() for rank, r in enumerate(own))
+    wanted = []
+    for at, (_, (_, known, doc_id, size, crc32, source)) in enumerate(order):
+        shard = at * 40 // len(rows)
+        wanted.append((doc_id if known else None, None if source == "null" else source[1:], size, crc32, shard, at - -(-shard * len(rows) // 40)))
+    assert Counter(tuple(r) for r in found) == Counter(wanted)
+
+
+def plain_trigrams(text):
+    words = re.findall("[a-zßà-öø-ÿ]+", text.lower())
+    return [[(" " + w + " ")[i : i + 3] for i in range(len(w))] for w in words]
+
+
+def test_languages_are_those_of_a_plain_mixture(spark, monkeypatch):
+    """Counts, expectation-maximisation and set choice restated over text trigrams."""
+    import math
+
+    rows = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    rows = [(d, t[:1500], lang) for d, t, lang in rows if t and lang and re.fullmatch(r"[\x00-\x7fÀ-ÖØ-öø-ÿñ]*", t[:1500])][:120]
+    mixed = [(9000 + i, " ".join([rows[i][1][:400], rows[i + 40][1][:400]]), None) for i in range(30)]
+    docs = spark.createDataFrame(rows + mixed, "doc_id bigint, text string, lang string")
+    counts = defaultdict(Counter)
+    for doc_id, text, lang in rows:
+        if zlib.crc32(str(doc_id).encode()) % 3 != 1:
+            counts[lang].update(t for w in plain_trigrams(text) for t in w)
+    languages = sorted(counts)
+    letters = langid.letter_table()
+    bucket = lambda t: langid.trigrams(t.strip(), letters)[0]
+    seen = {t for c in counts.values() for t in c} | {t for _, x, _ in rows + mixed for w in plain_trigrams(x) for t in w}
+    # the operator hashes trigrams: a trigram's bucket is that of the word it is cut from
+    place = {}
+    for _, text, _ in rows + mixed:
+        for w in plain_trigrams(text):
+            place.update(zip(w, langid.trigrams("".join(t[1] for t in w), letters)[0].tolist()))
+    assert set(place) == seen and bucket("a") is not None
+    table = {}
+    for lang in languages:
+        hashed = Counter()
+        for t, n in counts[lang].items():
+            hashed[place[t]] += n
+        total = sum(hashed.values()) + 0.5 * langid.BUCKETS
+        table[lang] = lambda b, hashed=hashed, total=total: math.log((hashed[b] + 0.5) / total)
+
+    def em(scores):
+        share = [1 / len(scores[0])] * len(scores[0])
+        for _ in range(30):
+            new = [0.0] * len(share)
+            for s in scores:
+                p = [math.exp(x - max(s)) * a for x, a in zip(s, share)]
+                for i, x in enumerate(p):
+                    new[i] += x / sum(p) / len(scores)
+            change, share = max(abs(a - b) for a, b in zip(new, share)), new
+            if change < 1e-4:
+                break
+        return share, sum(math.log(sum(math.exp(x - max(s)) * a for x, a in zip(s, share))) + max(s) for s in scores)
+
+    found = {r.doc_id: r for r in langid.identify(docs, langid.fit(docs)).collect()}
+    several = 0
+    for doc_id, text, _ in rows[:40] + mixed:
+        scores = [[sum(table[lang](place[t]) for t in w) for lang in languages] for w in plain_trigrams(text)]
+        totals = [sum(s[i] for s in scores) for i in range(len(languages))]
+        chosen, share, value = [totals.index(max(totals))], [1.0], max(totals)
+        penalty = 2 * math.log(len(scores) + 1)
+        while len(chosen) < len(languages):
+            gain = [-1 if i in chosen else sum(max(s[i] - max(s[c] for c in chosen), 0) for s in scores) for i in range(len(languages))]
+            following = [*chosen, gain.index(max(gain))]
+            if max(gain) <= penalty:
+                break
+            new, reached = em([[s[i] for i in following] for s in scores])
+            if reached - value <= penalty or new[-1] < 0.02:
+                break
+            chosen, share, value = following, new, reached
+        best = sorted(zip(share, chosen), key=lambda x: -x[0])
+        several += len(best) > 1
+        assert found[doc_id].languages == [languages[i] for _, i in best]
+        assert found[doc_id].shares == pytest.approx([s for s, _ in best], abs=2e-3)
+        assert found[doc_id].score == pytest.approx(best[0][0], abs=2e-3)
+    assert several > 5
+
+
+def test_fertility_measures_restated(spark):
+    import math
+
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=tokens.vocabulary_path(fertility.VOCABULARY))
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").limit(60)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in fertility.judge(docs).collect():
+        words = WORD.findall(texts[r.doc_id])
+        ids = [i for w in words for i in library.encode(w)]
+        counts = Counter(ids)
+        entropy = -sum(n / len(ids) * math.log(n / len(ids)) for n in counts.values()) / math.log(min(len(ids), 32_000)) if len(ids) > 1 else 0.0
+        assert r.n_tokens == len(ids)
+        assert r.chars_per_token == pytest.approx(sum(map(len, words)) / len(ids) if ids else 0.0)
+        assert r.byte_share == pytest.approx(sum(3 <= i <= 258 for i in ids) / len(ids) if ids else 0.0)
+        assert r.token_entropy == pytest.approx(entropy)
+        least, most, most_bytes, least_entropy = fertility.BANDS[r.script]
+        if r.script != "latin" or r.chars_per_token >= fertility.DOUBTFUL_PER_TOKEN:
+            inside = least <= r.chars_per_token <= most and r.byte_share <= most_bytes and r.token_entropy >= least_entropy
+            assert r.kept == (not r.base_failed and inside)

@@ -19,7 +19,7 @@ from pyspark.sql.functions import pandas_udf
 
 import tillstar
 from tillstar.operators.ordered import with_running_totals
-from tillstar.session import discard, new_folder, settle, tune
+from tillstar.session import delete_at_end, discard, new_folder, settle, tune
 
 #: Most key ranges a sharded writer makes; bounds what is sent to every task.
 MAX_RANGES = 65_536
@@ -54,6 +54,7 @@ def prepare(spark: SparkSession) -> SparkSession:
         fs.create_dir(root, recursive=True)
         with fs.open_output_stream(f"{root}/tillstar.zip", compression=None) as stream:
             stream.write(buffer.getvalue())
+        delete_at_end(spark, folder)
         context.addPyFile(f"{folder}/tillstar.zip")
     return spark
 

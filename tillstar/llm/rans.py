@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tillstar.llm import shards
 from tillstar.llm.common import key_bounds, map_sorted_groups, range_of, rows_of, store
 from tillstar.llm.tokens import ByteEncoder, encoder, vocabulary_path
-from tillstar.session import discard, new_folder, settle
+from tillstar.session import delete_at_end, discard, new_folder, settle
 
 VOCABULARY, VOCABULARY_SIZE, END_ID = "byte_bpe_50k.json", 50_257, 0
 #: Text bytes of a shard; tokens after which a block or a segment is closed; lanes of a segment.
@@ -251,7 +251,9 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def token_round_trip(spark: SparkSession, docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """Write all documents' ids to files in the shared folder and read them back."""
+    """Write all documents' ids to files in the shared folder, which go with
+    the application, and read them back."""
     folder = new_folder(spark, "tokens")
     manifest = write_tokens(docs, folder, vocabulary or vocabulary_path(VOCABULARY))
+    delete_at_end(spark, folder)
     return read_tokens(manifest, folder)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tillstar.llm import shards
 from tillstar.llm.common import key_bounds, map_sorted_groups, range_column
-from tillstar.session import discard, new_folder, settle
+from tillstar.session import delete_at_end, discard, new_folder, settle
 
 #: Payload bytes of a shard, compressed bytes after which a file is closed, and
 #: the payload size from which equal payloads are written once.
@@ -210,5 +210,9 @@ def read_pages(manifest: DataFrame) -> DataFrame:
 
 
 def archive_round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Write all pages to archives in the shared folder and read them back."""
-    return read_pages(write_pages(pages, new_folder(spark, "warc")))
+    """Write all pages to archives in the shared folder, which go with the
+    application, and read them back."""
+    folder = new_folder(spark, "warc")
+    manifest = write_pages(pages, folder)
+    delete_at_end(spark, folder)
+    return read_pages(manifest)
