@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -200,54 +202,79 @@ class Clustering:
     costs: list[float]  # per seed
 
 
-def _nested(values) -> str:
-    """A nested list of numbers as an SQL array literal."""
-    return f"array({', '.join(map(_nested, values))})" if isinstance(values, list) else f"{values!r}D"
+def _places(batch: pa.RecordBatch) -> np.ndarray:
+    """A batch's columns as a matrix of whole numbers."""
+    return np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
 
 
-def _distances(centers: list[list[list[float]]]):
-    """For each start the squared distances of ``_point`` to its centres."""
-    # data, not code: the plan's compiled form is the same at every step
-    step = "aggregate(zip_with(_point, m, (a, b) -> (a - b) * (a - b)), 0D, (x, y) -> x + y)"
-    return F.expr(f"transform({_nested(centers)}, s -> transform(s, m -> {step}))")
+def _gaps(places: np.ndarray, centers: list[list[list[float]]]) -> np.ndarray:
+    """Squared distances, by start, row and centre."""
+    return np.stack([((places[:, None, :] - np.array(own)[None, :, :]) ** 2).sum(axis=2) for own in centers])
 
 
 def _points(scaled: Scaled) -> DataFrame:
-    """The scaled rows with ``_point``, their place in whole millionths."""
-    whole = [F.rint(F.col(c) * POINT_UNITS) for c in scaled.names]
-    return scaled.frame.withColumn("_point", F.array(*whole))
+    """The scaled rows with ``_p<i>``, their place in whole millionths."""
+    return scaled.frame.withColumns({f"_p{i}": F.rint(F.col(c) * POINT_UNITS) for i, c in enumerate(scaled.names)})
 
 
-def _first_centers(points: DataFrame, k: int, seeds: Sequence[int]) -> list[list[list[float]]]:
+def _first_centers(points: DataFrame, size: int, k: int, seeds: Sequence[int]) -> list[list[list[float]]]:
     """``k`` rows per seed, each far from those before: chosen with a chance in
     proportion to the squared distance, by a race of seeded hashes."""
+    columns = [f"_p{i}" for i in range(size)]
     centers: list[list[list[float]]] = [[] for _ in seeds]
     for nth in range(k):
-        gaps = F.expr("transform(array_repeat(0, %d), s -> 1D)" % len(seeds)) if nth == 0 else F.transform(_distances(centers), F.array_min)
-        each = points.select("_point", F.posexplode(gaps).alias("_seed", "_gap"))
-        seed = F.element_at(F.array(*[F.lit(int(s)) for s in seeds]), F.col("_seed") + 1)
-        chance = (F.pmod(F.xxhash64("_point", seed, F.lit(nth)), F.lit(1 << 53)) + 1) / F.lit(float((1 << 53) + 1))
-        race = F.when(F.col("_gap") > 0, -F.log(chance) / F.col("_gap")).otherwise(F.lit(math.inf))
-        won = each.groupBy("_seed").agg(F.min(F.struct(race.alias("race"), "_point")).alias("won")).collect()
+
+        def race(batches, centers=centers, nth=nth):
+            best: dict[int, tuple] = {}
+            for batch in batches:
+                places = _places(batch.select(columns))
+                gaps = _gaps(places, centers).min(axis=2) if nth else np.ones((len(seeds), len(batch)))
+                for i in range(len(seeds)):
+                    chance = (batch.column(size + i).to_numpy() % (1 << 53) + 1) / float((1 << 53) + 1)
+                    with np.errstate(divide="ignore"):
+                        runs = -np.log(chance) / gaps[i]
+                    for row in np.flatnonzero(runs == runs.min()).tolist() if len(batch) else []:
+                        found = (float(runs[row]), *places[row].tolist())
+                        best[i] = min(best.get(i, found), found)
+            rows = [(i, r, p) for i, (r, *p) in best.items()]
+            yield pa.RecordBatch.from_pylist([{"seed": i, "race": r, "place": p} for i, r, p in rows], pa.schema([("seed", pa.int32()), ("race", pa.float64()), ("place", pa.list_(pa.float64()))]))
+
+        marks = [F.xxhash64(*columns, F.lit(int(seed)), F.lit(nth)).alias(f"_u{i}") for i, seed in enumerate(seeds)]
+        runs = points.select(*columns, *marks).mapInArrow(race, "seed int, race double, place array<double>")
+        won = runs.groupBy("seed").agg(F.min(F.struct("race", "place")).alias("won")).collect()
         if not won:
             raise ValueError("there are no rows to cluster")
         for row in won:  # one row per seed
-            centers[row["_seed"]].append(list(row["won"]["_point"]))
+            centers[row["seed"]].append(list(row["won"]["place"]))
     return centers
 
 
 def _assigned(points: DataFrame, centers: list[list[list[float]]], size: int) -> DataFrame:
-    """Per start and cluster: rows, exact sums of their places and of squared distances."""
-    nearest = F.transform(
-        _distances(centers),
-        lambda d: F.struct((F.array_position(d, F.array_min(d)) - 1).cast("int").alias("cluster"), F.array_min(d).alias("gap")),
-    )
-    each = points.select("_point", F.posexplode(nearest).alias("start", "near"))
-    return each.groupBy("start", F.col("near.cluster").alias("cluster")).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.sum(F.rint("near.gap").cast("decimal(28,0)")).alias("cost"),
-        *[F.sum(F.element_at("_point", i + 1).cast("decimal(18,0)")).alias(f"s{i}") for i in range(size)],
-    )
+    """Per start and cluster: rows, exact sums of their places and of squared distances.
+
+    A task adds up its rows in whole numbers and reports one row per centre.
+    """
+    columns = [f"_p{i}" for i in range(size)]
+    starts, k = len(centers), len(centers[0])
+    names = ["start", "cluster", "rows", "cost", *[f"s{i}" for i in range(size)]]
+
+    def add_up(batches):
+        sums = np.zeros((starts, k, 2 + size), dtype=np.int64)
+        for batch in batches:
+            places = _places(batch)
+            whole = places.astype(np.int64)
+            for i, gaps in enumerate(_gaps(places, centers)):
+                nearest = gaps.argmin(axis=1)
+                costs = np.rint(gaps.min(axis=1) / POINT_UNITS).astype(np.int64)
+                for c in range(k):
+                    own = nearest == c
+                    sums[i, c] += [int(own.sum()), int(costs[own].sum()), *whole[own].sum(axis=0).tolist()]
+        start, own = np.divmod(np.arange(starts * k), k)
+        table = np.column_stack([start, own, sums.reshape(starts * k, -1)])
+        yield pa.RecordBatch.from_arrays([pa.array(column) for column in table.T], names)
+
+    added = points.select(*columns).mapInArrow(add_up, ", ".join(f"{name} bigint" for name in names))
+    return added.filter("rows > 0").groupBy("start", "cluster").agg(*[F.sum(F.col(c).cast("decimal(20,0)")).alias(c) for c in names[2:]])
 
 
 def cluster(scaled: Scaled, k: int = CLUSTERS, seeds: Sequence[int] = SEEDS) -> Clustering:
@@ -259,11 +286,11 @@ def cluster(scaled: Scaled, k: int = CLUSTERS, seeds: Sequence[int] = SEEDS) ->
     """
     points = settle(_points(scaled), "points")
     size, moving = len(scaled.names), list(range(len(seeds)))
-    centers = _first_centers(points, k, seeds)
+    centers = _first_centers(points, size, k, seeds)
     for _ in range(MOST_STEPS):
         moved = {i: [list(c) for c in centers[i]] for i in moving}
         for row in _assigned(points, [centers[i] for i in moving], size).collect():  # k rows per seed
-            moved[moving[row["start"]]][row["cluster"]] = [float(Fraction(row[f"s{i}"]) / row["rows"]) for i in range(size)]
+            moved[moving[row["start"]]][row["cluster"]] = [float(Fraction(row[f"s{i}"]) / Fraction(row["rows"])) for i in range(size)]
         shifts = {i: sum(math.dist(a, b) ** 2 for a, b in zip(centers[i], moved[i])) / POINT_UNITS**2 for i in moving}
         for i in moving:
             centers[i] = moved[i]
@@ -272,10 +299,12 @@ def cluster(scaled: Scaled, k: int = CLUSTERS, seeds: Sequence[int] = SEEDS) ->
             break
     costs = [0.0] * len(seeds)
     for row in _assigned(points, centers, size).collect():
-        costs[row["start"]] += float(row["cost"]) / POINT_UNITS**2
+        costs[row["start"]] += float(row["cost"]) / POINT_UNITS
     best = costs.index(min(costs))
-    number = F.transform(_distances([centers[best]]), lambda d: F.array_position(d, F.array_min(d)) - 1)
-    placed = points.withColumn("cluster", F.element_at(number, 1).cast("int")).drop("_point")
+    gaps = [sum(((F.col(f"_p{i}") - F.lit(v)) ** 2 for i, v in enumerate(c)), F.lit(0.0)) for c in centers[best]]
+    least = F.least(*gaps) if k > 1 else gaps[0]
+    number = F.coalesce(*[F.when(gap == least, F.lit(i)) for i, gap in enumerate(gaps)])
+    placed = points.withColumn("cluster", number).drop(*[f"_p{i}" for i in range(size)])
     natural = [[v / POINT_UNITS for v in c] for c in centers[best]]
     return Clustering(placed.drop(*scaled.names), placed.select("cluster", *scaled.names), natural, costs[best], costs)
 
