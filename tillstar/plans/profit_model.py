@@ -14,6 +14,7 @@ from fractions import Fraction
 from itertools import combinations, combinations_with_replacement
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +26,10 @@ CATEGORIES = ("category", "region", "segment", "ship_mode", "month")
 NUMBERS = ("sales", "discount", "quantity")
 # rows of the Gram matrix up to which the driver holds it; beyond, it stays a frame
 DRIVER_ENTRIES = 1_000_000
-# the bits of a product that are added up at once, and the units of the sums
-LOW_BITS, UNITS = (1 << 21) - 1, 10**8
+# bits of a product that are added up together, of half a factor, and the units of the sums
+PART_BITS, LOW_HALF, UNITS = 30, (1 << 20) - 1, 10**8
+# combinations of levels that a task holds
+MOST_COMBINATIONS = 100_000
 # relative residual at which the solver stops, and how often it starts anew from it
 TOLERANCE, REFINEMENTS = 1e-15, 3
 
@@ -118,6 +121,62 @@ def training_rows(df: DataFrame) -> DataFrame:
     )
 
 
+def _add_up(n_keys: int, products: Sequence[tuple[str, str]], numbers: Sequence[str], parts: Sequence[str]):
+    """Sums of products per combination of the first ``n_keys`` columns, exactly.
+
+    A product has up to 80 bits. It is formed from halves of its factors and
+    kept in three parts of ``PART_BITS`` bits, whose sums over a task fit 64
+    bits. A task reports one row per combination, or several if it meets very
+    many combinations.
+    """
+    half = 20
+
+    def split(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        # x = x1 * 2^20 + x0; the low halves are never negative
+        x1, x0, y1, y0 = x >> half, x & LOW_HALF, y >> half, y & LOW_HALF
+        low, middle, high = x0 * y0, x1 * y0 + x0 * y1, x1 * y1
+        middle += low >> half
+        high += middle >> half
+        low = (low & LOW_HALF) | ((middle & LOW_HALF) << half)  # 40 bits
+        # 80 bits from the top: high, then low
+        mask = (1 << PART_BITS) - 1
+        second = (low >> PART_BITS) | ((high & ((1 << (2 * PART_BITS - 2 * half)) - 1)) << (2 * half - PART_BITS))
+        return [low & mask, second, high >> (2 * PART_BITS - 2 * half)]
+
+    def run(batches):
+        index: dict[tuple, int] = {}
+        totals = np.zeros((0, len(parts)), dtype=np.int64)
+
+        def report():
+            keys = [pa.array(column, pa.string()) for column in zip(*index)]
+            return pa.RecordBatch.from_arrays([*keys, *[pa.array(c) for c in totals[: len(index)].T]], [*CATEGORIES, *parts])
+
+        for batch in batches:
+            coded = [c.dictionary_encode() for c in batch.columns[:n_keys]]
+            number = np.zeros(len(batch), dtype=np.int64)
+            for c in coded:
+                number = number * max(len(c.dictionary), 1) + c.indices.to_numpy()
+            _, first, group = np.unique(number, return_index=True, return_inverse=True)
+            names = zip(*(c.dictionary.take(c.indices.take(pa.array(first))).to_pylist() for c in coded))
+            place = np.array([index.setdefault(key, len(index)) for key in names], dtype=np.int64)
+            if len(index) > len(totals):
+                totals = np.concatenate([totals, np.zeros((max(len(index), 2 * len(totals)) - len(totals), len(parts)), dtype=np.int64)])
+            order = np.argsort(group, kind="stable")
+            starts = np.searchsorted(group[order], np.arange(len(place)))
+            values = {name: batch.column(n_keys + i).to_numpy()[order] for i, name in enumerate(numbers)}
+            for i, (a, b) in enumerate(products):
+                for part, piece in enumerate(split(values[a], values[b])):
+                    if len(piece):
+                        totals[place, part * len(products) + i] += np.add.reduceat(piece, starts)
+            if len(index) > MOST_COMBINATIONS:
+                yield report()
+                index, totals = {}, np.zeros((0, len(parts)), dtype=np.int64)
+        if index:
+            yield report()
+
+    return run
+
+
 def gram_matrix(df: DataFrame) -> DataFrame:
     """f, l, g, m, total: the exact sum over all lines of the product of term
     (f, l) and term (g, m), in units of 1e-8.
@@ -136,22 +195,16 @@ def gram_matrix(df: DataFrame) -> DataFrame:
         F.month("order_date").cast("string").alias("month"),
     )
     products = list(combinations_with_replacement(numbers, 2))
-    sums = []
-    for a, b in products:
-        short = (F.abs(a) < 1 << 31) & (F.abs(b) < 1 << 31)
-        product = F.when(short, F.col(a) * F.col(b))
-        long = F.when(~short, F.col(a).cast("decimal(13,0)") * F.col(b).cast("decimal(13,0)"))
-        # sums of 21 bits do not overflow below 4e12 lines, and are cheaper than those of decimals
-        sums += [F.sum(product.bitwiseAND(LOW_BITS)).alias(f"0{a}*{b}"), F.sum(F.shiftright(product, 21).bitwiseAND(LOW_BITS)).alias(f"1{a}*{b}")]
-        sums += [F.sum(F.shiftright(product, 42)).alias(f"2{a}*{b}"), F.sum(long).alias(f"3{a}*{b}")]
-    cells = rows.groupBy(*CATEGORIES).agg(*sums)
+    parts = [f"{part}{a}*{b}" for part in range(3) for a, b in products]
+    schema = ", ".join([*[f"{c} string" for c in CATEGORIES], *[f"`{c}` bigint" for c in parts]])
+    added = rows.select(*CATEGORIES, *numbers).mapInArrow(_add_up(len(CATEGORIES), products, numbers, parts), schema)
+    cells = added.groupBy(*CATEGORIES).agg(*[F.sum(F.col(f"`{c}`").cast("decimal(24,0)")).alias(c) for c in parts])
 
     def entry(f: str, l, g: str, m, product: str):  # noqa: E741
         none = F.lit(None).cast("string")
         level = lambda c: none if c is None else F.col(c)
-        whole = [F.coalesce(F.col(f"`{i}{product}`"), F.lit(0)).cast("decimal(24,0)") for i in range(3)]
-        total = whole[0] + whole[1] * F.lit(1 << 21).cast("decimal(7,0)") + whole[2] * F.lit(1 << 42).cast("decimal(13,0)")
-        total = total.cast("decimal(37,0)") + F.coalesce(F.col(f"`3{product}`"), F.lit(0)).cast("decimal(37,0)")
+        whole = [F.col(f"`{i}{product}`").cast("decimal(24,0)") for i in range(3)]
+        total = sum((x * F.lit(1 << (PART_BITS * i)).cast("decimal(19,0)") for i, x in enumerate(whole) if i), whole[0].cast("decimal(37,0)"))
         return F.struct(F.lit(f).alias("f"), level(l).alias("l"), F.lit(g).alias("g"), level(m).alias("m"), total.alias("total"))
 
     entries = [entry(a, None, b, None, f"{a}*{b}") for a, b in products]
