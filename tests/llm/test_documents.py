@@ -359,6 +359,42 @@ def test_clean_latin_prose_is_kept_and_random_letters_are_not(spark):
     assert [i for i, r in found.items() if r.kept != (i < len(clean))] == []
 
 
+#: From the declaration of human rights, in scripts whose letters are mostly tokens of their own.
+CLEAN_SCRIPTS = {
+    "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства. Каждый человек должен обладать всеми правами и всеми свободами, провозглашенными настоящей Декларацией, без какого бы то ни было различия, как-то в отношении расы, цвета кожи, пола, языка, религии, политических или иных убеждений",
+    "uk": "Всі люди народжуються вільними і рівними у своїй гідності та правах. Вони наділені розумом і совістю і повинні діяти у відношенні один до одного в дусі братерства. Кожна людина повинна мати всі права і всі свободи, проголошені цією Декларацією, незалежно від раси, кольору шкіри, статі, мови, релігії, політичних або інших переконань",
+    "kk": "Барлық адамдар тумысынан азат және қадір-қасиеті мен құқықтары тең болып дүниеге келеді. Адамдарға ақыл-парасат, ар-ождан берілген, сондықтан олар бір-бірімен туыстық, бауырмалдық қарым-қатынас жасаулары тиіс. Әрбір адам нәсіліне, түсіне, жынысына, тіліне, дініне, саяси немесе басқа да нанымдарына қарамастан барлық құқықтар мен бостандықтарға ие болуға тиіс. Әрбір адам өмір сүруге, бостандыққа және жеке басының қауіпсіздігіне құқылы",
+    "mn": "Хүн бүр төрж мэндлэхэд эрх чөлөөтэй, адилхан нэр төртэй, ижил эрхтэй байдаг. Оюун ухаан, нандин чанар заяасан хүн гэгч өөр хоорондоо ахан дүүгийн үзэл санаагаар харьцах учиртай. Хүн бүр энэхүү тунхаглалд заасан бүх эрх, эрх чөлөөг ямар ч ялгаваргүйгээр эдлэх ёстой Хэн боловч амьд явах, эрх чөлөөтэй, халдашгүй дархан байх эрхтэй. Хэнийг ч боолчлон зарцлах, эрхийг нь боогдуулж болохгүй",
+    "el": "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα. Είναι προικισμένοι με λογική και συνείδηση, και οφείλουν να συμπεριφέρονται μεταξύ τους με πνεύμα αδελφοσύνης. Κάθε άνθρωπος δικαιούται να επικαλείται όλα τα δικαιώματα και όλες τις ελευθερίες που προκηρύσσει η παρούσα Διακήρυξη, χωρίς καμία απολύτως διάκριση, ειδικότερα ως προς τη φυλή, το χρώμα, το φύλο, τη γλώσσα, τις θρησκείες",
+    "ar": "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق. وقد وهبوا عقلا وضميرا وعليهم أن يعامل بعضهم بعضا بروح الإخاء. لكل إنسان حق التمتع بكافة الحقوق والحريات الواردة في هذا الإعلان، دون أي تمييز، كالتمييز بسبب العنصر أو اللون أو الجنس أو اللغة أو الدين أو الرأي السياسي أو أي رأي آخر، أو الأصل الوطني أو الاجتماعي",
+    "fa": "تمام افراد بشر آزاد به دنیا می‌آیند و از لحاظ حیثیت و حقوق با هم برابرند. همه دارای عقل و وجدان هستند و باید نسبت به یکدیگر با روح برادری رفتار کنند. هر کس می‌تواند بدون هیچگونه تمایز، مخصوصا از حیث نژاد، رنگ، جنس، زبان، مذهب، عقیده سیاسی یا هر عقیده دیگر از تمام حقوق و کلیه آزادی‌ها بهره‌مند گردد",
+    "he": "כל בני האדם נולדו בני חורין ושווים בערכם ובזכויותיהם. כולם חוננו בתבונה ובמצפון, לפיכך חובה עליהם לנהוג איש ברעהו ברוח של אחווה. כל אדם זכאי לזכויות ולחרויות שנקבעו בהכרזה זו ללא הפליה כלשהיא מטעמי גזע, צבע, מין, לשון, דת, דעה פוליטית או דעה בבעיות אחרות, בגלל מוצא לאומי או חברתי",
+    "hi": "सभी मनुष्यों को गौरव और अधिकारों के मामले में जन्मजात स्वतन्त्रता और समानता प्राप्त है। उन्हें बुद्धि और अन्तरात्मा की देन प्राप्त है और परस्पर उन्हें भाईचारे के भाव से बर्ताव करना चाहिए। सभी को इस घोषणा में सन्निहित सभी अधिकारों और आज़ादियों को प्राप्त करने का हक़ है और इस मामले में जाति, वर्ण, लिंग, भाषा, धर्म, राजनीति या अन्य विचार",
+}
+#: First and last letter of the random words of a script.
+ALPHABETS = {
+    "cyrillic": (0x0430, 0x044F), "greek": (0x03B1, 0x03C9), "arabic": (0x0641, 0x064A), "hebrew": (0x05D0, 0x05EA),
+    "devanagari": (0x0905, 0x0939), "thai": (0x0E01, 0x0E2E), "armenian": (0x0561, 0x0586), "georgian": (0x10D0, 0x10F0),
+}
+
+
+def test_clean_prose_of_other_scripts_is_kept_and_random_letters_are_not(spark):
+    rng = random.Random(11)
+    consonants, vowels = "bcdfghjklmnpqrstvwxyz", "aeiou"
+    noise = []
+    for n in (60, 120, 300):
+        for first, last in ALPHABETS.values():
+            letters = [chr(c) for c in range(first, last + 1)]
+            noise += [" ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(n)) for _ in range(8)]
+    for n in (150, 300):
+        noise += [" ".join("".join(rng.choice((consonants, vowels)[i % 2]) for i in range(rng.randint(3, 9))) for _ in range(n)) for _ in range(8)]
+    clean = list(CLEAN_SCRIPTS.values())
+    docs = spark.createDataFrame(list(enumerate(clean + noise)), "doc_id bigint, text string")
+    found = {r.doc_id: r for r in fertility.judge(docs).collect()}
+    assert not any(r.base_failed for r in found.values())
+    assert [i for i, r in found.items() if r.kept != (i < len(clean))] == []
+
+
 def test_kept_documents_agree_with_the_verdicts(documents):
     verdicts = Counter(r.doc_id for r in fertility.judge(documents).filter("kept").collect())
     kept = fertility.kept_documents(documents)
@@ -570,6 +606,7 @@ def test_fertility_measures_restated(spark):
         assert r.byte_share == pytest.approx(sum(3 <= i <= 258 for i in ids) / len(ids) if ids else 0.0)
         assert r.token_entropy == pytest.approx(entropy)
         least, most, most_bytes, least_entropy = fertility.BANDS[r.script]
+        assert r.script not in fertility.DOUBTFUL
         if r.script != "latin" or r.chars_per_token >= fertility.DOUBTFUL_PER_TOKEN:
             inside = least <= r.chars_per_token <= most and r.byte_share <= most_bytes and r.token_entropy >= least_entropy
             assert r.kept == (not r.base_failed and inside)
