@@ -72,6 +72,13 @@ def money(x: str, digits: int = 0) -> str:
     return f"('$' || format('{{:,.{digits}f}}', {dbl(x)}))"
 
 
+def cents(x: str) -> str:
+    """A sum of four decimals to two, half to even, in whole numbers."""
+    n = f"CAST(CAST({x} AS DECIMAL(24,4)) * 10000 AS HUGEINT)"
+    half = f"CASE WHEN abs({n} % 100) <> 50 THEN round({dbl(n)} / 100) ELSE {dbl(n + ' // 100')} + ({n} // 100 % 2) END"
+    return f"(({half}) / 100)"
+
+
 def big(x: str) -> str:
     return f"CAST({x} AS BIGINT)"
 
@@ -669,6 +676,68 @@ FROM (VALUES ('sales'), ('profit')) AS t(series)""",
     _months,
 )
 
+# Normal equations of both series over standardised features, solved by
+# elimination; then six months, each from the values before it.
+_FEATURES = ("t", "month", "lag_1", "lag_12", "ma_3")
+_features = ", ".join(_FEATURES)
+_forecast = f"""
+spine AS (SELECT CAST(unnest(generate_series(date_trunc('month', min(order_date)),
+  date_trunc('month', max(order_date)), INTERVAL 1 MONTH)) AS DATE) AS m FROM sv),
+mon AS (SELECT last_day(m) AS month_end, coalesce(sum(sales), 0) AS sales, coalesce(sum(profit), 0) AS profit
+  FROM spine LEFT JOIN sv ON date_trunc('month', order_date) = m GROUP BY m),
+long AS (SELECT 'sales' AS series, month_end, sales AS v FROM mon UNION ALL SELECT 'profit', month_end, profit FROM mon),
+feat AS (SELECT series, month_end, {dbl('v')} AS value, {dbl('row_number() OVER w - 1')} AS t, {dbl('month(month_end)')} AS month,
+    {dbl('coalesce(lag(v, 1) OVER w, first_value(v) OVER w)')} AS lag_1, {dbl('coalesce(lag(v, 12) OVER w, first_value(v) OVER w)')} AS lag_12,
+    CAST(sum(v) OVER w3 AS DOUBLE) / count(*) OVER w3 AS ma_3
+  FROM long WINDOW w AS (PARTITION BY series ORDER BY month_end), w3 AS (PARTITION BY series ORDER BY month_end ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
+entries AS (SELECT series, month_end, i, v FROM (SELECT series, month_end, unnest(range(1, 7)) AS i, unnest([{_features}, value]) AS v FROM feat)),
+spread AS (SELECT series, i, avg(v) AS mean, stddev_pop(v) AS sd FROM entries GROUP BY 1, 2),
+std AS (SELECT series, month_end, i, (v - mean) / sd AS z FROM entries JOIN spread USING (series, i)),
+start AS (SELECT series, list(own ORDER BY i) AS m FROM (
+  SELECT series, i, list(s ORDER BY j) AS own FROM (
+    SELECT a.series, a.i, b.i AS j, sum(a.z * b.z) AS s FROM std a JOIN std b USING (series, month_end) WHERE a.i < 6 GROUP BY 1, 2, 3)
+  GROUP BY 1, 2) GROUP BY series),
+steps AS (SELECT series, 0::BIGINT AS k, m FROM start
+  UNION ALL
+  SELECT series, k + 1, list_transform(m, lambda own, i: CASE WHEN i = k + 1 THEN list_transform(own, lambda v: v / own[k + 1])
+    ELSE list_transform(own, lambda v, j: v - own[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END)
+  FROM steps WHERE k < 5),
+weighted AS (SELECT p.series, p.i, s.m[p.i][6] * y.sd / p.sd AS w, p.mean FROM steps s JOIN spread p ON p.series = s.series AND p.i < 6
+  JOIN spread y ON y.series = s.series AND y.i = 6 WHERE s.k = 5),
+fit AS (SELECT w.series, list(w ORDER BY w.i) AS c, any_value(y.mean) - sum(w * w.mean) AS intercept, any_value(y.sd) AS sd
+  FROM weighted w JOIN spread y ON y.series = w.series AND y.i = 6 GROUP BY w.series),
+known AS (SELECT series, list(value ORDER BY month_end) AS past, count(*) AS months, avg(value) AS mean, max(month_end) AS final FROM feat GROUP BY series),
+walk AS (SELECT series, 0::BIGINT AS i, []::DOUBLE[] AS done FROM known
+  UNION ALL
+  SELECT series, i + 1, list_append(done, round_even(intercept + c[1] * (months + i) + c[2] * month(final + to_months(CAST(i + 1 AS INTEGER)))
+    + c[3] * latest[-1] + c[4] * coalesce(past[months - 11 + i], mean) + c[5] * (list_sum(latest[-3:]) / len(latest[-3:])), 2))
+  FROM (SELECT *, CASE WHEN len(done) > 0 THEN done ELSE past END AS latest FROM walk JOIN known USING (series) JOIN fit USING (series)) WHERE i < 6),
+future AS (SELECT last_day(final + to_months(CAST(i AS INTEGER))) AS month_end, max(done[i]) FILTER (WHERE series = 'sales') AS sales,
+    max(done[i]) FILTER (WHERE series = 'profit') AS profit
+  FROM (SELECT series, done, unnest(range(1, 7)) AS i FROM walk WHERE i = 6) JOIN known USING (series) GROUP BY 1)"""
+
+
+def over_forecast(select: str) -> str:
+    return "WITH RECURSIVE " + VIEW_SQL.strip() + "," + _forecast + "\n" + select
+
+
+SQL["forecast"] = over_forecast(
+    f"""SELECT strftime(month_end, '%Y-%m-%d') AS date, strftime(month_end, '%b %Y') AS date_label, {cents('sales')} AS sales,
+  {money('sales')} AS sales_fmt, {cents('profit')} AS profit, {money('profit')} AS profit_fmt, false AS is_forecast FROM mon
+UNION ALL SELECT strftime(month_end, '%Y-%m-%d'), strftime(month_end, '%b %Y'), sales, {money('sales')}, profit, {money('profit')}, true FROM future"""
+)
+SQL["forecast_metrics"] = over_forecast(
+    f"""SELECT series, total_months, 6 AS forecast_months, round_even(mae, 2) AS mae, {money('mae')} AS mae_fmt, round_even(rmse, 2) AS rmse,
+  {money('rmse')} AS rmse_fmt, round_even(mape, 1) AS mape, format('{{:.1f}}', mape) || '%' AS mape_pct, round_even(r2, 3) AS r2,
+  format('{{:.1f}}', r2 * 100) || '%' AS r2_pct, round_even(c[1], 2) AS coef_t, round_even(c[2], 2) AS coef_month,
+  round_even(c[3], 4) AS coef_lag_1, round_even(c[4], 4) AS coef_lag_12, round_even(c[5], 4) AS coef_ma_3
+FROM (SELECT series, count(*) AS total_months, avg(abs(miss)) AS mae, sqrt(avg(miss * miss)) AS rmse,
+    avg(abs(miss) / CASE WHEN abs(value) > 0.01 THEN abs(value) ELSE 1 END) * 100 AS mape,
+    1 - sum(miss * miss) / (count(*) * any_value(sd) * any_value(sd)) AS r2, any_value(c) AS c
+  FROM (SELECT *, value - (intercept + c[1] * t + c[2] * month + c[3] * lag_1 + c[4] * lag_12 + c[5] * ma_3) AS miss FROM feat JOIN fit USING (series))
+  GROUP BY series)"""
+)
+
 _terms = " UNION ALL ".join(
     f"SELECT '{c}' AS feature, CAST(NULL AS VARCHAR) AS level, count(*) AS lines FROM sv" for c in ("sales", "discount", "quantity")
 ) + " UNION ALL " + " UNION ALL ".join(
@@ -741,6 +810,81 @@ SQL["sheet_top_customers"] = over_view(
 FROM cust ORDER BY r DESC, customer_name, segment LIMIT 10""",
     _customers,
 )
+
+
+def _sheet(name: str, select: str, *ctes: str) -> None:
+    SQL["sheet_" + name] = over_view(select, *ctes)
+
+
+def _sheet_sums(*keys: str, k: int | None = None) -> str:
+    names = ", ".join(keys)
+    return f"SELECT {names}, {cents('sum(sales)')} AS sales FROM sv GROUP BY {names} ORDER BY sum(sales) DESC, {names}" + (f" LIMIT {k}" if k else "")
+
+
+_sheet(
+    "overview_top_products",
+    f"""SELECT product_name AS name, category, {cents('sum(sales)')} AS revenue, {cents('sum(profit)')} AS profit,
+  {pct0('sum(profit)', 'sum(sales)')} AS margin FROM sv GROUP BY 1, 2 ORDER BY sum(sales) DESC, 1, 2 LIMIT 5""",
+)
+_sheet(
+    "overview_pareto",
+    f"""SELECT position, member AS product_name, {cents('revenue')} AS revenue, round_even(cum_pct, 1) AS cum_pct,
+  round_even(pos_pct, 1) AS product_pct FROM pts ORDER BY position LIMIT 20""",
+    _curve("product_name"),
+)
+_sheet(
+    "overview_monthly",
+    f"SELECT strftime(month_end, '%Y-%m') AS month, {cents('sales')} AS sales, round_even(mom, 1) AS mom_pct FROM chg",
+    _months,
+    _lagged,
+)
+_sheet(
+    "sales_top_products",
+    """SELECT row_number() OVER (ORDER BY sales DESC, product_name, category, sub_category) AS rank, * FROM best""",
+    f"""best AS (SELECT product_name, category, sub_category, {cents('sum(sales)')} AS sales, {cents('sum(profit)')} AS profit,
+  {pct('sum(profit)', 'sum(sales)')} AS margin FROM sv GROUP BY 1, 2, 3 ORDER BY sum(sales) DESC, 1, 2, 3 LIMIT 10)""",
+)
+_sheet("sales_by_category", _sheet_sums("category"))
+_sheet("sales_by_region", _sheet_sums("region"))
+_sheet("sales_monthly", f"SELECT strftime(month_end, '%Y-%m') AS month, {cents('sales')} AS sales FROM mon", _months)
+_sheet("sales_by_subcategory", _sheet_sums("sub_category", k=15))
+_sheet("sales_by_city", _sheet_sums("state", "city", k=15))
+_sheet(
+    "profitability_discount_tiers",
+    f"""SELECT tier, count(sales) AS transactions, {cents('coalesce(sum(profit), 0)')} AS profit
+FROM (VALUES (1, 'Sin desc.'), (2, '≤2%'), (3, '≤5%'), (4, '>5%')) AS t(ordinal, tier)
+LEFT JOIN sv ON ordinal = CASE WHEN discount = 0 THEN 1 WHEN discount <= 0.02 THEN 2 WHEN discount <= 0.05 THEN 3 ELSE 4 END
+GROUP BY ordinal, tier""",
+)
+_sheet(
+    "profitability_discount_loss",
+    f"""SELECT 'Perdida desc. agresivos' AS indicator, {cents('coalesce(sum(profit) FILTER (WHERE discount > 0.05), 0)')} AS value FROM sv
+UNION ALL SELECT '% transacciones >50% desc.', {pct0('count(*) FILTER (WHERE discount > 0.05)', 'count(*)')} FROM sv""",
+)
+_sheet("profitability_region_category", f"SELECT region, category, {cents('sum(profit)')} AS profit FROM sv GROUP BY 1, 2")
+_sheet(
+    "customers_segments",
+    f"""SELECT segment, customers, {cents('r')} AS revenue, orders, round_even({ratio('r', 'orders')}, 2) AS avg_order,
+  {pct0('p', 'r')} AS margin, {pct('d', 'dn')} AS avg_discount_pct FROM s""",
+    """s AS (SELECT segment, count(DISTINCT customer_name) AS customers, count(DISTINCT order_id) AS orders,
+  sum(sales) AS r, sum(profit) AS p, sum(discount) AS d, count(discount) AS dn FROM sv GROUP BY segment)""",
+)
+SQL["sheet_customers_frequency"] = f"SELECT orders_range, customers FROM ({_frequency(2_000_000_000)})"
+_sheet(
+    "shipping_general",
+    f"""SELECT 'Dias de entrega promedio' AS indicator, round_even({_mean_days}, 1) AS value FROM sv
+UNION ALL SELECT '% a tiempo (≤5 dias)', {_share} FROM sv
+UNION ALL SELECT 'Total ordenes enviadas', {dbl('count(days)')} FROM sv""",
+)
+_sheet(
+    "shipping_by_region",
+    f"SELECT region, round_even({_mean_days}, 1) AS avg_days, {_share} AS on_time_pct, count(days) AS orders FROM sv GROUP BY 1",
+)
+_sheet(
+    "shipping_by_mode",
+    f"""SELECT ship_mode, count(DISTINCT order_id) AS orders, {cents('sum(sales)')} AS revenue, {cents('sum(profit)')} AS profit,
+  {pct('sum(profit)', 'sum(sales)')} AS margin FROM sv GROUP BY 1""",
+)
 SQL["scd2_current"] = f"SELECT * FROM ({SQL['scd2_apply_expiring']}) WHERE current_flag = 'Y'"
 SQL["scd2_next_key"] = f"WITH {_history} SELECT max(customer_sk) + 1 AS next_sk FROM cur"
 SQL["star_join_stored"] = SQL["star_join"]

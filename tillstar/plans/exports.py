@@ -48,8 +48,12 @@ def _ranked(df: DataFrame, by: str, *ties: str) -> DataFrame:
     return df.select(place.alias("rank"), "*")
 
 
-def sheets(source, module: str, within: Slice = Slice()) -> dict[str, DataFrame]:
-    """Sheet name -> frame for one report module."""
+def sheets(source, module: str, within: Slice = Slice(), cuts=n.DISCOUNT_CUTS, labels=n.TIER_LABELS, threshold: float = 0.5) -> dict[str, DataFrame]:
+    """Sheet name -> frame for one report module.
+
+    ``cuts`` and ``labels`` are the discount tiers, ``threshold`` the discount
+    above which a line counts as a loss by discount.
+    """
 
     def run(function, **options):
         return compute(function, source, within, **options)
@@ -98,11 +102,11 @@ def sheets(source, module: str, within: Slice = Slice()) -> dict[str, DataFrame]
 
     def profitability_sheets():
         return {
-            "discount_tiers": _cents("profit")(run(profitability.discount_tiers)).select(
+            "discount_tiers": _cents("profit")(run(profitability.discount_tiers, cuts=cuts, labels=labels)).select(
                 "tier", "transactions", "profit"
             ),
             "discount_loss": _indicators(
-                _cents("discount_loss")(run(profitability.discount_loss)),
+                _cents("discount_loss")(run(profitability.discount_loss, threshold=threshold)),
                 {"discount_loss": "Perdida desc. agresivos", "discount_pct": "% transacciones >50% desc."},
             ),
             "region_category": _cents("profit")(run(profitability.by_region_category)),
@@ -145,10 +149,10 @@ def sheets(source, module: str, within: Slice = Slice()) -> dict[str, DataFrame]
     return modules[module]()
 
 
-def export_module(source, module: str, folder: str, within: Slice = Slice(), fmt: str = "csv") -> list[str]:
-    """Write each sheet of a module under ``folder/module/sheet``."""
+def export_module(source, module: str, folder: str, within: Slice = Slice(), fmt: str = "csv", **options) -> list[str]:
+    """Write each sheet of a module under ``folder/module/sheet``; ``options`` are those of ``sheets``."""
     written = []
-    for name, df in sheets(source, module, within).items():
+    for name, df in sheets(source, module, within, **options).items():
         path = f"{folder.rstrip('/')}/{module}/{name}"
         df.write.mode("overwrite").format(fmt).options(**({"header": True} if fmt == "csv" else {})).save(path)
         written.append(path)

@@ -317,8 +317,17 @@ def _unknown(function) -> Query:
     return lambda src: compute(function, _WithNulls(src))
 
 
+SHEETS = {
+    "overview": ("top_products", "pareto", "monthly"),
+    "sales": ("top_products", "by_category", "by_region", "monthly", "by_subcategory", "by_city"),
+    "profitability": ("discount_tiers", "discount_loss", "region_category"),
+    "customers": ("segments", "frequency"),
+    "shipping": ("general", "by_region", "by_mode"),
+}
+
+
 def _sheet(module: str, name: str) -> Query:
-    return lambda src: exports.sheets(src, module)[name]
+    return lambda src: exports.sheets(src, module, cuts=CUTS, labels=TIERS, threshold=HIGH_DISCOUNT)[name]
 
 
 def _current_versions(src: ParquetTables) -> DataFrame:
@@ -357,6 +366,7 @@ QUERIES: dict[str, Query] = {
     "unknown_rfm_base": _unknown(segments.rfm_base),
     "sheet_kpis": _sheet("overview", "kpis"),
     "sheet_top_customers": _sheet("customers", "top_customers"),
+    **{f"sheet_{module}_{name}": _sheet(module, name) for module, names in SHEETS.items() for name in names},
     # headline figures
     "kpis": overview.headline,
     "kpi_yoy": overview.year_on_year,
