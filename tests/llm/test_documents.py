@@ -132,6 +132,37 @@ def test_links_across_chunks(spark, monkeypatch):
     assert {(r.class_id, r.n_links) for r in rows} == {(0, 29)}
 
 
+def test_pages_of_a_template_are_no_candidates(spark, monkeypatch):
+    rng = random.Random(12)
+    frame = [f"t{i}" for i in range(60)]
+    texts = [" ".join(frame + [f"w{rng.randint(0, 99999)}" for _ in range(70)]) for _ in range(1500)]
+    texts += [f"{texts[i]} tail" for i in range(0, 1500, 50)]
+    sizes = []
+    verified = jaccard_forest.verified
+    monkeypatch.setattr(jaccard_forest, "RUN_ROWS", 64)  # runs of more than one chunk
+    monkeypatch.setattr(
+        jaccard_forest, "verified",
+        lambda docs, classes, blocks: (sizes.extend(r["count"] for r in blocks.groupBy("component").count().collect()), verified(docs, classes, blocks))[1],
+    )
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_forest.similar_documents(docs).collect()}
+    near = set(range(0, 1500, 50))
+    assert found == {i: (i, int(i in near)) for i in range(1500)} | {1500 + k: (50 * k, 1) for k in range(30)}
+    assert sum(n * (n - 1) // 2 for n in sizes) < len(texts) and max(sizes) < 10
+
+
+def test_rows_hang_together_by_sketches():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, (5, 72), dtype=np.uint8)
+    coded = base[[0, 0, 1, 0, 2, 2, 3, 3, 0, 4, 4]].copy()
+    coded[3, :20] ^= 0x11  # 0.72 of the hashes agree
+    group = np.array([0, 0, 0, 0, 1, 1, 2, 2, 2, 3, 3])
+    own = np.array([0, 0, 0, 0, 0, 1, 0, 0, 1, 0, 0])
+    split = group >= 1
+    root = jaccard_forest.alike(group, own, split, coded)
+    assert root.tolist() == [0, 0, 2, 0, 4, 4, 6, 7, 8, 9, 10]
+
+
 # 4 token files
 
 

@@ -5,9 +5,10 @@ number of trees. A tree is its labels in sorted order: a prefix trie in which
 neighbours share a prefix, and every set that shares the first k hashes of a
 label lies in one unbroken run. One sort therefore serves all prefix lengths.
 The matched prefix is shortened, one hash at a time, until the recall expected
-for the similar pairs seen in the corpus reaches the target. What hangs
-together by such prefixes is a block, and all pairs of a block are verified on
-the exact shingle sets.
+for the similar pairs seen in the corpus reaches the target. Sets that share a
+prefix are compared by sketches, four bits of each hash; what hangs together by
+sketches that agree is a block, and all pairs of a block are verified on the
+exact shingle sets.
 """
 
 from __future__ import annotations
@@ -29,6 +30,12 @@ WORDS, THRESHOLD = 5, Fraction(4, 5)
 #: Trees, hashes of a label, the shortest prefix matched, and the recall to be expected.
 TREES, DEPTH, SHORTEST, TARGET_RECALL = 24, 6, 3, 0.99999
 SEED = 20_240_617
+#: Bits of each hash that a sketch keeps, and the least share of them to agree.
+#: At the threshold 0.8125 agree on average, with a deviation of 0.033: a linked
+#: pair stays below with a chance of 1e-8, one of similarity 0.3 is above with 1e-11.
+SKETCH_BITS, SKETCH_AGREES = 4, 0.625
+#: Rows of a run compared at once.
+RUN_ROWS = 2048
 #: Rows and shingles of one chunk of a block, and text bytes hashed at once.
 CHUNK_ROWS, CHUNK_SHINGLES, SLICE_BYTES = 2048, 1 << 19, 8 << 20
 #: Columns of the incidence matrix multiplied at once.
@@ -51,10 +58,33 @@ def signature(shingles: np.ndarray, family: tuple[np.ndarray, np.ndarray]) -> np
     return (least >> np.uint64(32)).astype(">u4")
 
 
+def sketch(signature: np.ndarray) -> bytes:
+    """The lowest ``SKETCH_BITS`` bits of each hash, two hashes a byte."""
+    low = (signature & ((1 << SKETCH_BITS) - 1)).astype(np.uint8)
+    return (low[0::2] << SKETCH_BITS | low[1::2]).tobytes()
+
+
+def agreement(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Share of hashes whose bits agree, for rows of sketches."""
+    both = first ^ second
+    low = (1 << SKETCH_BITS) - 1
+    equal = (both & low == 0).sum(axis=1) + (both >> SKETCH_BITS == 0).sum(axis=1)
+    return equal / (2 * first.shape[1])
+
+
+def sketches(column: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1)
+
+
 def sign_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, mark (a hash of the text), key, n_shingles, signature of each
-    document; nulls where there is no word."""
-    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("key", pa.binary()), ("n_shingles", pa.int64()), ("signature", pa.binary())])
+    """doc_id, mark (a hash of the text), key, n_shingles, signature and sketch of
+    each document; nulls where there is no word."""
+    schema = pa.schema(
+        [
+            ("doc_id", pa.int64()), ("mark", pa.int64()), ("key", pa.binary()), ("n_shingles", pa.int64()),
+            ("signature", pa.binary()), ("sketch", pa.binary()),
+        ]
+    )
 
     def run(batches):
         family = hash_family()
@@ -63,46 +93,50 @@ def sign_documents(docs: DataFrame) -> DataFrame:
             for a, b in slices_by_bytes(texts, SLICE_BYTES):
                 sets = shingle_sets(texts.slice(a, b - a), WORDS)
                 keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                signatures = [signature(s, family).tobytes() if len(s) else None for s in sets]
+                signatures = [signature(s, family) if len(s) else None for s in sets]
                 sizes = pa.array([len(s) for s in sets], pa.int64())
                 known = [c.slice(a, b - a) for c in batch.columns[:2]]
-                yield pa.RecordBatch.from_arrays([*known, pa.array(keys, pa.binary()), sizes, pa.array(signatures, pa.binary())], schema=schema)
+                coded = [None if s is None else s.tobytes() for s in signatures], [None if s is None else sketch(s) for s in signatures]
+                yield pa.RecordBatch.from_arrays([*known, pa.array(keys, pa.binary()), sizes, *[pa.array(c, pa.binary()) for c in coded]], schema=schema)
 
     return docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("mark"), "text").mapInArrow(
-        run, "doc_id bigint, mark bigint, key binary, n_shingles bigint, signature binary"
+        run, "doc_id bigint, mark bigint, key binary, n_shingles bigint, signature binary, sketch binary"
     )
 
 
 def trie_neighbours(classes: DataFrame) -> DataFrame:
-    """u, v, shared, estimate: neighbours in the sorted labels of each tree.
+    """u, v, shared, estimate, tree, label: neighbours in the sorted labels of each tree.
 
     ``shared`` is the number of leading hashes they have in common, at least
-    ``SHORTEST``; ``estimate``, for the first tree only, the share of all
-    hashes on which they agree. Runs that cross the border of two partitions
+    ``SHORTEST``; ``estimate``, for the first tree only, the similarity that
+    their sketches tell; ``label`` that of ``u``. Runs that cross the border of two partitions
     are joined by the last label of the one and the first of the next.
     """
     width = 4 * DEPTH
     labels = (
-        classes.select("id", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+        classes.select("id", "signature", "sketch", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
         .withColumn("label", F.expr(f"substring(signature, tree * {width} + 1, {width})"))
-        .select("tree", "label", "id", F.when(F.col("tree") == 0, F.col("signature")).alias("signature"))
+        .select("tree", "label", "id", F.when(F.col("tree") == 0, F.col("sketch")).alias("sketch"))
     )
     in_order = labels.repartitionByRange("tree", "label", "id").sortWithinPartitions("tree", "label", "id")
     names = ["u", "v", "shared", "estimate", "tree", "label", "last"]
 
-    def neighbours(trees, ids, matrix, signatures):
+    chance = 1 / (1 << SKETCH_BITS)
+
+    def neighbours(trees, ids, labels, coded):
+        matrix = np.frombuffer(b"".join(labels), ">u4").reshape(len(labels), DEPTH)
         same = matrix[1:] == matrix[:-1]
         shared = np.cumprod(same, axis=1).sum(axis=1) * (trees[1:] == trees[:-1])
         at = np.flatnonzero(shared >= SHORTEST)
-        estimates = [
-            float((np.frombuffer(signatures[i], ">u4") == np.frombuffer(signatures[i + 1], ">u4")).mean()) if trees[i] == 0 else None
-            for i in at.tolist()
-        ]
-        none = [None] * len(at)
+        first = at[trees[at] == 0]
+        estimates = np.full(len(at), np.nan)
+        if len(first):
+            agree = agreement(sketches([coded[i] for i in first.tolist()]), sketches([coded[i + 1] for i in first.tolist()]))
+            estimates[trees[at] == 0] = (agree - chance) / (1 - chance)
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(ids[at]), pa.array(ids[at + 1]), pa.array(shared[at], pa.int32()), pa.array(estimates, pa.float64()),
-                pa.array(none, pa.int32()), pa.array(none, pa.binary()), pa.array(none, pa.bool_()),
+                pa.array(ids[at]), pa.array(ids[at + 1]), pa.array(shared[at], pa.int32()), pa.array(estimates, from_pandas=True),
+                pa.array(trees[at], pa.int32()), pa.array([labels[i] for i in at.tolist()], pa.binary()), pa.nulls(len(at), pa.bool_()),
             ], names
         )
 
@@ -117,15 +151,14 @@ def trie_neighbours(classes: DataFrame) -> DataFrame:
             if not len(batch):
                 continue
             trees, ids = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            labels, signatures = batch.column(1).to_pylist(), batch.column(3).to_pylist()
+            labels, coded = batch.column(1).to_pylist(), batch.column(3).to_pylist()
             if held is None:
                 yield border(int(trees[0]), labels[0], int(ids[0]), False)
             else:
                 trees, ids = np.concatenate([held[0], trees]), np.concatenate([held[1], ids])
-                labels, signatures = held[2] + labels, held[3] + signatures
-            matrix = np.frombuffer(b"".join(labels), ">u4").reshape(len(labels), DEPTH)
-            yield neighbours(trees, ids, matrix, signatures)
-            held = trees[-1:], ids[-1:], labels[-1:], signatures[-1:]
+                labels, coded = held[2] + labels, held[3] + coded
+            yield neighbours(trees, ids, labels, coded)
+            held = trees[-1:], ids[-1:], labels[-1:], coded[-1:]
         if held is not None:
             yield border(int(held[0][0]), held[2][0], int(held[1][0]), True)
 
@@ -134,7 +167,7 @@ def trie_neighbours(classes: DataFrame) -> DataFrame:
 
 
 def stitched(neighbours: DataFrame) -> DataFrame:
-    """u, v, shared for runs that go on in the next partition; two rows per
+    """u, v, shared, tree, label for runs that go on in the next partition; two rows per
     partition reach the driver."""
     borders = sorted(
         (r.tree, bytes(r.label), r.u, r.last) for r in neighbours.filter("last is not null").select("tree", "label", "u", "last").collect()
@@ -144,8 +177,8 @@ def stitched(neighbours: DataFrame) -> DataFrame:
         if tree == next_tree and u != v:
             shared = next((i for i in range(DEPTH) if label[4 * i : 4 * i + 4] != next_label[4 * i : 4 * i + 4]), DEPTH)
             if shared >= SHORTEST:
-                found.append((u, v, shared))
-    return neighbours.sparkSession.createDataFrame(found, "u bigint, v bigint, shared int")
+                found.append((u, v, shared, tree, label))
+    return neighbours.sparkSession.createDataFrame(found, "u bigint, v bigint, shared int, tree int, label binary")
 
 
 def recall(similarity, prefix: int):
@@ -179,6 +212,85 @@ def matched_prefix(neighbours: DataFrame, target: float = TARGET_RECALL) -> int:
     return prefix
 
 
+def unite(root: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+    """Give the positions of each pair the same ``root``, the lowest position they reach."""
+    while True:
+        a, b = root[left], root[right]
+        apart = a != b
+        if not apart.any():
+            return
+        left, right, a, b = left[apart], right[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(root, root[root]):
+            root[:] = root[root]
+
+
+def alike(group: np.ndarray, own: np.ndarray, split: np.ndarray, coded: np.ndarray) -> np.ndarray:
+    """For each row the position of a row it hangs together with, by sketches.
+
+    Rows of a group stand side by side; ``split`` tells that the group compares
+    two chunks, so that only rows of different ``own`` meet. All rows are
+    compared with the one a step further, then two steps, until groups end;
+    those already together are passed over.
+    """
+    root = np.arange(len(group))
+    at, step = root, 1
+    while True:
+        at = at[at + step < len(group)]
+        at = at[group[at + step] == group[at]]
+        if not len(at):
+            return root
+        meet = at[(root[at] != root[at + step]) & (~split[at] | (own[at] != own[at + step]))]
+        for a in range(0, len(meet), 1 << 16):
+            some = meet[a : a + (1 << 16)]
+            some = some[agreement(coded[some], coded[some + step]) >= SKETCH_AGREES]
+            unite(root, some, some + step)
+        step += 1
+
+
+def candidate_edges(classes: DataFrame, pairs: DataFrame, prefix: int) -> DataFrame:
+    """u, v: sets that hang together within a run, a run being the sets that
+    share the first ``prefix`` hashes of a label.
+
+    Long runs are dealt into chunks and compared chunk by chunk. A run reports
+    one row per set, not its pairs.
+    """
+    run = F.xxhash64("tree", F.substring("label", 1, 4 * prefix)).alias("run")
+    near = pairs.filter(F.col("shared") >= prefix)
+    members = near.select(run, F.explode(F.array("u", "v")).alias("id")).distinct()
+    dealt = pair_up(deal(members.withColumn("_one", F.lit(1)), ["run"], "id", "_one", RUN_ROWS, RUN_ROWS).drop("_one"))
+    rows = dealt.join(classes.select("id", "sketch"), "id").select("run", "a", "b", "own", "id", "sketch")
+    keys = ["run", "a", "b"]
+
+    def compare(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            group = group_of(table)
+            # the last group may go on in the next batch
+            end = int(np.searchsorted(group, group[-1])) if len(group) else 0
+            if end:
+                yield edges_of(table.slice(0, end), group[:end])
+            held = table.slice(end)
+        if held is not None and len(held):
+            yield edges_of(held, group_of(held))
+
+    def group_of(table):
+        change = np.zeros(len(table), dtype=bool)
+        for name in keys:
+            values = table.column(name).to_numpy()
+            change[1:] |= values[1:] != values[:-1]
+        return np.cumsum(change)
+
+    def edges_of(table, group):
+        a, b, own, ids = (table.column(name).to_numpy() for name in ("a", "b", "own", "id"))
+        root = alike(group, own, a != b, sketches(table.column("sketch").to_pylist()))
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[root[moved]])], ["u", "v"])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "own", "id").mapInArrow(compare, "u bigint, v bigint")
+
+
 def linked_pairs(left: list[np.ndarray], right: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
     """Positions (i, j) of the sets with an exact similarity of at least the threshold.
 
@@ -264,18 +376,18 @@ def linked_documents(docs: DataFrame, target: float = TARGET_RECALL) -> DataFram
         .groupBy("key")
         .agg(
             F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("size"), F.first("n_shingles").alias("n_shingles"),
-            F.first("signature").alias("signature"),
+            F.first("signature").alias("signature"), F.first("sketch").alias("sketch"),
         )
         .withColumn("id", F.monotonically_increasing_id()),
         "classes",
     )
     documents = settle(signed.select("doc_id", "mark", "key", "n_shingles"), "documents")
     discard(signed)
-    neighbours = settle(trie_neighbours(classes.select("id", "signature")), "neighbours")
+    neighbours = settle(trie_neighbours(classes.select("id", "signature", "sketch")), "neighbours")
     prefix = matched_prefix(neighbours, target)
-    pairs = neighbours.filter("v is not null").select("u", "v", "shared").unionByName(stitched(neighbours))
-    blocks = components(pairs.filter(F.col("shared") >= prefix).select("u", "v"))
-    links = settle(verified(docs, classes.drop("signature"), blocks), "links")
+    pairs = neighbours.filter("v is not null").select("u", "v", "shared", "tree", "label").unionByName(stitched(neighbours))
+    blocks = components(candidate_edges(classes, pairs, prefix))
+    links = settle(verified(docs, classes.drop("signature", "sketch"), blocks), "links")
     counted = links.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(links.select(F.col("id").alias("u"), F.col("root").alias("v")))
     judged = settle(
