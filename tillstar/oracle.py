@@ -472,21 +472,29 @@ SQL["fact_build"] = over_view(
     _dims,
 )
 _early = "SELECT o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01'"
-_late = "SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' AND o_custkey % 7 <> 0"
-_history = f"""cur AS (SELECT row_number() OVER (ORDER BY c_custkey) AS customer_sk, c_custkey AS customer_id,
+_late = "SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01'"
+
+
+def _histories(late: str) -> str:
+    """The customers of the first load, those of the next batch and the changes between them."""
+    return f"""cur AS (SELECT row_number() OVER (ORDER BY c_custkey) AS customer_sk, c_custkey AS customer_id,
   c_name AS customer_name, c_mktsegment AS segment FROM customer WHERE c_custkey IN ({_early})),
 inc AS (SELECT c_custkey AS customer_id, c_name AS customer_name,
-  CASE WHEN c_acctbal < 0 THEN 'ARREARS' ELSE c_mktsegment END AS segment FROM customer WHERE c_custkey IN ({_late})),
+  CASE WHEN c_acctbal < 0 THEN 'ARREARS' ELSE c_mktsegment END AS segment FROM customer WHERE c_custkey IN ({late})),
 chg AS (SELECT customer_id, inc.customer_name, inc.segment, CASE WHEN cur.customer_sk IS NULL THEN 'new'
   WHEN inc.customer_name IS NULL THEN 'missing' WHEN cur.customer_name IS DISTINCT FROM inc.customer_name
   OR cur.segment IS DISTINCT FROM inc.segment THEN 'changed' ELSE 'unchanged' END AS status
   FROM inc FULL JOIN cur USING (customer_id))"""
+
+
+_history = _histories(f"{_late} AND o_custkey % 7 <> 0")
+_whole_history = _histories(_late)
 SQL["fact_unknown_keys"] = over_view(
     f"""SELECT coalesce(customer_sk, -1) AS customer_sk, count(*) AS lines, {dbl('sum(sales)')} AS sales
 FROM sv LEFT JOIN cur USING (customer_id) GROUP BY 1""",
     _history,
 )
-SQL["scd2_changes"] = f"WITH {_history} SELECT customer_id, status, customer_name, segment FROM chg"
+SQL["scd2_changes"] = f"WITH {_whole_history} SELECT customer_id, status, customer_name, segment FROM chg"
 SQL["scd2_deletes"] = f"WITH {_history} SELECT customer_id FROM cur WHERE customer_id NOT IN (SELECT customer_id FROM inc)"
 
 

@@ -41,7 +41,7 @@ HIGH_DISCOUNT = 0.05
 SLICE = Slice("EUROPE", 1997, "BUILDING")
 ALERT_REGION, ALERT_CATEGORY = "ASIA", "PROMO"
 CUT = dt.date(1997, 1, 1)  # orders before it make the first load, the others the next batch
-GONE_EVERY = 7  # customers whose key it divides are not in the next batch
+GONE_EVERY = 7  # customers whose key it divides are not in the thinned batch
 LOADED_ON, RUN_DATE = dt.date(1995, 1, 1), dt.date(2021, 6, 1)
 
 Query = Callable[[ParquetTables], DataFrame]
@@ -83,14 +83,19 @@ def _first_customers(src: ParquetTables) -> DataFrame:
 
 
 def _last_customers(src: ParquetTables) -> DataFrame:
-    """The next batch: buyers since 1997 but every seventh, those in debt moved to another segment."""
-    return _buyers(src, F.col("day") >= F.lit(CUT)).filter(F.col("c_custkey") % GONE_EVERY != 0).select(
+    """The next batch: all buyers since 1997, those in debt moved to another segment."""
+    return _buyers(src, F.col("day") >= F.lit(CUT)).select(
         F.col("c_custkey").alias("customer_id"),
         F.col("c_name").alias("customer_name"),
         F.when(F.col("c_acctbal") < 0, "ARREARS").otherwise(F.col("c_mktsegment")).alias("segment"),
     )
 
 
+def _thinned_customers(src: ParquetTables) -> DataFrame:
+    """The next batch without every seventh customer, so that some have vanished at every scale."""
+    return _last_customers(src).filter(F.col("customer_id") % GONE_EVERY != 0)
+
+
 def _orphans(src: ParquetTables) -> DataFrame:
     """All order lines against dimensions that hold the first load only."""
 
@@ -196,7 +201,7 @@ def _reconciled(src: ParquetTables) -> DataFrame:
 def _versions(expire_missing: bool) -> Query:
     def run(src: ParquetTables) -> DataFrame:
         dim = _first_customers(src)
-        return w.next_versions(dim, _last_customers(src), "customer", RUN_DATE, expire_missing)
+        return w.next_versions(dim, _thinned_customers(src), "customer", RUN_DATE, expire_missing)
 
     return run
 
@@ -207,7 +212,7 @@ def _bucket_versions(expire_missing: bool) -> Query:
     def run(src: ParquetTables) -> DataFrame:
         dim = settle(_first_customers(src).withColumn("bucket", history.bucket_of("customer_id")), "d-customer")
         rows, changed = history.apply_in_buckets(
-            dim, _last_customers(src), "customer_sk", "customer_id", w.CUSTOMER, RUN_DATE, expire_missing
+            dim, _thinned_customers(src), "customer_sk", "customer_id", w.CUSTOMER, RUN_DATE, expire_missing
         )
         return dim.filter(~F.col("bucket").isin(changed)).unionByName(rows).drop("bucket")
 
@@ -216,14 +221,14 @@ def _bucket_versions(expire_missing: bool) -> Query:
 
 def _bucket_report(src: ParquetTables) -> DataFrame:
     """Members and changes per bucket of the customer dimension."""
-    changes = _changes(src).groupBy(history.bucket_of("customer_id").alias("bucket"))
+    changes = _changes(src, _thinned_customers).groupBy(history.bucket_of("customer_id").alias("bucket"))
     return changes.agg(
         F.count(F.lit(1)).alias("members"), F.count_if(F.col("status").isin(history.NEW, history.CHANGED)).alias("changes")
     )
 
 
-def _changes(src: ParquetTables) -> DataFrame:
-    return history.detect_changes(_first_customers(src), _last_customers(src), "customer_id", w.CUSTOMER)
+def _changes(src: ParquetTables, batch=_last_customers) -> DataFrame:
+    return history.detect_changes(_first_customers(src), batch(src), "customer_id", w.CUSTOMER)
 
 
 def _rules(item: str, top: int | None) -> Query:
@@ -436,7 +441,7 @@ QUERIES: dict[str, Query] = {
     "cells_by_region_1997": _from_cells(sales.by_region, Slice(year=1997)),
     "cells_monthly_trend": _from_cells(timeline.monthly_trend),
     "scd2_changes": _changes,
-    "scd2_deletes": lambda src: history.missing_keys(_first_customers(src), _last_customers(src), "customer_id"),
+    "scd2_deletes": lambda src: history.missing_keys(_first_customers(src), _thinned_customers(src), "customer_id"),
     "scd2_apply": _versions(False),
     "scd2_apply_expiring": _versions(True),
     "scd2_apply_buckets": _bucket_versions(False),
