@@ -26,3 +26,15 @@ def folder(spark, tmp_path):
 def test_changes_know_every_buyer(spark, folder):
     found = {r["customer_id"]: r["status"] for r in registry.run("scd2_changes", spark, folder).collect()}
     assert found == {7: "unchanged", 8: "missing", 14: "new"}
+
+
+@pytest.mark.parametrize(
+    ("name", "expected"),
+    [
+        ("scd2_apply", {(7, "Y"), (8, "Y"), (14, "Y")}),
+        ("scd2_apply_expiring", {(7, "Y"), (8, "N"), (14, "Y")}),
+        ("scd2_current", {(7, "Y"), (14, "Y")}),
+    ],
+)
+def test_snapshots_know_every_buyer(spark, folder, name, expected):
+    assert {(r["customer_id"], r["current_flag"]) for r in registry.run(name, spark, folder).collect()} == expected

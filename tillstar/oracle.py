@@ -498,8 +498,8 @@ SQL["scd2_changes"] = f"WITH {_whole_history} SELECT customer_id, status, custom
 SQL["scd2_deletes"] = f"WITH {_history} SELECT customer_id FROM cur WHERE customer_id NOT IN (SELECT customer_id FROM inc)"
 
 
-def _snapshot(ending: str) -> str:
-    return f"""WITH {_history}
+def _snapshot(ending: str, history: str = _whole_history) -> str:
+    return f"""WITH {history}
 SELECT customer_sk, cur.customer_id, cur.customer_name, cur.segment, {LOADED} AS effective_date,
   CASE WHEN status IN ({ending}) THEN {RUN} END AS expiration_date,
   CASE WHEN status IN ({ending}) THEN 'N' ELSE 'Y' END AS current_flag
@@ -511,8 +511,8 @@ SELECT (SELECT max(customer_sk) FROM cur) + row_number() OVER (ORDER BY customer
 
 SQL["scd2_apply"] = _snapshot("'changed'")
 SQL["scd2_apply_expiring"] = _snapshot("'changed', 'missing'")
-SQL["scd2_apply_buckets"] = SQL["scd2_apply"]
-SQL["scd2_expire_buckets"] = SQL["scd2_apply_expiring"]
+SQL["scd2_apply_buckets"] = _snapshot("'changed'", _history)
+SQL["scd2_expire_buckets"] = _snapshot("'changed', 'missing'", _history)
 SQL["scd2_buckets"] = f"""WITH {_history}
 SELECT CAST(('0x' || substr(md5(CAST(customer_id AS VARCHAR)), 1, 8))::BIGINT % 64 AS INTEGER) AS bucket, count(*) AS members,
   count(*) FILTER (WHERE status IN ('new', 'changed')) AS changes FROM chg GROUP BY 1"""
