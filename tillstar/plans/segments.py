@@ -36,7 +36,8 @@ PROFIT_LABELS = ("Alta Rentabilidad", "Rentabilidad Media", "Baja Rentabilidad",
 def rfm_base(df: DataFrame) -> DataFrame:
     """Recency, frequency and money per customer, with the first name and segment known.
 
-    Recency counts from the day after the last order of anyone.
+    Recency counts from the day after the last order of anyone. The customers
+    are written out, so that the lines are read once for this day and the sums.
     """
     # lines to orders first: a hash aggregate with a map-side combine
     orders = known(df, "customer_id").groupBy("customer_id", "customer_name", "segment", "order_id").agg(
@@ -45,14 +46,15 @@ def rfm_base(df: DataFrame) -> DataFrame:
         F.sum("sales").alias("sales"),
         F.sum("profit").alias("profit"),
     )
-    sums = orders.groupBy("customer_id").agg(
+    grouped = orders.groupBy("customer_id").agg(
         *[_first_known(c, "_from", "order_id", c) for c in ("customer_name", "segment")],
         F.max("_to").alias("_last"),
         F.count_distinct("order_id").alias("frequency"),
         n.total(F.col("sales")).alias("monetary"),
         n.total(F.col("profit")).alias("profit"),
     )
-    newest = known(df, "customer_id").agg(F.max("order_date").alias("_newest")).withColumn("_one", F.lit(1))
+    sums = settle(grouped, "customer-sums")
+    newest = sums.agg(F.max("_last").alias("_newest")).withColumn("_one", F.lit(1))
     # one row, whatever the input
     people = sums.withColumn("_one", F.lit(1)).join(F.broadcast(newest), "_one")
     return people.select(
@@ -208,8 +210,16 @@ def _places(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _gaps(places: np.ndarray, centers: list[list[list[float]]]) -> np.ndarray:
-    """Squared distances, by start, row and centre."""
-    return np.stack([((places[:, None, :] - np.array(own)[None, :, :]) ** 2).sum(axis=2) for own in centers])
+    """Squared distances, by start, row and centre.
+
+    Added up one dimension after the other: a short last axis is slow to sum.
+    """
+    at = np.array(centers)  # start, centre, dimension
+    gaps = np.zeros((len(at), len(places), at.shape[1]))
+    for i, column in enumerate(places.T):
+        apart = np.ascontiguousarray(column, dtype=float)[None, :, None] - at[:, None, :, i]
+        gaps += np.square(apart, out=apart)
+    return gaps
 
 
 def _points(scaled: Scaled) -> DataFrame:
