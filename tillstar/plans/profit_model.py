@@ -8,7 +8,7 @@ partitioned.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from fractions import Fraction
 from itertools import combinations, combinations_with_replacement
@@ -28,8 +28,11 @@ NUMBERS = ("sales", "discount", "quantity")
 DRIVER_ENTRIES = 1_000_000
 # bits of a product that are added up together, of half a factor, and the units of the sums
 PART_BITS, LOW_HALF, UNITS = 30, (1 << 20) - 1, 10**8
-# combinations of levels that a task holds
+# combinations of levels that a task holds, and lines that it adds up at a time
 MOST_COMBINATIONS = 100_000
+LINES_AT_A_TIME = 1 << 18
+# levels of a category up to which their weights are broadcast
+BROADCAST_LEVELS = 100_000
 # relative residual at which the solver stops, and how often it starts anew from it
 TOLERANCE, REFINEMENTS = 1e-15, 3
 
@@ -51,6 +54,8 @@ class ProfitModel:
         frame = rows
         for column, weights in self.levels.items():
             table = rows.sparkSession.createDataFrame(list(weights.items()), f"_{column} string, _w_{column} double")
+            # a local list has no size that Spark knows: without the hint every line is shuffled by a few levels
+            table = F.broadcast(table) if len(weights) <= BROADCAST_LEVELS else table
             frame = frame.join(table, F.col(column).cast("string") == F.col(f"_{column}"), "left")
             value = value + F.coalesce(f"_w_{column}", F.lit(0.0))
         helpers = [f"{p}{column}" for column in self.levels for p in ("_", "_w_")]
@@ -121,6 +126,18 @@ def training_rows(df: DataFrame) -> DataFrame:
     )
 
 
+def _gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together to about ``LINES_AT_A_TIME`` rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= LINES_AT_A_TIME:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _add_up(n_keys: int, products: Sequence[tuple[str, str]], numbers: Sequence[str], parts: Sequence[str]):
     """Sums of products per combination of the first ``n_keys`` columns, exactly.
 
@@ -151,11 +168,14 @@ def _add_up(n_keys: int, products: Sequence[tuple[str, str]], numbers: Sequence[
             keys = [pa.array(column, pa.string()) for column in zip(*index)]
             return pa.RecordBatch.from_arrays([*keys, *[pa.array(c) for c in totals[: len(index)].T]], [*CATEGORIES, *parts])
 
-        for batch in batches:
+        for batch in _gathered(batches):
             coded = [c.dictionary_encode() for c in batch.columns[:n_keys]]
-            number = np.zeros(len(batch), dtype=np.int64)
+            number, codes = np.zeros(len(batch), dtype=np.int64), 1
             for c in coded:
-                number = number * max(len(c.dictionary), 1) + c.indices.to_numpy()
+                levels = max(len(c.dictionary), 1)
+                if codes * levels >= 1 << 62:  # numbered anew, or the codes would run over
+                    number, codes = np.unique(number, return_inverse=True)[1].astype(np.int64), len(batch)
+                number, codes = number * levels + c.indices.to_numpy(), codes * levels
             _, first, group = np.unique(number, return_index=True, return_inverse=True)
             names = zip(*(c.dictionary.take(c.indices.take(pa.array(first))).to_pylist() for c in coded))
             place = np.array([index.setdefault(key, len(index)) for key in names], dtype=np.int64)
@@ -336,14 +356,24 @@ def check(model: ProfitModel, rows: DataFrame) -> DataFrame:
     """Per term of the model whether its residuals are orthogonal to it, which
     makes the fit one of least squares, with its number of lines.
 
-    Sums of products are compared with the sums of their absolute values.
+    Sums of products are compared with the sums of their absolute values. Lines
+    are added up per combination of levels first; only sums are split by term.
     """
     missed = model.predict(rows, "_value").withColumn("_miss", F.col("profit") - F.col("_value"))
-    numbers = [F.struct(F.lit(c).alias("feature"), F.lit(None).cast("string").alias("level"), (F.col("_miss") * F.col(c)).alias("product")) for c in NUMBERS]
-    levels = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("level"), F.col("_miss").alias("product")) for c in CATEGORIES]
-    each = missed.select(F.inline(F.array(*numbers, *levels)))
-    return each.groupBy("feature", "level").agg(
-        (F.abs(F.sum("product")) <= 1e-9 * F.sum(F.abs("product"))).alias("orthogonal"), F.count(F.lit(1)).alias("lines")
+    products = {"_miss": F.col("_miss"), **{c: F.col("_miss") * F.col(c) for c in NUMBERS}}
+    sums = missed.groupBy(*CATEGORIES).agg(
+        F.count(F.lit(1)).alias("_lines"),
+        *[F.sum(product).alias(f"_sum_{c}") for c, product in products.items()],
+        *[F.sum(F.abs(product)).alias(f"_size_{c}") for c, product in products.items()],
+    )
+
+    def term(feature: str, level, product: str):
+        values = {"feature": F.lit(feature), "level": level, "total": F.col(f"_sum_{product}"), "size": F.col(f"_size_{product}"), "lines": F.col("_lines")}
+        return F.struct(*[value.alias(name) for name, value in values.items()])
+
+    terms = [*[term(c, F.lit(None).cast("string"), c) for c in NUMBERS], *[term(c, F.col(c), "_miss") for c in CATEGORIES]]
+    return sums.select(F.inline(F.array(*terms))).groupBy("feature", "level").agg(
+        (F.abs(F.sum("total")) <= 1e-9 * F.sum("size")).alias("orthogonal"), F.coalesce(F.sum("lines"), F.lit(0)).alias("lines")
     )
 
 
