@@ -20,12 +20,13 @@ def distinct_cells(df: DataFrame, keys: Sequence[str], number: str, name: str) -
 
     ``number`` is a non-negative integer column; null is no member. Rows are
     made distinct first, with a combine on the map side, so a hot key or a
-    member with many rows reaches the bitmaps once per task.
+    member with many rows reaches the bitmaps once per task. The numbers of a
+    bitmap meet before it is built: an exchange moves and sorts them, and not
+    bitmaps of 4 KiB with a few bits set.
     """
     once = df.filter(F.col(number).isNotNull()).select(*keys, number).distinct()
-    return once.groupBy(*keys, F.bitmap_bucket_number(F.col(number)).alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(F.col(number))).alias(name)
-    )
+    dealt = once.withColumn("bucket", F.bitmap_bucket_number(F.col(number))).repartition(*keys, "bucket")
+    return dealt.groupBy(*keys, "bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col(number))).alias(name))
 
 
 def roll_up(cells: DataFrame, keys: Sequence[str], name: str, count: str) -> DataFrame:
