@@ -30,7 +30,7 @@ from tillstar.plans import (
     timeline,
 )
 from tillstar.plans import warehouse as w
-from tillstar.session import new_folder, settle, tune
+from tillstar.session import new_folder, settle, size_tasks, tune
 from tillstar.sources import store
 from tillstar.sources.tables import TABLE_SCHEMAS, ParquetTables, StarTables, as_reported
 
@@ -42,6 +42,7 @@ SLICE = Slice("EUROPE", 1997, "BUILDING")
 ALERT_REGION, ALERT_CATEGORY = "ASIA", "PROMO"
 CUT = dt.date(1997, 1, 1)  # orders before it make the first load, the others the next batch
 GONE_EVERY = 7  # customers whose key it divides are not in the thinned batch
+CELL_BYTES = 8 * 2**20  # of a row group of bitmaps, which unfold to many times that
 LOADED_ON, RUN_DATE = dt.date(1995, 1, 1), dt.date(2021, 6, 1)
 
 Query = Callable[[ParquetTables], DataFrame]
@@ -158,7 +159,8 @@ def _customer_money(src: ParquetTables) -> DataFrame:
 def _cells(src: ParquetTables) -> w.MonthlyTables:
     """The monthly aggregate and the bitmaps of its orders, written out."""
     aggregate = settle(compute(w.agg_sales_monthly, src), "agg-monthly")
-    return w.MonthlyTables(src, aggregate, settle(compute(w.order_cells, src), "order-cells"))
+    cells = settle(compute(w.order_cells, src), "order-cells", row_group_bytes=CELL_BYTES)
+    return w.MonthlyTables(src, aggregate, cells)
 
 
 def _from_cells(function, within: Slice | None = None, **options) -> Query:
@@ -488,4 +490,6 @@ QUERIES: dict[str, Query] = {
 
 
 def run(name: str, spark: SparkSession, folder: str) -> DataFrame:
-    return QUERIES[name](ParquetTables(tune(spark), folder))
+    src = ParquetTables(tune(spark), folder)
+    size_tasks(spark, src.bytes("lineitem"))
+    return QUERIES[name](src)

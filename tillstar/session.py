@@ -19,6 +19,14 @@ RUNTIME_SETTINGS = {
 }
 
 
+# Largest part of a file and of an exchange, compressed, that one task reads. Lines unfold to some
+# twenty times that in a task's hash tables and sorts.
+FILE_BYTES, EXCHANGE_BYTES = 32 * 2**20, 16 * 2**20
+# partitions of an exchange before small ones are put together: one per so many bytes of the input
+INPUT_BYTES = 8 * 2**20
+_INITIAL, _SIZED = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.tillstar.initialPartitions"
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings every job here relies on."""
     for key, value in RUNTIME_SETTINGS.items():
@@ -26,6 +34,24 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def size_tasks(spark: SparkSession, input_bytes: int) -> None:
+    """Let the number of tasks grow with the input, and not what a task holds.
+
+    Smaller settings of the session stay as they are.
+    """
+    in_bytes = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    for key, most in (("spark.sql.files.maxPartitionBytes", FILE_BYTES), ("spark.sql.adaptive.advisoryPartitionSizeInBytes", EXCHANGE_BYTES)):
+        if in_bytes(spark.conf.get(key)) > most:
+            spark.conf.set(key, f"{most}b")
+    wanted = input_bytes // INPUT_BYTES
+    if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set(_INITIAL, str(wanted))
+        spark.conf.set(_SIZED, "true")
+    elif spark.conf.get(_SIZED, None):  # set for larger tables
+        spark.conf.unset(_INITIAL)
+        spark.conf.unset(_SIZED)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, for intermediate tables.
 
@@ -72,18 +98,20 @@ def own_folders(spark: SparkSession) -> Iterator[None]:
             remove_folder(spark, path)
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
+def settle(df: DataFrame, label: str, row_group_bytes: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts lineage for frames used several times. The files survive lost
     executors, and their size on disk tells Spark whether a later join may
     broadcast them. ``discard`` or ``own_folders`` removes them, at the latest
-    the end of the application.
+    the end of the application. Rows that unfold to a multiple of their size on
+    disk want small row groups, so that tasks can share a file.
     """
     path = new_folder(df.sparkSession, label)
     if (folders := _owned.get()) is not None:
         folders.append(path)
-    df.write.parquet(path)
+    options = {"parquet.block.size": row_group_bytes} if row_group_bytes else {}
+    df.write.options(**options).parquet(path)
     delete_at_end(df.sparkSession, path)
     settled = df.sparkSession.read.schema(df.schema).parquet(path)
     settled.settled_path = path
