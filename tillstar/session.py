@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -98,6 +99,30 @@ def own_folders(spark: SparkSession) -> Iterator[None]:
             remove_folder(spark, path)
 
 
+_FREEING, _free_lock = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", threading.Lock()
+_freeing: list[str] = []  # one entry per write under way: the setting found by the first
+
+
+@contextmanager
+def freed_exchanges(spark: SparkSession) -> Iterator[None]:
+    """Delete what the exchanges of a write inside left on disk once that write is over.
+
+    Else Spark keeps it until the driver collects its garbage, and the
+    exchanges of all tables written one after the other lie on disk together.
+    Writes may run side by side.
+    """
+    with _free_lock:
+        _freeing.append(_freeing[0] if _freeing else spark.conf.get(_FREEING))
+        spark.conf.set(_FREEING, "true")
+    try:
+        yield
+    finally:
+        with _free_lock:
+            found = _freeing.pop()
+            if not _freeing:
+                spark.conf.set(_FREEING, found)
+
+
 def settle(df: DataFrame, label: str, row_group_bytes: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -111,7 +136,8 @@ def settle(df: DataFrame, label: str, row_group_bytes: int | None = None) -> Dat
     if (folders := _owned.get()) is not None:
         folders.append(path)
     options = {"parquet.block.size": row_group_bytes} if row_group_bytes else {}
-    df.write.options(**options).parquet(path)
+    with freed_exchanges(df.sparkSession):
+        df.write.options(**options).parquet(path)
     delete_at_end(df.sparkSession, path)
     settled = df.sparkSession.read.schema(df.schema).parquet(path)
     settled.settled_path = path
