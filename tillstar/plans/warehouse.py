@@ -145,9 +145,10 @@ def f_sales(flat: DataFrame, dims: Mapping[str, DataFrame], unknown: int = 1) ->
     keyed = lookup_key(flat, days, {"order_date": "date"}, "date_sk", "order_date_sk", unknown)
     keyed = lookup_key(keyed, days, {"ship_date": "date"}, "date_sk", "ship_date_sk", unknown)
     keyed = keyed.join(years, "order_date_sk", "left")
-    keyed = lookup_key(keyed, people, {"customer_id": "customer_id"}, "customer_sk", unknown=unknown)
+    # what shrinks a line first, and products while lines may still lie by product
+    keyed = lookup_key(keyed, places, {"city": "city", "state": "state"}, "location_sk", unknown=unknown).drop("city", "state")
     keyed = lookup_key(keyed, goods, {"product_id": "product_id"}, "product_sk", unknown=unknown)
-    keyed = lookup_key(keyed, places, {"city": "city", "state": "state"}, "location_sk", unknown=unknown)
+    keyed = lookup_key(keyed, people, {"customer_id": "customer_id"}, "customer_sk", unknown=unknown)
     return keyed.select(
         "order_date_sk", "ship_date_sk", "customer_sk", "product_sk", "location_sk",
         "order_id", "ship_mode", "sales", "quantity", "discount", "profit",
